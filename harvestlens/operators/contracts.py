@@ -7,23 +7,18 @@ a hint: Spark broadcasts it only while it is below its size threshold.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestlens.functions.variants import fields_of, is_object, kind_of
 
-ARGUMENT_TYPE = (
-    "struct<argument:string,type:string,nullable:boolean,item_type:string,"
-    "required:boolean,minimum:double,default_value:string>"
-)
-CATALOG_SCHEMA = (
-    "name string, category string, description string, enabled boolean, implemented boolean, "
-    f"additional_allowed boolean, contract array<{ARGUMENT_TYPE}>"
-)
+ARGUMENT_COLUMNS = ("argument", "type", "nullable", "item_type", "required", "minimum", "default_value")
+CATALOG_COLUMNS = ("name", "category", "description", "enabled", "implemented", "additional_allowed", "contract")
 
 
 def argument(name, type_="string", *, required=False, nullable=False, items=None, minimum=None, default=None):
-    """One argument of a contract, as a row of :data:`ARGUMENT_TYPE`."""
+    """One argument of a contract, as a row of :data:`ARGUMENT_COLUMNS`."""
     return (name, type_, nullable, items, required, minimum, default)
 
 
@@ -89,7 +84,28 @@ def tool_catalog(spark: SparkSession) -> DataFrame:
         for cat, names in SWITCHED_OFF.items()
         for name in names
     ]
-    return spark.createDataFrame(rows, CATALOG_SCHEMA)
+    return catalog_of(spark, rows)
+
+
+def catalog_of(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """A catalog from rows of :data:`CATALOG_COLUMNS`.
+
+    It goes through Arrow and so becomes a local relation whose size Spark knows.
+    """
+    records = [
+        {**dict(zip(CATALOG_COLUMNS, row)), "contract": [dict(zip(ARGUMENT_COLUMNS, a)) for a in row[-1]]}
+        for row in rows
+    ]
+    text, flag = pa.string(), pa.bool_()
+    argument_type = pa.struct(
+        [("argument", text), ("type", text), ("nullable", flag), ("item_type", text), ("required", flag),
+         ("minimum", pa.float64()), ("default_value", text)]
+    )
+    schema = pa.schema(
+        [("name", text), ("category", text), ("description", text), ("enabled", flag), ("implemented", flag),
+         ("additional_allowed", flag), ("contract", pa.list_(argument_type))]
+    )
+    return spark.createDataFrame(pa.Table.from_pylist(records, schema=schema))
 
 
 def tool_arguments(catalog: DataFrame) -> DataFrame:

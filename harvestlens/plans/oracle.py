@@ -67,19 +67,19 @@ e AS (SELECT *, block_type IS NULL AND {_blank('full_text')} AND link_count = 0
 _LINKS = f"""
 WITH m AS (SELECT page_id, url, {_sub('html', H.UNRENDERED)} AS markup FROM pages),
 c AS (SELECT page_id, url, regexp_split_to_array(markup, {_q(H.ANCHOR)}) AS chunks FROM m),
-x AS (SELECT page_id, url, unnest(chunks[2:]) AS chunk, generate_subscripts(chunks[2:], 1) AS at FROM c),
+x AS (SELECT page_id, url, unnest(list_slice(chunks, 2, len(chunks))) AS chunk, generate_subscripts(list_slice(chunks, 2, len(chunks)), 1) AS nth FROM c),
 a AS (SELECT *, regexp_extract(regexp_extract(chunk, {_q(H.ANCHOR_ATTRS)}, 1), {_q(H.HREF)}, 1) AS raw FROM x),
 h AS (SELECT *, {_entities(_sub('raw', H.HREF_WRAP))} AS href0,
  {_tidy(_entities(_sub(_sub(_sub(f"regexp_extract(chunk, {_q(H.ANCHOR_BODY)}, 1)", H.SPACES, " "), H.LINE_TAG, chr(10)), H.TAG)))} AS text
  FROM a WHERE raw <> ''),
-r AS (SELECT page_id, at, text, CASE WHEN href0 = '' THEN regexp_extract(url, {_q(U.NO_FRAGMENT)}, 1)
+r AS (SELECT page_id, nth, text, CASE WHEN href0 = '' THEN regexp_extract(url, {_q(U.NO_FRAGMENT)}, 1)
  WHEN regexp_matches(href0, {_q(U.SCHEME)}) THEN href0
  WHEN starts_with(href0, '//') THEN regexp_extract(url, {_q(U.SCHEME)}, 1) || ':' || href0
  WHEN starts_with(href0, '/') THEN regexp_extract(url, {_q(U.ORIGIN)}, 1) || href0
  WHEN starts_with(href0, '?') THEN regexp_extract(url, {_q(U.NO_QUERY)}, 1) || href0
  WHEN starts_with(href0, '#') THEN regexp_extract(url, {_q(U.NO_FRAGMENT)}, 1) || href0
  ELSE regexp_extract(url, {_q(U.DIRECTORY)}, 1) || href0 END AS href FROM h)
-SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY at) - 1 AS pos, text, href FROM r WHERE href <> ''
+SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY nth) - 1 AS pos, text, href FROM r WHERE href <> ''
 QUALIFY pos < {pages.MAX_LINKS}
 """
 
@@ -308,9 +308,9 @@ UNION ALL SELECT 'orders', 'duplicates', count(*) = 0, '{{"n_violations":' || co
  FROM (SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
 UNION ALL SELECT 'orders', 'date_range', count(*) = 0, '{{"n_violations":' || count(*) || '}}' FROM orders
  WHERE cast(o_orderdate as varchar) < '1996-01-01' OR cast(o_orderdate as varchar) > '1998-12-31'
-UNION ALL SELECT 'customer', 'nulls', len(f) = 0, '{{"fields_with_nulls":[' || array_to_string(list_transform(f, x -> '"' || x || '"'), ',') || ']}}'
+UNION ALL SELECT 'customer', 'nulls', len(f) = 0, '{{"fields_with_nulls":[' || array_to_string(list_transform(f, lambda x: '"' || x || '"'), ',') || ']}}'
  FROM (SELECT list_sort(list_filter([CASE WHEN bool_or(c_name IS NULL OR c_name = '') THEN 'c_name' END,
-  CASE WHEN bool_or(c_mktsegment IS NULL OR c_mktsegment = '') THEN 'c_mktsegment' END], x -> x IS NOT NULL)) AS f
+  CASE WHEN bool_or(c_mktsegment IS NULL OR c_mktsegment = '') THEN 'c_mktsegment' END], lambda x: x IS NOT NULL)) AS f
   FROM ({inputs.ROWS_WITH_NULLS}))""",
     # actions
     "parse_actions": f"SELECT event_id, {_ACTION} AS action, {_ERROR_CLASS} AS error_type FROM events",

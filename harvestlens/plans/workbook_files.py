@@ -48,7 +48,7 @@ def workbook_bytes(sheets: dict[str, list[list]]) -> bytes:
 def order_workbooks(orders: DataFrame, rows_per_file: int = 500) -> DataFrame:
     """(path, content): one workbook per range of order keys, so that no file grows with the data."""
 
-    def encode(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def encode(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("o_orderkey")
         body = [[int(k), s] for k, s in zip(rows["o_orderkey"], rows["o_orderstatus"])]
         sheets = {"Orders": [["key", "status"], *body], "About": [["rows"], [len(body)]]}

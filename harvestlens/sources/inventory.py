@@ -12,7 +12,14 @@ from harvestlens.sources.workbooks import read_workbooks
 
 # The standard library's own table; system files are not consulted, so all executors agree.
 _KNOWN = mimetypes.MimeTypes()
-MEDIA_TYPES = _KNOWN.types_map[True]
+_OFFICE = "application/vnd.openxmlformats-officedocument."
+MEDIA_TYPES = {
+    **_KNOWN.types_map[True],
+    # Usually known from system files. Fixed values.
+    ".docx": _OFFICE + "wordprocessingml.document",
+    ".pptx": _OFFICE + "presentationml.presentation",
+    ".xlsx": _OFFICE + "spreadsheetml.sheet",
+}
 COMPRESSED = r"(?i)(" + "|".join(sorted(re.escape(e) for e in _KNOWN.encodings_map)) + r")$"
 EXTENSION = r"[^/.][^/]*?(\.[^./]+)$"
 
