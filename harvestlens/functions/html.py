@@ -15,22 +15,25 @@ SPACE = r"[ \t\r\n\f]"
 _ATTRS = rf"(?:{SPACE}[^>]*)?>"
 
 COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-UNRENDERED = r"(?is)<!--.*?(?:-->|\z)|" + "|".join(
-    rf"<{tag}{_ATTRS}.*?(?:</{tag}[^>]*>|\z)" for tag in ("script", "style", "noscript", "template")
-)
+# Alternatives share their first character, so that the scan for it stays a single comparison.
+UNRENDERED = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(
+    rf"{tag}{_ATTRS}.*?(?:</{tag}[^>]*>|\z)" for tag in ("script", "style", "noscript", "template")
+) + ")"
 TITLE = rf"(?is)<title{_ATTRS}(.*?)(?:</title|\z)"
-BEFORE_BODY = rf"(?is)^.*?<body{_ATTRS}"
-HEAD = rf"(?is)<head{_ATTRS}.*?</head[^>]*>|<title{_ATTRS}.*?(?:</title[^>]*>|\z)"
-SPACES = rf"{SPACE}+"
+# Everything before the body; without a body tag, the head and the title.
+OUTSIDE_BODY = (
+    rf"(?is)^.*?<body{_ATTRS}|<(?:head{_ATTRS}.*?</head[^>]*>|title{_ATTRS}.*?(?:</title[^>]*>|\z))"
+)
+ODD_SPACE = "\t\r\n\f"
 LINE_TAG = (
     r"(?i)<(?:br|/?(?:p|div|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|section|article|header|footer|nav|main|aside"
     r"|blockquote|pre|form|fieldset|figure|figcaption|address|hr|option|body|html))(?:[ /][^>]*)?>"
 )
 CELL_TAG = r"(?i)</?(?:td|th)(?:[ /][^>]*)?>"
 TAG = r"<[/!?A-Za-z][^>]*(?:>|\z)"
-AROUND_LINE = r"[ \t]*\n[ \t\n]*"
-BLANKS = r"[ \t]+"
-EDGES = r"^[ \t\r\n\f]+|[ \t\r\n\f]+\z"
+AROUND_LINE = r" *\n[ \n]*"
+BLANKS = r" {2,}"
+EDGES = " \t\r\n\f"
 ANCHOR = rf"(?i)<a{SPACE}"
 ANCHOR_WITH_HREF = rf"""(?i)<a{SPACE}(?:[^>]*[ \t\r\n\f"'])?href{SPACE}*="""
 ANCHOR_ATTRS = r"^([^>]*)>"
@@ -49,31 +52,33 @@ ENTITIES = {
 AMPERSAND = r"(?i)&(?:amp|#38|#x26);"
 
 
-def _decode_numbers(text: Column) -> Column:
-    """Decode ``&#233;`` and ``&#xE9;``; numbers that name no character stay as they are."""
-    marks = F.array_distinct(F.regexp_extract_all(text, F.lit(r"(?i)&(#x?[0-9a-f]{1,7});"), F.lit(1)))
+REFERENCE = r"&(#?[A-Za-z0-9]{1,8});"
 
-    def put(acc: Column, mark: Column) -> Column:
-        digits = F.when(
-            F.lower(mark).startswith("#x"), F.conv(F.substr(mark, F.lit(3)), 16, 10)
-        ).otherwise(F.substr(mark, F.lit(2)))
-        code = digits.try_cast("int")
-        known = (
-            code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
-        )
-        char = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code)), 8, "0")), "UTF-32")
-        return F.when(known, F.replace(acc, F.concat(F.lit("&"), mark, F.lit(";")), char)).otherwise(acc)
 
-    return F.aggregate(marks, text, put)
+def _char_of(mark: Column) -> Column:
+    """Character a reference names; NULL for unknown ones and for the ampersand, which is decoded last."""
+    known = F.element_at(F.create_map(*[F.lit(x) for item in ENTITIES.items() for x in item]), mark)
+    digits = F.when(F.lower(mark).startswith("#x"), F.conv(F.substr(mark, F.lit(3)), 16, 10)).otherwise(
+        F.substr(mark, F.lit(2))
+    )
+    code = digits.try_cast("int")
+    usable = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF) & (code != 38)
+    number = F.decode(F.unhex(F.lpad(F.hex(F.when(usable, code)), 8, "0")), "UTF-32")
+    return F.when(mark.startswith("#"), number).otherwise(known)
 
 
 def decode_entities(text: Column) -> Column:
-    """Replace character references by their characters, ``&amp;`` last."""
-    named = text
-    for name, char in ENTITIES.items():
-        named = F.replace(named, F.lit(f"&{name};"), F.lit(char))
-    numbered = F.when(F.contains(text, F.lit("&#")), _decode_numbers(named)).otherwise(named)
-    return F.when(F.contains(text, F.lit("&")), F.regexp_replace(numbered, AMPERSAND, "&")).otherwise(text)
+    """Replace character references by their characters, ``&amp;`` last.
+
+    One scan finds the references a text uses; only those are then replaced.
+    """
+    marks = F.array_distinct(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(1)))
+    decoded = F.aggregate(
+        marks,
+        text,
+        lambda acc, mark: F.coalesce(F.replace(acc, F.concat(F.lit("&"), mark, F.lit(";")), _char_of(mark)), acc),
+    )
+    return F.when(F.contains(text, F.lit("&")), F.regexp_replace(decoded, AMPERSAND, "&")).otherwise(text)
 
 
 def rendered_markup(html: Column) -> Column:
@@ -81,29 +86,34 @@ def rendered_markup(html: Column) -> Column:
     return F.regexp_replace(html, UNRENDERED, "")
 
 
+def plain_spaces(text: Column) -> Column:
+    """Tabs and line ends of the source are blanks."""
+    return F.translate(text, ODD_SPACE, " " * len(ODD_SPACE))
+
+
 def title_text(markup: Column) -> Column:
     """Raw title of rendered markup, white space collapsed, references not yet decoded."""
-    raw = F.regexp_extract(markup, TITLE, 1)
-    return F.regexp_replace(F.regexp_replace(raw, SPACES, " "), EDGES, "")
+    raw = plain_spaces(F.regexp_extract(markup, TITLE, 1))
+    return F.btrim(F.regexp_replace(raw, BLANKS, " "), F.lit(EDGES))
 
 
 def marked_text(markup: Column) -> Column:
     """Body of rendered markup with line breaks placed and tags gone, references not yet decoded."""
-    body = F.regexp_replace(F.regexp_replace(markup, BEFORE_BODY, ""), HEAD, "")
-    lines = F.regexp_replace(F.regexp_replace(body, SPACES, " "), LINE_TAG, "\n")
+    body = plain_spaces(F.regexp_replace(markup, OUTSIDE_BODY, ""))
+    lines = F.regexp_replace(body, LINE_TAG, "\n")
     return F.regexp_replace(F.regexp_replace(lines, CELL_TAG, " "), TAG, "")
 
 
 def tidy_lines(text: Column) -> Column:
     """Collapse blanks and empty lines and trim the ends."""
     tidy = F.regexp_replace(F.regexp_replace(text, AROUND_LINE, "\n"), BLANKS, " ")
-    return F.regexp_replace(tidy, EDGES, "")
+    return F.btrim(tidy, F.lit(EDGES))
 
 
 def full_text(html: Column) -> Column:
     """All body text including script content, references not yet decoded."""
-    body = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), BEFORE_BODY, "")
-    return F.regexp_replace(F.regexp_replace(body, HEAD, ""), TAG, "")
+    body = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), OUTSIDE_BODY, "")
+    return F.regexp_replace(body, TAG, "")
 
 
 def count_links(markup: Column) -> Column:
@@ -131,7 +141,7 @@ def anchor_link(chunk: Column, page_url: Column) -> Column:
     """STRUCT<text, href> of one anchor chunk; href is NULL when the anchor has no target."""
     raw = anchor_href(chunk)
     href = decode_entities(F.regexp_replace(raw, HREF_WRAP, ""))
-    label = F.regexp_replace(F.regexp_extract(chunk, ANCHOR_BODY, 1), SPACES, " ")
+    label = plain_spaces(F.regexp_extract(chunk, ANCHOR_BODY, 1))
     label = F.regexp_replace(F.regexp_replace(label, LINE_TAG, "\n"), TAG, "")
     return F.struct(
         tidy_lines(decode_entities(label)).alias("text"),

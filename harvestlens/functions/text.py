@@ -5,18 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Code points Python's str.strip() removes. Written so that Java and RE2 read it alike.
+# Code points Python's str.strip() removes, as characters and as a pattern that Java and RE2 read alike.
+WHITE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008"
+    "\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 BLANK = (
     r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
-TRIM = rf"^{BLANK}+|{BLANK}+\z"
 NOT_BLANK = r"[^" + BLANK[1:]
 
 
 def trim_blank(value: Column) -> Column:
     """Trim Unicode white space at both ends."""
-    return F.regexp_replace(value, TRIM, "")
+    return F.btrim(value, F.lit(WHITE))
 
 
 def is_blank(value: Column) -> Column:

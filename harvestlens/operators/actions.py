@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
+from harvestlens.functions.staging import pinned
 from harvestlens.functions.text import round4, trim_blank
 from harvestlens.functions.variants import (
     fields_of,
@@ -73,9 +74,10 @@ def parse_actions(df: DataFrame, response: str = "response", strict: str = "nati
     if strict == "exact":
         staged = staged.withColumn("_read", _python_reads(text))
         unreadable = unreadable | ~F.col("_read")
-    return (
-        staged.withColumn(
-            "error_type",
+    judged = pinned(
+        staged,
+        _payload=payload,
+        error_type=(
             F.when(text == "", "empty")
             .when(F.contains(text, F.lit("<think>")) | F.contains(text, F.lit("</think>")), "thinking")
             .when(text.startswith("```"), "fence")
@@ -84,13 +86,16 @@ def parse_actions(df: DataFrame, response: str = "response", strict: str = "nati
             .when(action_kind.isNull(), "no_action")
             .when(kind_of(args).isNull(), "no_arguments")
             .when(action_kind != "STRING", "action_not_string")
-            .when(~is_object(args), "arguments_not_object"),
-        )
-        .withColumn("_ok", F.col("error_type").isNull())
-        .withColumn("action", F.when(F.col("_ok"), F.try_variant_get(payload, "$.action", "string")))
-        .withColumn("arguments", F.when(F.col("_ok"), args))
-        .withColumn("message", _parse_message(F.col("error_type")))
-        .drop("_text", "_pair", "_payload", "_ok", "_read")
+            .when(~is_object(args), "arguments_not_object")
+        ),
+    )
+    fine = F.col("error_type").isNull()
+    return judged.select(
+        *df.columns,
+        F.when(fine, F.try_variant_get(payload, "$.action", "string")).alias("action"),
+        F.when(fine, args).alias("arguments"),
+        "error_type",
+        _parse_message(F.col("error_type")).alias("message"),
     )
 
 
@@ -134,8 +139,7 @@ def route_actions(calls: DataFrame, catalog: DataFrame) -> DataFrame:
                      F.coalesce(F.concat(F.lit(" "), first["argument"]), F.lit(""))).alias("m")))
     )
     return (
-        with_violations(calls.drop("error_type", "message"), catalog)
-        .withColumn("_problem", problem)
+        pinned(with_violations(calls.drop("error_type", "message"), catalog), _problem=problem)
         .withColumn("error_type", F.col("_problem.t"))
         .withColumn("message", F.col("_problem.m"))
         .withColumn(
@@ -189,9 +193,9 @@ def normalize_results(df: DataFrame, result: str = "result_json", duration: str
     """
     text = F.col(result)
     payload = F.col("payload")
+    read = df.withColumn("_pair", strict_pair(text))
     return (
-        df.withColumn("_pair", strict_pair(text))
-        .withColumn("payload", strict_value(F.col("_pair"), text))
+        pinned(read, payload=strict_value(F.col("_pair"), text))
         .withColumn("wrapped", ~is_object(payload))
         .withColumn(
             "success",

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harvestlens.functions.staging import pinned
 from harvestlens.functions.text import trim_blank
 from harvestlens.functions.variants import fields_of, is_object, kind_of, strict_pair, strict_value
 from harvestlens.operators.profile import null_or_empty
@@ -36,9 +37,9 @@ def check_source_configs(configs: DataFrame, cfg: str = "cfg_json") -> DataFrame
     """
     text = trim_blank(F.col(cfg))
     keys = F.map_keys(fields_of(F.col("_value")))
+    read = configs.withColumn("_pair", strict_pair(text))
     return (
-        configs.withColumn("_pair", strict_pair(text))
-        .withColumn("_value", strict_value(F.col("_pair"), text))
+        pinned(read, _value=strict_value(F.col("_pair"), text))
         .withColumn("_mapping", is_object(F.col("_value")))
         .withColumn(
             "missing_fields",
@@ -122,12 +123,8 @@ def with_record_fields(records: DataFrame, record: str) -> DataFrame:
     """Add ``_fields`` (name -> type name) of a JSON record; no fields unless it is an object."""
     text = trim_blank(F.col(record))
     types = F.transform_values(fields_of(F.col("_value")), lambda _, v: kind_of(v))
-    return (
-        records.withColumn("_pair", strict_pair(text))
-        .withColumn("_value", strict_value(F.col("_pair"), text))
-        .withColumn("_fields", F.coalesce(types, F.create_map().cast("map<string,string>")))
-        .drop("_pair", "_value")
-    )
+    read = records.withColumn("_pair", strict_pair(text)).withColumn("_value", strict_value(F.col("_pair"), text))
+    return pinned(read, _fields=F.coalesce(types, F.create_map().cast("map<string,string>"))).drop("_pair", "_value")
 
 
 def record_missing_fields(records: DataFrame, key: str, record: str, required: Sequence[str]) -> DataFrame:

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harvestlens.functions.staging import pinned
 from harvestlens.functions.variants import fields_of, is_object, kind_of
 
 ARGUMENT_COLUMNS = ("argument", "type", "nullable", "item_type", "required", "minimum", "default_value")
@@ -201,17 +202,13 @@ def with_violations(calls: DataFrame, catalog: DataFrame, how: str = "left") ->
     spec = catalog.select("name", "category", "enabled", "implemented", "additional_allowed", "contract")
     not_object = F.array(F.struct(F.lit("not_object").alias("violation"),
                                   F.lit(None).cast("string").alias("argument")))
-    return (
-        _lookup(calls, spec, how)
-        .withColumn("_members", fields_of(F.col("arguments")))
-        .withColumn(
-            "violations",
-            F.when(F.col("name").isNull(), F.lit(None))
-            .when(~is_object(F.col("arguments")), not_object)
-            .otherwise(violations_of(F.col("_members"), F.col("contract"), F.col("additional_allowed"))),
-        )
-        .drop("_members", "contract", "additional_allowed")
+    found = _lookup(calls, spec, how).withColumn("_members", fields_of(F.col("arguments")))
+    violations = (
+        F.when(F.col("name").isNull(), F.lit(None))
+        .when(~is_object(F.col("arguments")), not_object)
+        .otherwise(violations_of(F.col("_members"), F.col("contract"), F.col("additional_allowed")))
     )
+    return pinned(found, violations=violations).drop("_members", "contract", "additional_allowed")
 
 
 def check_arguments(calls: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from harvestlens.functions.staging import pinned
 from harvestlens.functions.text import is_blank, path_of
 from harvestlens.functions.urls import normalize_url, url_problem
 
@@ -14,14 +15,13 @@ PROCESSED_ROOT = "storage/processed"
 
 def normalize_urls(df: DataFrame, raw_url: str = "raw_url") -> DataFrame:
     """Add ``url_norm``."""
-    return df.withColumn("url_norm", normalize_url(F.col(raw_url)))
+    return pinned(df, url_norm=normalize_url(F.col(raw_url)))
 
 
 def validate_urls(df: DataFrame, raw_url: str = "raw_url") -> DataFrame:
     """Add ``url_norm``, ``valid``, ``error_type``, ``message``; a rejected URL is not recoverable."""
     return (
-        normalize_urls(df, raw_url)
-        .withColumn("message", url_problem(F.col("url_norm")))
+        pinned(normalize_urls(df, raw_url), message=url_problem(F.col("url_norm")))
         .withColumn("valid", F.col("message").isNull())
         .withColumn("error_type", F.when(~F.col("valid"), "InvalidURL"))
         .withColumn("recoverable", F.when(~F.col("valid"), False))
@@ -50,7 +50,7 @@ def check_fetch_requests(df: DataFrame, source_id: str = "source_id", filename:
             F.lit("filename must contain only a filename, not a directory path.").alias("m")))
     )
     return (
-        df.withColumn("_problem", problem)
+        pinned(df, _problem=problem)
         .withColumn("error_type", F.col("_problem.t"))
         .withColumn("message", F.col("_problem.m"))
         .withColumn("recoverable", F.when(F.col("error_type").isNotNull(), False))

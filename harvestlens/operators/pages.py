@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.functions import html as H
+from harvestlens.functions.staging import pinned
 from harvestlens.functions.text import is_blank
 
 MAX_TEXT = 20_000
@@ -54,26 +55,21 @@ def detect_blocked(df: DataFrame, html: str = "html", text: str = "text", title:
                    url: str = "url") -> DataFrame:
     """Add ``block_type``. False alarms in prose are part of the contract."""
     # The joined text is a column of its own, so that it is built once and not once per mark.
-    return (
-        df.withColumn("_haystack", F.lower(F.concat_ws("\n", html, text, title, url)))
-        .withColumn("block_type", challenge_type(F.col("_haystack")))
-        .drop("_haystack")
-    )
+    joined = df.withColumn("_haystack", F.lower(F.concat_ws("\n", html, text, title, url)))
+    return pinned(joined, block_type=challenge_type(F.col("_haystack"))).drop("_haystack")
 
 
 def page_titles(df: DataFrame, html: str = "html") -> DataFrame:
     """Add ``title``, '' when the page has none."""
-    return (
-        df.withColumn("_title", H.title_text(H.rendered_markup(F.col(html))))
-        .withColumn("title", H.decode_entities(F.col("_title")))
-        .drop("_title")
-    )
+    return pinned(df, _title=H.title_text(H.rendered_markup(F.col(html)))).withColumn(
+        "title", H.decode_entities(F.col("_title"))
+    ).drop("_title")
 
 
 def page_texts(df: DataFrame, html: str = "html", limit: int = MAX_TEXT) -> DataFrame:
     """Add ``text``: visible text or, when that is blank, all body text; cut to ``limit``."""
     return (
-        _with_text(df.withColumn("_markup", H.rendered_markup(F.col(html))), html)
+        _with_text(pinned(df, _markup=H.rendered_markup(F.col(html))), html)
         .withColumn("text", F.left("_text", F.lit(limit)))
         .drop("_markup", "_text")
     )
@@ -81,16 +77,12 @@ def page_texts(df: DataFrame, html: str = "html", limit: int = MAX_TEXT) -> Data
 
 def _with_text(df: DataFrame, html: str) -> DataFrame:
     """Add the uncut ``_text``; one step per column, because each is read more than once."""
-    return (
-        df.withColumn("_marked", H.marked_text(F.col("_markup")))
-        .withColumn("_visible", H.tidy_lines(H.decode_entities(F.col("_marked"))))
-        .withColumn(
-            "_text",
-            F.when(is_blank(F.col("_visible")), H.decode_entities(H.full_text(F.col(html))))
-            .otherwise(F.col("_visible")),
-        )
-        .drop("_marked", "_visible")
+    visible = df.withColumn("_marked", H.marked_text(F.col("_markup"))).withColumn(
+        "_visible", H.tidy_lines(H.decode_entities(F.col("_marked")))
     )
+    all_text = H.decode_entities(H.full_text(F.col(html)))
+    text = F.when(is_blank(F.col("_visible")), all_text).otherwise(F.col("_visible"))
+    return pinned(visible, _text=text).drop("_marked", "_visible")
 
 
 def _links(url: str) -> Column:
@@ -100,11 +92,9 @@ def _links(url: str) -> Column:
 
 def page_links(df: DataFrame, html: str = "html", url: str = "url", limit: int = MAX_LINKS) -> DataFrame:
     """Add ``links`` (first ``limit``) as ARRAY<STRUCT<text, href>>, in document order."""
-    return (
-        df.withColumn("_chunks", H.anchor_chunks(H.rendered_markup(F.col(html))))
-        .withColumn("links", F.slice(_links(url), 1, limit))
-        .drop("_chunks")
-    )
+    return pinned(df, _chunks=H.anchor_chunks(H.rendered_markup(F.col(html)))).withColumn(
+        "links", F.slice(_links(url), 1, limit)
+    ).drop("_chunks")
 
 
 def explode_links(df: DataFrame, key: str, links: str = "links") -> DataFrame:
@@ -139,18 +129,17 @@ def inspect_pages(df: DataFrame, html: str = "html", url: str = "url") -> DataFr
     included, and the job is one stage without a shuffle.
     """
     page = F.coalesce(F.col(html), F.lit(""))
-    staged = (
-        df.withColumn(html, page)
-        .withColumn("_markup", H.rendered_markup(F.col(html)))
-        .withColumn("_title", H.title_text(F.col("_markup")))
-        .withColumn("title", H.decode_entities(F.col("_title")))
-    )
+    staged = df.withColumn(html, page)
+    staged = pinned(staged, _markup=H.rendered_markup(F.col(html)))
+    staged = staged.withColumn("_title", H.title_text(F.col("_markup")))
+    staged = pinned(staged, title=H.decode_entities(F.col("_title")))
     staged = detect_blocked(_with_text(staged, html), html, "_text", "title", url)
-    staged = (
-        staged.withColumn("_n_links", H.count_links(F.col("_markup")))
-        .withColumn("blocked", F.col("block_type").isNotNull())
-        .withColumn("_empty", ~F.col("blocked") & is_blank(F.col("_text")) & (F.col("_n_links") == 0))
-        .withColumn("_chunks", H.anchor_chunks(F.col("_markup")))
+    staged = staged.withColumn("blocked", F.col("block_type").isNotNull())
+    links = H.count_links(F.col("_markup"))
+    empty = ~F.col("blocked") & is_blank(F.col("_text"))
+    staged = pinned(staged, _n_links=links, _blank=empty)
+    staged = staged.withColumn("_empty", F.col("_blank") & (F.col("_n_links") == 0)).withColumn(
+        "_chunks", H.anchor_chunks(F.col("_markup"))
     )
     kept = [c for c in df.columns if c not in (html, url)]
     return staged.select(

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.session import table
+from harvestlens.session import spread, table
 
 DIRTY_URLS = """
 SELECT page_id, CASE page_id % 8 WHEN 0 THEN url WHEN 1 THEN '  '||url||'  ' WHEN 2 THEN chr(34)||url||chr(34)
@@ -118,11 +118,12 @@ SELECT event_id, 'https://e.org/'||cast(event_id as varchar(20)) AS url,
 """
 
 
-def derived(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run one of the texts above over the tables in ``sf_dir``."""
+def derived(spark: SparkSession, sf_dir: str, sql: str, spread_by: str | None = None) -> DataFrame:
+    """Run one of the texts above over the tables in ``sf_dir``; costly row-wise work names a key to spread by."""
     for name in ("pages", "events", "customer", "lineitem", "supplier"):
         if f"FROM {name}" in sql:
-            table(spark, sf_dir, name).createOrReplaceTempView(name)
+            rows = table(spark, sf_dir, name)
+            (spread(rows, spread_by) if spread_by else rows).createOrReplaceTempView(name)
     return spark.sql(sql)
 
 

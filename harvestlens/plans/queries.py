@@ -13,7 +13,7 @@ from harvestlens.operators.ordering import gathered, ranked
 from harvestlens.plans import inputs
 from harvestlens.plans.inputs import derived, time_position
 from harvestlens.plans.workbook_files import order_workbooks
-from harvestlens.session import configure, scratch_dir, table
+from harvestlens.session import configure, scratch_dir, spread, table
 from harvestlens.sinks import audit, zones
 from harvestlens.sources import configs, csv_files, inventory, paged, workbooks
 from harvestlens.streaming import run_state as streamed
@@ -212,7 +212,7 @@ def profile_sample(spark, sf_dir):
 
 
 def _dirty_pages(spark, sf_dir):
-    return derived(spark, sf_dir, inputs.DIRTY_PAGES)
+    return derived(spark, sf_dir, inputs.DIRTY_PAGES, "page_id")
 
 
 @query
@@ -259,7 +259,7 @@ def page_texts(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    return pages.explode_links(pages.page_links(table(spark, sf_dir, "pages")), "page_id")
+    return pages.explode_links(pages.page_links(spread(table(spark, sf_dir, "pages"), "page_id")), "page_id")
 
 
 @query
@@ -316,7 +316,7 @@ def check_source_configs(spark, sf_dir):
 @query
 def check_required_fields(spark, sf_dir):
     return checks.record_missing_fields(
-        derived(spark, sf_dir, inputs.RESULTS), "event_id", "result_json", ["success", "message"]
+        derived(spark, sf_dir, inputs.RESULTS, "event_id"), "event_id", "result_json", ["success", "message"]
     )
 
 
@@ -324,14 +324,14 @@ def check_required_fields(spark, sf_dir):
 def check_schema(spark, sf_dir):
     expected = {"success": "BOOLEAN", "message": "STRING"}
     return checks.record_schema_differences(
-        derived(spark, sf_dir, inputs.RESULTS), "event_id", "result_json", expected
+        derived(spark, sf_dir, inputs.RESULTS, "event_id"), "event_id", "result_json", expected
     )
 
 
 @query
 def check_types(spark, sf_dir):
     return checks.record_type_mismatches(
-        derived(spark, sf_dir, inputs.RESULTS), "event_id", "result_json", RESULT_SCHEMA
+        derived(spark, sf_dir, inputs.RESULTS, "event_id"), "event_id", "result_json", RESULT_SCHEMA
     )
 
 
@@ -382,7 +382,7 @@ def check_report(spark, sf_dir):
 
 
 def _parsed(spark, sf_dir):
-    return actions.parse_actions(derived(spark, sf_dir, inputs.RESPONSES))
+    return actions.parse_actions(derived(spark, sf_dir, inputs.RESPONSES, "event_id"))
 
 
 def _calls(spark, sf_dir):
@@ -427,7 +427,7 @@ def tool_error_results(spark, sf_dir):
 
 @query
 def normalize_results(spark, sf_dir):
-    return actions.normalize_results(derived(spark, sf_dir, inputs.RESULTS)).select(
+    return actions.normalize_results(derived(spark, sf_dir, inputs.RESULTS, "event_id")).select(
         "event_id", "success", "file_path", "message", "wrapped", "duration_seconds"
     )
 

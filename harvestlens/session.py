@@ -44,3 +44,13 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the provided parquet tables."""
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread an input that comes in fewer splits than there are cores, before costly row-wise work.
+
+    Such an input is small (at most one split size per core); a large one has
+    more splits than cores and is left alone, so its rows are never shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

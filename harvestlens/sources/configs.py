@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from harvestlens.functions.staging import pinned
+
 _PARSED = StructType([StructField("cfg_json", StringType()), StructField("parse_error", StringType())])
 
 
@@ -29,7 +31,7 @@ def _yaml_to_json(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
 
 def parse_source_configs(texts: DataFrame, text: str = "text") -> DataFrame:
     """Add ``cfg_json`` and ``parse_error`` (text that is no YAML, or no mapping)."""
-    parsed = texts.withColumn("_parsed", _yaml_to_json(F.col(text)))
+    parsed = pinned(texts, _parsed=_yaml_to_json(F.col(text)))
     body = F.col("_parsed.cfg_json")
     mapping = F.coalesce(F.schema_of_variant(F.try_parse_json(body)).startswith("OBJECT"), F.lit(False))
     return (
