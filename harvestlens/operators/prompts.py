@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.operators.ordering import gathered
-from harvestlens.operators.runs import call_records, run_observations
+from harvestlens.operators.runs import EXECUTED, call_fields, observation_text
 
 INSTRUCTIONS = (
     "You pick the next step of a data extraction run. Answer with one JSON object of the form "
@@ -24,21 +24,9 @@ def tool_list(catalog: DataFrame) -> DataFrame:
     return catalog.filter("enabled").agg(F.to_json(tools, {"ignoreNullFields": "false"}).alias("tools"))
 
 
-def _record_json() -> Column:
-    return F.to_json(
-        F.struct(
-            "step",
-            "action",
-            "arguments",
-            "result",
-            F.col("duration_seconds").cast("decimal(18,4)").alias("duration_seconds"),
-        ),
-        {"ignoreNullFields": "false"},
-    )
-
-
-def _json_list(items: str) -> Column:
-    return F.concat(F.lit("["), F.coalesce(F.array_join(items, ","), F.lit("")), F.lit("]"))
+def _json_list(items: Column) -> Column:
+    present = F.filter(items, lambda item: item.isNotNull())
+    return F.concat(F.lit("["), F.coalesce(F.array_join(present, ","), F.lit("")), F.lit("]"))
 
 
 def build_prompts(
@@ -50,14 +38,28 @@ def build_prompts(
     more than ``part_rows`` turns goes on in further user parts that hold only
     the two history sections, so no message grows without bound in one task.
     """
-    calls = gathered(call_records(kept), ["run_id"], "step", _record_json(), "calls", part_rows)
-    seen = gathered(run_observations(kept), ["run_id"], "step", F.to_json(F.array("observation")), "seen", part_rows)
-    # Each observation is a one-element JSON list; strip its brackets to join them.
-    seen = seen.withColumn("seen", F.transform("seen", lambda s: s.substr(F.lit(2), F.length(s) - 2)))
+    seconds = F.col("duration_seconds").cast("decimal(18,4)").alias("duration_seconds")
+    record = F.to_json(
+        F.struct("step", "action", "arguments", "result", seconds), {"ignoreNullFields": "false"}
+    )
+    # As a one-element JSON list without its brackets: a quoted JSON string.
+    listed = F.to_json(F.array("observation"))
+    quoted = F.substr(listed, F.lit(2), F.length(listed) - 2)
+    turns = kept.select(
+        "run_id",
+        "step",
+        *call_fields(kept),
+        F.col("kind").isin(*EXECUTED).alias("executed"),
+        observation_text(kept).alias("observation"),
+    )
+    entry = F.struct(
+        F.when(F.col("executed"), record).alias("call"),
+        F.when(F.col("observation").isNotNull(), quoted).alias("seen"),
+    )
+    history = gathered(turns, ["run_id"], "step", entry, "turns", part_rows)
     first = runs.select("run_id").distinct().withColumn("part", F.lit(0).cast("long"))
-    parts = (
-        first.join(calls.join(seen, ["run_id", "part"], "full"), ["run_id", "part"], "full")
-        .join(configs.select("run_id", "cfg_json"), "run_id", "left")
+    parts = first.join(history, ["run_id", "part"], "full").join(
+        configs.select("run_id", "cfg_json"), "run_id", "left"
     )
     opening = F.when(
         F.col("part") == 0,
@@ -68,8 +70,8 @@ def build_prompts(
     ).otherwise("")
     user = F.concat(
         opening,
-        F.lit("PREVIOUS TOOL CALLS:\n\n"), _json_list("calls"),
-        F.lit("\n\nOBSERVATIONS FROM PREVIOUS STEPS:\n\n"), _json_list("seen"),
+        F.lit("PREVIOUS TOOL CALLS:\n\n"), _json_list(F.col("turns.call")),
+        F.lit("\n\nOBSERVATIONS FROM PREVIOUS STEPS:\n\n"), _json_list(F.col("turns.seen")),
         F.lit("\n\n" + CLOSING),
     )
     messages = F.array(

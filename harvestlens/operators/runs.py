@@ -121,19 +121,25 @@ def run_artifacts(kept: DataFrame) -> DataFrame:
     ).select("run_id", "step", "file_path")
 
 
-def run_observations(kept: DataFrame) -> DataFrame:
-    """Rows (run_id, step, observation): the error text of a failed turn, else step, action and result as JSON.
-
-    A failed generation leaves no observation.
-    """
+def observation_text(kept: DataFrame) -> Column:
+    """Observation of a turn, NULL when it leaves none. The formats are fixed values."""
     executed = F.concat(
         F.lit("step="), F.col("step").cast("string"), F.lit(" action="), _action_name(kept),
         F.lit(" result="), F.coalesce(_optional(kept, "result"), F.lit("null")),
     )
-    text = F.when(F.col("kind").isin(*EXECUTED), executed).when(
+    return F.when(F.col("kind").isin(*EXECUTED), executed).when(
         F.col("kind") != "model_failure", error_text(kept)
     )
-    return kept.select("run_id", "step", text.alias("observation")).filter("observation IS NOT NULL")
+
+
+def run_observations(kept: DataFrame) -> DataFrame:
+    """Rows (run_id, step, observation): the error text of a failed turn, else step, action and result as JSON.
+
+    A failed generation leaves no observation.
+    """
+    return kept.select("run_id", "step", observation_text(kept).alias("observation")).filter(
+        "observation IS NOT NULL"
+    )
 
 
 def _action_name(kept: DataFrame) -> Column:
@@ -147,17 +153,20 @@ def _seconds(kept: DataFrame) -> Column:
     )
 
 
-def call_records(kept: DataFrame) -> DataFrame:
-    """Rows (run_id, step, action, arguments, result, duration_seconds, timestamp) of executed calls."""
-    return kept.filter(F.col("kind").isin(*EXECUTED)).select(
-        "run_id",
-        "step",
+def call_fields(kept: DataFrame) -> list[Column]:
+    """What is recorded of an executed call besides run and step."""
+    return [
         _action_name(kept).alias("action"),
         _optional(kept, "arguments").alias("arguments"),
         _optional(kept, "result").alias("result"),
         _seconds(kept).alias("duration_seconds"),
         _optional(kept, "timestamp").alias("timestamp"),
-    )
+    ]
+
+
+def call_records(kept: DataFrame) -> DataFrame:
+    """Rows (run_id, step, action, arguments, result, duration_seconds, timestamp) of executed calls."""
+    return kept.filter(F.col("kind").isin(*EXECUTED)).select("run_id", "step", *call_fields(kept))
 
 
 def run_history(kept: DataFrame, part_rows: int = 1_000) -> DataFrame:

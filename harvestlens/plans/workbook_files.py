@@ -55,6 +55,12 @@ def order_workbooks(orders: DataFrame, rows_per_file: int = 500) -> DataFrame:
         return pd.DataFrame({"path": [f"w{key[0]}.xlsx"], "content": [workbook_bytes(sheets)]})
 
     block = F.floor(F.col("o_orderkey") / rows_per_file).cast("long").alias("block")
-    return orders.select("o_orderkey", "o_orderstatus", block).groupBy("block").applyInPandas(
-        encode, "path string, content binary"
+    # A fixed number of partitions: small shuffles would be merged, but here the work per row is large.
+    spark = orders.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return (
+        orders.select("o_orderkey", "o_orderstatus", block)
+        .repartition(parts, "block")
+        .groupBy("block")
+        .applyInPandas(encode, "path string, content binary")
     )

@@ -88,8 +88,9 @@ def infer_types(text_rows: DataFrame, columns: list[str]) -> dict[str, str]:
     checks = []
     for i, name in enumerate(columns):
         value = _known(F.col(name))
+        whole = value.rlike(INTEGER) & F.trim(value).try_cast("bigint").isNotNull()
         checks += [
-            F.bool_and(value.rlike(INTEGER) & F.trim(value).try_cast("bigint").isNotNull()).alias(f"i{i}"),
+            F.bool_and(F.when(value.isNotNull(), whole)).alias(f"i{i}"),
             F.bool_and(value.rlike(DECIMAL)).alias(f"d{i}"),
             F.bool_and(value.rlike(BOOLEAN)).alias(f"b{i}"),
             F.count(value).alias(f"n{i}"),

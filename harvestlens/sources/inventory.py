@@ -29,7 +29,10 @@ def extension_of(path: Column) -> Column:
 
 
 def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
-    """path, size_bytes of every file below ``path``; contents are never read."""
+    """path, size_bytes of every file below ``path``; contents are never read.
+
+    Spark's file sources skip files of zero bytes, so those are not listed.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)

@@ -63,10 +63,11 @@ def summarize_grids(
     The sample is cut per map task before the shuffle and counts are partial,
     so one huge table does not gather in one task.
     """
-    keyed = rows.select(*table, F.struct(*order_by).alias("_order"), cells.alias("_cells"))
-    counts = keyed.groupBy(*table).agg(F.count(F.lit(1)).alias("row_count"))
+    order = Window.partitionBy(*table).orderBy(*order_by)
+    counts = rows.groupBy(*table).agg(F.count(F.lit(1)).alias("row_count"))
     first = (
-        keyed.withColumn("_n", F.row_number().over(Window.partitionBy(*table).orderBy("_order")))
+        rows.select(*table, *order_by, cells.alias("_cells"))
+        .withColumn("_n", F.row_number().over(order))
         .filter(F.col("_n") <= sample_rows)
         .groupBy(*table)
         .agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", "_cells"))), lambda r: r["_cells"]).alias("sample"))
