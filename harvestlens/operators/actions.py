@@ -62,14 +62,18 @@ def parse_actions(df: DataFrame, response: str = "response", strict: str = "nati
     """
     if strict not in ("native", "exact"):
         raise ValueError("strict must be 'native' or 'exact'")
-    text, payload = F.col("_text"), F.col("_payload")
-    action_kind = kind_of(F.try_variant_get(payload, "$.action", "variant"))
-    args = F.try_variant_get(payload, "$.arguments", "variant")
+    text, payload, args = F.col("_text"), F.col("_payload"), F.col("_args")
+    action_kind, args_kind = F.col("_action_kind"), F.col("_args_kind")
     unreadable = payload.isNull()
     staged = (
         df.withColumn("_text", trim_blank(F.coalesce(F.col(response), F.lit(""))))
         .withColumn("_pair", strict_pair(text))
         .withColumn("_payload", strict_value(F.col("_pair"), text))
+        .withColumn("_args", F.try_variant_get(payload, "$.arguments", "variant"))
+        # Each type is looked up once and then read by several rules.
+        .withColumn("_kind", kind_of(payload))
+        .withColumn("_action_kind", kind_of(F.try_variant_get(payload, "$.action", "variant")))
+        .withColumn("_args_kind", kind_of(args))
     )
     if strict == "exact":
         staged = staged.withColumn("_read", _python_reads(text))
@@ -77,16 +81,17 @@ def parse_actions(df: DataFrame, response: str = "response", strict: str = "nati
     judged = pinned(
         staged,
         _payload=payload,
+        _args=args,
         error_type=(
             F.when(text == "", "empty")
             .when(F.contains(text, F.lit("<think>")) | F.contains(text, F.lit("</think>")), "thinking")
             .when(text.startswith("```"), "fence")
             .when(unreadable, "invalid_json")
-            .when(~is_object(payload), "not_object")
+            .when(~F.col("_kind").startswith("OBJECT"), "not_object")
             .when(action_kind.isNull(), "no_action")
-            .when(kind_of(args).isNull(), "no_arguments")
+            .when(args_kind.isNull(), "no_arguments")
             .when(action_kind != "STRING", "action_not_string")
-            .when(~is_object(args), "arguments_not_object")
+            .when(~args_kind.startswith("OBJECT"), "arguments_not_object")
         ),
     )
     fine = F.col("error_type").isNull()

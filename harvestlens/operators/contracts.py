@@ -137,63 +137,67 @@ def unknown_tools(calls: DataFrame, catalog: DataFrame) -> DataFrame:
     return _lookup(calls, catalog.select("name"), "left_anti")
 
 
-def _is_integer(value: Column, kind: Column) -> Column:
-    number = F.try_variant_get(value, "$", "double")
-    whole = F.coalesce(number == F.floor(number), F.lit(False))
-    return (kind == "BIGINT") | ((kind.startswith("DECIMAL") | (kind == "DOUBLE") | (kind == "FLOAT")) & whole)
+def _whole(kind: Column, number: Column) -> Column:
+    """JSON Schema integers: 5 and 5.0, but neither 5.5 nor true."""
+    return (kind == "BIGINT") | (_is_number(kind) & F.coalesce(number == F.floor(number), F.lit(False)))
 
 
 def _is_number(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
-def _fits_type(value: Column, spec: Column) -> Column:
-    kind = kind_of(value)
-    return (
+def _judged(a: Column) -> Column:
+    """Violation of one given argument, NULL when it fits. ``a`` is a row of :func:`_given`."""
+    spec, kind, number = a["spec"], a["kind"], a["number"]
+    fits = (
         F.when(kind == "VOID", spec["nullable"])
         .when(spec["type"] == "string", kind == "STRING")
-        .when(spec["type"] == "integer", _is_integer(value, kind))
+        .when(spec["type"] == "integer", _whole(kind, number))
         .when(spec["type"] == "array", kind.startswith("ARRAY"))
         .otherwise(False)
     )
+    strays = F.exists(F.try_variant_get(a["value"], "$", "array<variant>"), lambda item: kind_of(item) != "STRING")
+    stray_item = (spec["item_type"] == "string") & kind.startswith("ARRAY") & strays
+    # The type is judged before the minimum: a boolean would pass as a number.
+    return (
+        F.when(~fits, "wrong_type")
+        .when(stray_item, "wrong_item_type")
+        .when(_is_number(kind) & (number < spec["minimum"]), "below_minimum")
+    )
 
 
-def _has_stray_item(value: Column, spec: Column) -> Column:
-    items = F.try_variant_get(value, "$", "array<variant>")
-    strays = F.exists(items, lambda item: kind_of(item) != "STRING")
-    return F.coalesce((spec["item_type"] == "string") & strays, F.lit(False))
+def _given(members: Column, contract: Column) -> Column:
+    """Declared arguments that were given, each with its value, type name and number."""
+    named = F.filter(contract, lambda a: F.map_contains_key(members, a["argument"]))
+    valued = F.transform(named, lambda a: F.struct(a.alias("spec"), members[a["argument"]].alias("value")))
+    return F.transform(
+        valued,
+        lambda a: F.struct(
+            a["spec"].alias("spec"),
+            a["value"].alias("value"),
+            kind_of(a["value"]).alias("kind"),
+            F.try_variant_get(a["value"], "$", "double").alias("number"),
+        ),
+    )
 
 
 def violations_of(members: Column, contract: Column, additional_allowed: Column) -> Column:
     """ARRAY<STRUCT<violation, argument>> of one call; all in array expressions, no explode, no shuffle."""
 
-    def row(kind: Column | str, name: Column) -> Column:
-        kind = F.lit(kind) if isinstance(kind, str) else kind
+    def row(kind: Column, name: Column) -> Column:
         return F.struct(kind.alias("violation"), name.alias("argument"))
 
-    missing = F.filter(contract, lambda a: a["required"] & ~F.map_contains_key(members, a["argument"]))
+    required = F.transform(F.filter(contract, lambda a: a["required"]), lambda a: a["argument"])
+    missing = F.array_except(required, F.map_keys(members))
     declared = F.transform(contract, lambda a: a["argument"])
     unexpected = F.when(
         ~additional_allowed, F.array_except(F.map_keys(members), declared)
     ).otherwise(F.array().cast("array<string>"))
-
-    def judge(a: Column) -> Column:
-        value = members[a["argument"]]
-        below = _is_number(kind_of(value)) & (F.try_variant_get(value, "$", "double") < a["minimum"])
-        # The type is judged before the minimum: a boolean would pass as a number.
-        return (
-            F.when(~_fits_type(value, a), "wrong_type")
-            .when(_has_stray_item(value, a), "wrong_item_type")
-            .when(below, "below_minimum")
-        )
-
-    given = F.filter(contract, lambda a: F.map_contains_key(members, a["argument"]))
-    judged = F.filter(F.transform(given, lambda a: row(judge(a), a["argument"])),
-                      lambda v: v["violation"].isNotNull())
+    judged = F.transform(_given(members, contract), lambda a: row(_judged(a), a["spec"]["argument"]))
     return F.concat(
-        F.transform(missing, lambda a: row("missing", a["argument"])),
-        F.transform(unexpected, lambda name: row("unexpected", name)),
-        judged,
+        F.transform(missing, lambda name: row(F.lit("missing"), name)),
+        F.transform(unexpected, lambda name: row(F.lit("unexpected"), name)),
+        F.filter(judged, lambda v: v["violation"].isNotNull()),
     )
 
 

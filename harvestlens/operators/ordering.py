@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from harvestlens.functions.staging import pinned
+
 # A group is cut when it is larger than both limits. The share bounds the number of
 # cut groups by MAX_SHARES and the number of slices by 2 * MAX_SHARES, whatever the
 # size of the data, which makes the two side tables safe to broadcast.
@@ -27,10 +29,10 @@ def large_groups(
     sizes = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min(position).alias("_lo"), F.max(position).alias("_hi")
     )
-    total = sizes.agg(F.sum("_n").alias("t")).select(F.col("t")).scalar()
-    limit = F.greatest(F.lit(min_rows), F.ceil(total / MAX_SHARES))
-    slices = F.ceil(F.col("_n") / limit)
-    return sizes.filter(F.col("_n") > limit).select(
+    total = df.agg(F.count(F.lit(1))).scalar()
+    sized = pinned(sizes, _limit=F.greatest(F.lit(min_rows).cast("long"), F.ceil(total / MAX_SHARES)))
+    slices = F.ceil(F.col("_n") / F.col("_limit"))
+    return sized.filter(F.col("_n") > F.col("_limit")).select(
         *keys,
         "_lo",
         slices.cast("long").alias("_slices"),

@@ -61,13 +61,14 @@ def is_error() -> Column:
 
 def run_state(kept: DataFrame) -> DataFrame:
     """Final state per run: status, current_step, n_calls, n_errors, finish_reason. Map-side partial counts."""
-    ended = F.col("_ending").isNotNull()
     limit = F.col("_limit")
     reason = _optional(kept, "reason")
     message = _optional(kept, "message")
     folded = kept.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("_n"),
-        F.max(F.when(F.col("kind").isin(*TERMINAL), F.col("kind"))).alias("_ending"),
+        # Flags instead of a text maximum keep the aggregation hash-based.
+        F.bool_or(F.col("kind") == "finish").alias("_finished"),
+        F.bool_or(F.col("kind") == "model_failure").alias("_failed"),
         F.max(step_limit(F.col("max_steps"))).alias("_limit"),
         F.count_if(F.col("kind").isin(*EXECUTED)).alias("n_calls"),
         F.count_if(is_error()).alias("n_errors"),
@@ -78,13 +79,13 @@ def run_state(kept: DataFrame) -> DataFrame:
     )
     return folded.select(
         "run_id",
-        F.when(F.col("_ending") == "finish", "finished")
-        .when(F.col("_ending") == "model_failure", "failed")
+        F.when(F.col("_finished"), "finished")
+        .when(F.col("_failed"), "failed")
         .when(F.col("_n") >= limit, "max_steps_reached")
         .otherwise("running")
         .alias("status"),
         # The turn that ends a run does not advance it.
-        F.when(ended, F.col("_n") - 1).otherwise(F.col("_n")).alias("current_step"),
+        F.when(F.col("_finished") | F.col("_failed"), F.col("_n") - 1).otherwise(F.col("_n")).alias("current_step"),
         "n_calls",
         "n_errors",
         "finish_reason",
