@@ -53,7 +53,8 @@ def ranked(
 
     ``position`` is a number that never decreases along ``order_by``; by
     default the first order column itself. ``before`` maps new column names to
-    boolean conditions.
+    boolean conditions. The input is read more than once and must not change
+    between reads (no random values).
     """
     before = dict(before or {})
     position = (F.col(order_by[0]) if position is None else position).cast("double")
@@ -80,6 +81,8 @@ def ranked(
     sliced = base.join(F.broadcast(large), list(keys), "left").withColumn(
         "_slice", F.coalesce(nth.cast("long"), F.lit(0).cast("long"))
     ).drop("_lo", "_width", "_slices")
+    # Without this, an input already partitioned by the keys alone would keep a cut group in one task.
+    sliced = sliced.repartition(*keys, "_slice")
     local = Window.partitionBy(*keys, "_slice").orderBy(*order_by)
     local_before = local.rowsBetween(Window.unboundedPreceding, -1)
     numbered = sliced.withColumn("_local", F.row_number().over(local) - 1)

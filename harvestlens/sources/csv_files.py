@@ -111,21 +111,27 @@ def infer_types(text_rows: DataFrame, columns: list[str]) -> dict[str, str]:
     return types
 
 
-def scan_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> CsvScan:
+def scan_csv(
+    spark: SparkSession, path: str, multi_line: bool | None = None, types: dict[str, str] | None = None
+) -> CsvScan:
     """Read a CSV file, or a folder of CSV files with one header, as typed rows.
 
-    ``multi_line`` is found out from the data unless given.
+    ``multi_line`` and ``types`` (by column name) are found out from the data
+    unless given; each saves one pass over the files.
     """
     text_rows, names = scan_csv_text(spark, path, multi_line)
     columns = [f"c{i}" for i in range(len(names))]
     long_row = F.col(OVERFLOW).isNotNull()
     good = text_rows.filter(~long_row)
-    types = infer_types(good, columns)
+    if types is None:
+        kinds = infer_types(good, columns)
+    else:
+        kinds = {column: types.get(name, "string") for column, name in zip(columns, names)}
     typed = []
     for column, name in zip(columns, names):
         value = _known(F.col(column))
-        if types[column] != "string":
-            value = F.trim(value).try_cast(types[column])
+        if kinds[column] != "string":
+            value = F.trim(value).try_cast(kinds[column])
         typed.append(value.alias(name))
     rejects = text_rows.filter(long_row).select(
         "file_path",
