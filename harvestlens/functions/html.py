@@ -6,7 +6,7 @@ reach. Patterns avoid look-around so that any regex engine can share them.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.functions.urls import resolve_href
@@ -20,19 +20,20 @@ UNRENDERED = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(
     rf"{tag}{_ATTRS}.*?(?:</{tag}[^>]*>|\z)" for tag in ("script", "style", "noscript", "template")
 ) + ")"
 TITLE = rf"(?is)<title{_ATTRS}(.*?)(?:</title|\z)"
-# Everything before the body; without a body tag, the head and the title.
-OUTSIDE_BODY = (
-    rf"(?is)^.*?<body{_ATTRS}|<(?:head{_ATTRS}.*?</head[^>]*>|title{_ATTRS}.*?(?:</title[^>]*>|\z))"
-)
-ODD_SPACE = "\t\r\n\f"
+BODY = rf"(?is)<body{_ATTRS}(.*)"
+TITLE_PART = rf"(?is)<title{_ATTRS}.*?(?:</title[^>]*>|\z)"
+# For pages without a body tag.
+HEAD = rf"(?is)<(?:head{_ATTRS}.*?</head[^>]*>|title{_ATTRS}.*?(?:</title[^>]*>|\z))"
+# A line break set by a tag, kept apart from those of the source.
+BREAK = "\x1e"
 LINE_TAG = (
     r"(?i)<(?:br|/?(?:p|div|li|ul|ol|dl|dt|dd|tr|table|h[1-6]|section|article|header|footer|nav|main|aside"
     r"|blockquote|pre|form|fieldset|figure|figcaption|address|hr|option|body|html))(?:[ /][^>]*)?>"
 )
 CELL_TAG = r"(?i)</?(?:td|th)(?:[ /][^>]*)?>"
 TAG = r"<[/!?A-Za-z][^>]*(?:>|\z)"
-AROUND_LINE = r" *\n[ \n]*"
-BLANKS = r" {2,}"
+SPACE_RUN = r"[\t\r\n\f][ \t\r\n\f]*| [ \t\r\n\f]+"
+AROUND_BREAK = r" ?\x1E[ \x1E]*"
 EDGES = " \t\r\n\f"
 ANCHOR = rf"(?i)<a{SPACE}"
 ANCHOR_WITH_HREF = rf"""(?i)<a{SPACE}(?:[^>]*[ \t\r\n\f"'])?href{SPACE}*="""
@@ -86,34 +87,48 @@ def rendered_markup(html: Column) -> Column:
     return F.regexp_replace(html, UNRENDERED, "")
 
 
-def plain_spaces(text: Column) -> Column:
-    """Tabs and line ends of the source are blanks."""
-    return F.translate(text, ODD_SPACE, " " * len(ODD_SPACE))
-
-
 def title_text(markup: Column) -> Column:
     """Raw title of rendered markup, white space collapsed, references not yet decoded."""
-    raw = plain_spaces(F.regexp_extract(markup, TITLE, 1))
-    return F.btrim(F.regexp_replace(raw, BLANKS, " "), F.lit(EDGES))
+    return F.btrim(F.regexp_replace(F.regexp_extract(markup, TITLE, 1), SPACE_RUN, " "), F.lit(EDGES))
 
 
-def marked_text(markup: Column) -> Column:
-    """Body of rendered markup with line breaks placed and tags gone, references not yet decoded."""
-    body = plain_spaces(F.regexp_replace(markup, OUTSIDE_BODY, ""))
-    lines = F.regexp_replace(body, LINE_TAG, "\n")
-    return F.regexp_replace(F.regexp_replace(lines, CELL_TAG, " "), TAG, "")
+def with_marked_text(df: DataFrame, markup: str, out: str) -> DataFrame:
+    """Add the body of rendered markup with breaks marked and tags gone, references not yet decoded.
+
+    One column per step, so that a step read by a condition is not computed again.
+    """
+    return (
+        df.withColumn("_after_body", F.regexp_extract(markup, BODY, 1))
+        .withColumn(
+            "_body",
+            F.when(F.col("_after_body") == "", F.regexp_replace(markup, HEAD, ""))
+            .when(F.contains("_after_body", F.lit("<title")), F.regexp_replace("_after_body", TITLE_PART, ""))
+            .otherwise(F.col("_after_body")),
+        )
+        .withColumn("_lines", F.regexp_replace("_body", LINE_TAG, BREAK))
+        .withColumn(
+            "_lines",
+            F.when(
+                F.contains("_lines", F.lit("<t")) | F.contains("_lines", F.lit("<T")),
+                F.regexp_replace("_lines", CELL_TAG, " "),
+            ).otherwise(F.col("_lines")),
+        )
+        .withColumn(out, F.regexp_replace("_lines", TAG, ""))
+        .drop("_after_body", "_body", "_lines")
+    )
 
 
 def tidy_lines(text: Column) -> Column:
-    """Collapse blanks and empty lines and trim the ends."""
-    tidy = F.regexp_replace(F.regexp_replace(text, AROUND_LINE, "\n"), BLANKS, " ")
+    """Collapse white space, turn marked breaks into line ends and trim."""
+    tidy = F.regexp_replace(F.regexp_replace(text, SPACE_RUN, " "), AROUND_BREAK, "\n")
     return F.btrim(tidy, F.lit(EDGES))
 
 
 def full_text(html: Column) -> Column:
     """All body text including script content, references not yet decoded."""
-    body = F.regexp_replace(F.regexp_replace(html, COMMENT, ""), OUTSIDE_BODY, "")
-    return F.regexp_replace(body, TAG, "")
+    shown = F.regexp_replace(html, COMMENT, "")
+    body = F.regexp_extract(shown, BODY, 1)
+    return F.regexp_replace(F.when(body != "", body).otherwise(F.regexp_replace(shown, HEAD, "")), TAG, "")
 
 
 def count_links(markup: Column) -> Column:
@@ -132,18 +147,35 @@ def anchor_chunks(markup: Column) -> Column:
     return F.slice(chunks, 2, F.greatest(F.size(chunks) - 1, F.lit(0)))
 
 
-def anchor_href(chunk: Column) -> Column:
-    """Raw ``=value`` of the href attribute, '' when the anchor has none."""
-    return F.regexp_extract(F.regexp_extract(chunk, ANCHOR_ATTRS, 1), HREF, 1)
+def links_of(chunks: Column, bases: Column) -> Column:
+    """ARRAY<STRUCT<text, href>> of the anchors with a target.
 
-
-def anchor_link(chunk: Column, page_url: Column) -> Column:
-    """STRUCT<text, href> of one anchor chunk; href is NULL when the anchor has no target."""
-    raw = anchor_href(chunk)
-    href = decode_entities(F.regexp_replace(raw, HREF_WRAP, ""))
-    label = plain_spaces(F.regexp_extract(chunk, ANCHOR_BODY, 1))
-    label = F.regexp_replace(F.regexp_replace(label, LINE_TAG, "\n"), TAG, "")
-    return F.struct(
-        tidy_lines(decode_entities(label)).alias("text"),
-        F.when(raw != "", resolve_href(page_url, href)).alias("href"),
+    ``bases`` is :func:`harvestlens.functions.urls.base_of` of the page. Each
+    step is an array pass of its own, so that its result is computed once and
+    not once per mention.
+    """
+    raw = F.transform(
+        chunks,
+        lambda c: F.struct(
+            F.regexp_extract(F.regexp_extract(c, ANCHOR_ATTRS, 1), HREF, 1).alias("href"),
+            F.regexp_extract(c, ANCHOR_BODY, 1).alias("label"),
+        ),
+    )
+    targeted = F.filter(raw, lambda r: r["href"] != "")
+    plain = F.transform(
+        targeted,
+        lambda r: F.struct(
+            F.regexp_replace(r["href"], HREF_WRAP, "").alias("href"),
+            F.regexp_replace(F.regexp_replace(r["label"], LINE_TAG, BREAK), TAG, "").alias("label"),
+        ),
+    )
+    decoded = F.transform(
+        plain,
+        lambda r: F.struct(
+            decode_entities(r["href"]).alias("href"), tidy_lines(decode_entities(r["label"])).alias("text")
+        ),
+    )
+    links = F.transform(
+        decoded, lambda r: F.struct(r["text"].alias("text"), resolve_href(bases, r["href"]).alias("href"))
     )
+    return F.filter(links, lambda link: link["href"] != "")

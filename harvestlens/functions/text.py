@@ -14,7 +14,6 @@ BLANK = (
     r"[\x{09}-\x{0D}\x{1C}-\x{20}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
     r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 )
-NOT_BLANK = r"[^" + BLANK[1:]
 
 
 def trim_blank(value: Column) -> Column:
@@ -24,7 +23,7 @@ def trim_blank(value: Column) -> Column:
 
 def is_blank(value: Column) -> Column:
     """True for NULL, empty text and text made of white space only."""
-    return ~F.coalesce(value, F.lit("")).rlike(NOT_BLANK)
+    return F.ltrim(F.coalesce(value, F.lit("")), F.lit(WHITE)) == ""
 
 
 def round4(value: Column) -> Column:

@@ -50,18 +50,26 @@ def url_problem(url: Column) -> Column:
     )
 
 
-def resolve_href(page_url: Column, href: Column) -> Column:
-    """Absolute form of a link target. Dot segments and percent signs stay as written."""
-    origin = F.regexp_extract(page_url, ORIGIN, 1)
+def base_of(page_url: Column) -> Column:
+    """STRUCT of what relative targets on a page are resolved against."""
     directory = F.regexp_extract(page_url, DIRECTORY, 1)
+    return F.struct(
+        F.regexp_extract(page_url, SCHEME, 1).alias("scheme"),
+        F.regexp_extract(page_url, ORIGIN, 1).alias("origin"),
+        F.regexp_extract(page_url, NO_FRAGMENT, 1).alias("page"),
+        F.regexp_extract(page_url, NO_QUERY, 1).alias("path"),
+        F.regexp_replace(directory, r"([^/])$", "$1/").alias("directory"),
+    )
+
+
+def resolve_href(base: Column, href: Column) -> Column:
+    """Absolute form of a link target. Dot segments and percent signs stay as written."""
     return (
-        F.when(href == "", F.regexp_extract(page_url, NO_FRAGMENT, 1))
+        F.when(href == "", base["page"])
         .when(href.rlike(SCHEME), href)
-        .when(href.startswith("//"), F.concat(F.regexp_extract(page_url, SCHEME, 1), F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(origin, href))
-        .when(href.startswith("?"), F.concat(F.regexp_extract(page_url, NO_QUERY, 1), href))
-        .when(href.startswith("#"), F.concat(F.regexp_extract(page_url, NO_FRAGMENT, 1), href))
-        .otherwise(
-            F.concat(directory, F.when(directory.endswith("/"), F.lit("")).otherwise(F.lit("/")), href)
-        )
+        .when(href.startswith("//"), F.concat(base["scheme"], F.lit(":"), href))
+        .when(href.startswith("/"), F.concat(base["origin"], href))
+        .when(href.startswith("?"), F.concat(base["path"], href))
+        .when(href.startswith("#"), F.concat(base["page"], href))
+        .otherwise(F.concat(base["directory"], href))
     )

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.functions import html as H
 from harvestlens.functions.staging import pinned
 from harvestlens.functions.text import is_blank
+from harvestlens.functions.urls import base_of
 
 MAX_TEXT = 20_000
 MAX_HTML_PREVIEW = 50_000
@@ -45,10 +44,15 @@ BLOCKED_MESSAGE = (
 EMPTY_MESSAGE = "The browser received the page, but no usable text or links were available."
 
 
+# A mark that contains another one adds nothing to the test.
+_TESTED_MARKS = [m for m in CHALLENGE_MARKS if not any(o != m and o in m for o in CHALLENGE_MARKS)]
+
+
 def challenge_type(haystack: Column) -> Column:
     """``anti_bot_challenge`` when lower-cased text holds any mark, else NULL."""
-    hit = reduce(lambda a, b: a | b, [F.contains(haystack, F.lit(m)) for m in CHALLENGE_MARKS])
-    return F.when(hit, "anti_bot_challenge")
+    # Substring tests in an array predicate: measured faster than a chain of ORs and than one pattern.
+    marks = F.array(*[F.lit(m) for m in _TESTED_MARKS])
+    return F.when(F.exists(marks, lambda mark: F.contains(haystack, mark)), "anti_bot_challenge")
 
 
 def detect_blocked(df: DataFrame, html: str = "html", text: str = "text", title: str = "title",
@@ -77,7 +81,7 @@ def page_texts(df: DataFrame, html: str = "html", limit: int = MAX_TEXT) -> Data
 
 def _with_text(df: DataFrame, html: str) -> DataFrame:
     """Add the uncut ``_text``; one step per column, because each is read more than once."""
-    visible = df.withColumn("_marked", H.marked_text(F.col("_markup"))).withColumn(
+    visible = H.with_marked_text(df, "_markup", "_marked").withColumn(
         "_visible", H.tidy_lines(H.decode_entities(F.col("_marked")))
     )
     all_text = H.decode_entities(H.full_text(F.col(html)))
@@ -85,16 +89,13 @@ def _with_text(df: DataFrame, html: str) -> DataFrame:
     return pinned(visible, _text=text).drop("_marked", "_visible")
 
 
-def _links(url: str) -> Column:
-    found = F.transform("_chunks", lambda c: H.anchor_link(c, F.col(url)))
-    return F.filter(found, lambda link: link["href"] != "")
-
-
 def page_links(df: DataFrame, html: str = "html", url: str = "url", limit: int = MAX_LINKS) -> DataFrame:
     """Add ``links`` (first ``limit``) as ARRAY<STRUCT<text, href>>, in document order."""
-    return pinned(df, _chunks=H.anchor_chunks(H.rendered_markup(F.col(html)))).withColumn(
-        "links", F.slice(_links(url), 1, limit)
-    ).drop("_chunks")
+    cut = df.withColumn("_chunks", H.anchor_chunks(H.rendered_markup(F.col(html)))).withColumn(
+        "_base", base_of(F.col(url))
+    )
+    links = F.slice(H.links_of(F.col("_chunks"), F.col("_base")), 1, limit)
+    return pinned(cut, links=links).drop("_chunks", "_base")
 
 
 def explode_links(df: DataFrame, key: str, links: str = "links") -> DataFrame:
@@ -140,7 +141,7 @@ def inspect_pages(df: DataFrame, html: str = "html", url: str = "url") -> DataFr
     staged = pinned(staged, _n_links=links, _blank=empty)
     staged = staged.withColumn("_empty", F.col("_blank") & (F.col("_n_links") == 0)).withColumn(
         "_chunks", H.anchor_chunks(F.col("_markup"))
-    )
+    ).withColumn("_base", base_of(F.col(url)))
     kept = [c for c in df.columns if c not in (html, url)]
     return staged.select(
         *kept,
@@ -152,7 +153,7 @@ def inspect_pages(df: DataFrame, html: str = "html", url: str = "url") -> DataFr
         F.col(url).alias("url"),
         "title",
         F.when(F.col("_empty"), "").otherwise(F.left("_text", F.lit(MAX_TEXT))).alias("text"),
-        F.slice(_links(url), 1, MAX_LINKS).alias("links"),
+        F.slice(H.links_of(F.col("_chunks"), F.col("_base")), 1, MAX_LINKS).alias("links"),
         F.col("_n_links").cast("long").alias("link_count"),
         H.count_frames(F.col("_markup")).cast("long").alias("iframe_count"),
         F.length(html).cast("long").alias("html_length"),

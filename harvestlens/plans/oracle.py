@@ -6,7 +6,7 @@ import json
 
 from harvestlens.functions import html as H
 from harvestlens.functions import urls as U
-from harvestlens.functions.text import BLANK, NOT_BLANK
+from harvestlens.functions.text import BLANK
 from harvestlens.operators import contracts, pages, prompts
 from harvestlens.plans import inputs
 from harvestlens.sources import paged
@@ -26,7 +26,7 @@ def _trim(value: str) -> str:
 
 
 def _blank(value: str) -> str:
-    return f"(NOT regexp_matches(coalesce({value}, ''), {_q(NOT_BLANK)}))"
+    return f"regexp_full_match(coalesce({value}, ''), {_q(BLANK + "*")})"
 
 
 def _round4(value: str) -> str:
@@ -45,17 +45,18 @@ def _entities(value: str) -> str:
 _EDGES = r"^[ \t\r\n\f]+|[ \t\r\n\f]+\z"
 
 
-def _spaces(value: str) -> str:
-    return _sub(value, r"[\t\r\n\f]", " ")
+def _tidy(value: str) -> str:
+    return _sub(_sub(_sub(value, H.SPACE_RUN, " "), H.AROUND_BREAK, "\n"), _EDGES)
 
 
-def _tidy(value: str) -> str:
-    return _sub(_sub(_sub(value, H.AROUND_LINE, "\n"), H.BLANKS, " "), _EDGES)
+def _body(markup: str) -> str:
+    found = f"regexp_extract({markup}, {_q(H.BODY)}, 1)"
+    return f"CASE WHEN {found} = '' THEN {_sub(markup, H.HEAD)} ELSE {_sub(found, H.TITLE_PART)} END"
 
 
-_VISIBLE = _sub(_sub(_sub(_spaces(_sub("markup", H.OUTSIDE_BODY)), H.LINE_TAG, "\n"), H.CELL_TAG, " "), H.TAG)
-_ALL_TEXT = _sub(_sub(_sub("html", H.COMMENT), H.OUTSIDE_BODY), H.TAG)
-_TITLE = _sub(_sub(_spaces(f"regexp_extract(markup, {_q(H.TITLE)}, 1)"), H.BLANKS, " "), _EDGES)
+_VISIBLE = _sub(_sub(_sub(_body("markup"), H.LINE_TAG, H.BREAK), H.CELL_TAG, " "), H.TAG)
+_ALL_TEXT = _sub(_body(_sub("html", H.COMMENT)), H.TAG)
+_TITLE = _sub(_sub(f"regexp_extract(markup, {_q(H.TITLE)}, 1)", H.SPACE_RUN, " "), _EDGES)
 
 _PAGE_CTE = f"""
 WITH d AS ({inputs.DIRTY_PAGES}),
@@ -77,7 +78,7 @@ c AS (SELECT page_id, url, regexp_split_to_array(markup, {_q(H.ANCHOR)}) AS chun
 x AS (SELECT page_id, url, unnest(list_slice(chunks, 2, len(chunks))) AS chunk, generate_subscripts(list_slice(chunks, 2, len(chunks)), 1) AS nth FROM c),
 a AS (SELECT *, regexp_extract(regexp_extract(chunk, {_q(H.ANCHOR_ATTRS)}, 1), {_q(H.HREF)}, 1) AS raw FROM x),
 h AS (SELECT *, {_entities(_sub('raw', H.HREF_WRAP))} AS href0,
- {_tidy(_entities(_sub(_sub(_spaces(f"regexp_extract(chunk, {_q(H.ANCHOR_BODY)}, 1)"), H.LINE_TAG, chr(10)), H.TAG)))} AS text
+ {_tidy(_entities(_sub(_sub(f"regexp_extract(chunk, {_q(H.ANCHOR_BODY)}, 1)", H.LINE_TAG, H.BREAK), H.TAG)))} AS text
  FROM a WHERE raw <> ''),
 r AS (SELECT page_id, nth, text, CASE WHEN href0 = '' THEN regexp_extract(url, {_q(U.NO_FRAGMENT)}, 1)
  WHEN regexp_matches(href0, {_q(U.SCHEME)}) THEN href0

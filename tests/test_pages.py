@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from harvestlens.functions import html as H
-from harvestlens.functions.urls import normalize_url, resolve_href, url_problem
+from harvestlens.functions.urls import base_of, normalize_url, resolve_href, url_problem
 from harvestlens.operators import fetch, pages
 
 
@@ -67,11 +67,11 @@ def test_validate_urls_reports_type(spark):
     ],
 )
 def test_resolve_href(spark, href, target):
-    assert value(spark, lambda x: resolve_href(F.lit("https://h.org/a/b?x=2#f"), x), href) == target
+    assert value(spark, lambda x: resolve_href(base_of(F.lit("https://h.org/a/b?x=2#f")), x), href) == target
 
 
 def test_resolve_href_of_a_bare_host(spark):
-    assert value(spark, lambda x: resolve_href(F.lit("https://h.org"), x), "c") == "https://h.org/c"
+    assert value(spark, lambda x: resolve_href(base_of(F.lit("https://h.org")), x), "c") == "https://h.org/c"
 
 
 @pytest.mark.parametrize(
@@ -147,6 +147,16 @@ def test_script_text_stands_in_for_missing_text(spark):
     assert page.success and page.text == "render()"
 
 
+def test_titles_inside_the_body_are_no_text(spark):
+    page = inspect(spark, "<title>T</title><body>a<svg><title>icon</title></svg>b\n <td>c</td></body>")
+    assert (page.title, page.text) == ("T", "ab c")
+
+
+def test_page_without_body_tag(spark):
+    page = inspect(spark, "<head><title>T</title><meta x></head><p>one</p>two")
+    assert page.text == "one\ntwo"
+
+
 def test_missing_markup(spark):
     page = inspect(spark, None)
     assert page.empty_page and page.html_length == 0
