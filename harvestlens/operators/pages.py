@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,9 +52,9 @@ _TESTED_MARKS = [m for m in CHALLENGE_MARKS if not any(o != m and o in m for o i
 
 def challenge_type(haystack: Column) -> Column:
     """``anti_bot_challenge`` when lower-cased text holds any mark, else NULL."""
-    # Substring tests in an array predicate: measured faster than a chain of ORs and than one pattern.
-    marks = F.array(*[F.lit(m) for m in _TESTED_MARKS])
-    return F.when(F.exists(marks, lambda mark: F.contains(haystack, mark)), "anti_bot_challenge")
+    # Plain substring tests stay in generated code and beat one pattern with all marks.
+    hit = reduce(lambda a, b: a | b, [F.contains(haystack, F.lit(m)) for m in _TESTED_MARKS])
+    return F.when(hit, "anti_bot_challenge")
 
 
 def detect_blocked(df: DataFrame, html: str = "html", text: str = "text", title: str = "title",
