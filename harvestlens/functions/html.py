@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from harvestlens.functions.text import literal_map
 from harvestlens.functions.urls import resolve_href
 
 SPACE = r"[ \t\r\n\f]"
@@ -58,7 +59,7 @@ REFERENCE = r"&(#?[A-Za-z0-9]{1,8});"
 
 def _char_of(mark: Column) -> Column:
     """Character a reference names; NULL for unknown ones and for the ampersand, which is decoded last."""
-    known = F.element_at(F.create_map(*[F.lit(x) for item in ENTITIES.items() for x in item]), mark)
+    known = F.element_at(literal_map(ENTITIES), mark)
     digits = F.when(F.lower(mark).startswith("#x"), F.conv(F.substr(mark, F.lit(3)), 16, 10)).otherwise(
         F.substr(mark, F.lit(2))
     )

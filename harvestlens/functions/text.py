@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -34,3 +36,9 @@ def round4(value: Column) -> Column:
 def path_of(root: str, *parts: Column) -> Column:
     """Join a root and path parts with slashes."""
     return F.concat_ws("/", F.lit(root.rstrip("/")), *parts)
+
+
+def literal_map(values: Mapping[str, str]) -> Column:
+    """Constant MAP<STRING, STRING>, built from one text so that a long table costs a single call to the JVM."""
+    packed = "\x02".join(f"{key}\x03{value}" for key, value in values.items())
+    return F.str_to_map(F.lit(packed), F.lit("\x02"), F.lit("\x03"))

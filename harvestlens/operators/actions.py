@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
 from harvestlens.functions.staging import pinned
-from harvestlens.functions.text import round4, trim_blank
+from harvestlens.functions.text import literal_map, round4, trim_blank
 from harvestlens.functions.variants import (
     fields_of,
     is_object,
@@ -105,8 +105,7 @@ def parse_actions(df: DataFrame, response: str = "response", strict: str = "nati
 
 
 def _parse_message(error_type: Column) -> Column:
-    pairs = [F.lit(x) for item in PARSE_MESSAGES.items() for x in item]
-    return F.element_at(F.create_map(*pairs), error_type)
+    return F.element_at(literal_map(PARSE_MESSAGES), error_type)
 
 
 def accepted(parsed: DataFrame) -> DataFrame:

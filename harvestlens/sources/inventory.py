@@ -8,6 +8,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from harvestlens.functions.text import literal_map
 from harvestlens.sources.workbooks import read_workbooks
 
 # The standard library's own table; system files are not consulted, so all executors agree.
@@ -41,11 +42,10 @@ def list_files(spark: SparkSession, path: str, glob: str | None = None) -> DataF
 
 def describe_files(listing: DataFrame) -> DataFrame:
     """Add ``extension`` and ``guessed_mime_type`` (``unknown`` when the extension is)."""
-    pairs = [F.lit(x) for item in MEDIA_TYPES.items() for x in item]
     # A compressed file has the type of what is inside: a.csv.gz is a CSV file.
     inner = extension_of(F.regexp_replace("path", COMPRESSED, ""))
     return listing.withColumn("extension", extension_of(F.col("path"))).withColumn(
-        "guessed_mime_type", F.coalesce(F.element_at(F.create_map(*pairs), inner), F.lit("unknown"))
+        "guessed_mime_type", F.coalesce(F.element_at(literal_map(MEDIA_TYPES), inner), F.lit("unknown"))
     )
 
 
