@@ -25,7 +25,8 @@ from pyspark.sql import functions as F
 from harvestlens.llm.common import saved
 
 TABLES = 8
-PROBES = 10
+#: Share of a table's cells that a query visits.
+SHARE = 0.12
 #: Vectors and queries compared in one task step, at most about.
 BLOCK = 4096
 
@@ -74,7 +75,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def nearest(
-    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, probes: int = PROBES, seed: int = 1
+    vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, share: float = SHARE, seed: int = 1
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k rows with the largest inner product found for each query.
 
@@ -107,8 +108,6 @@ def nearest(
     longest = index.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
 
     def hashed(is_query: bool):
-        count = probes if is_query else 1
-
         def run(batches):
             for pdf in batches:
                 for size, same in pdf.groupby(pdf["v"].map(len)):
@@ -116,10 +115,11 @@ def nearest(
                     norm = np.linalg.norm(m, axis=1, keepdims=True)
                     extra = np.zeros_like(norm) if is_query else np.sqrt(np.maximum(0, longest**2 - norm**2))
                     unit = np.hstack([m, extra]) / (norm if is_query else longest)
-                    if np.allclose(extra, 0, atol=1e-6 * longest) and (is_query or len(m)) and flat:
+                    if flat:
                         unit = unit[:, :-1]
                     for table in range(tables):
-                        near = cells(unit, table, min(count, 2 * unit.shape[1]), seed)
+                        axes = 2 << (unit.shape[1] - 1).bit_length()
+                        near = cells(unit, table, max(1, round(share * axes)) if is_query else 1, seed)
                         cell = (np.int64(size) * tables + table) * 2**20 + near
                         for j in range(near.shape[1]):
                             out = same[["key"]].assign(cell=cell[:, j], v=same["v"])
@@ -174,7 +174,7 @@ def nearest(
     lists = left.groupBy("cell", "qb", "nb").cogroup(right.groupBy("cell", "qb", "nb")).applyInPandas(
         compare, "query string, found array<struct<score double, key string>>"
     )
-    # At most tables * probes * blocks short lists per query; each visits few distinct vectors twice.
+    # A bounded number of short lists per visited block per query; each visits few distinct vectors twice.
     met = lists.select("query", F.explode("found").alias("f")).select("query", "f.score", "f.key").distinct()
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     ids = index.select("key", "id", "members")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm import licenses, mixing, neighbours, quality, sharding, sketches, wordpieces
+from harvestlens.llm import licenses, mixing, neardup, neighbours, quality, sharding, sketches, wordpieces
 from harvestlens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), 20)
+
+
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_groups(table(spark, sf_dir, "documents"), words=2, percent=80)
