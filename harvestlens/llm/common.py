@@ -99,3 +99,29 @@ def components(edges: DataFrame) -> DataFrame:
             "edges",
         )
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select("v", "v").distinct())
+
+
+#: Bits of a membership filter. It stays this size whatever the data: beyond, it only passes more rows.
+FILTER_BITS = 2**24
+
+
+def membership(hashes: DataFrame) -> DataFrame:
+    """(_word, _bits): a bitmap of the one column of hashes, at most FILTER_BITS / 64 rows, so safe to broadcast."""
+    (name,) = hashes.columns
+    at = hashes.select(F.pmod(F.col(name), F.lit(FILTER_BITS)).alias("_at"))
+    return saved(
+        at.groupBy(F.expr("_at div 64").alias("_word")).agg(F.expr("bit_or(shiftleft(1L, cast(_at % 64 as int)))").alias("_bits")),
+        "filter",
+    )
+
+
+def flagged(df: DataFrame, hashed: Column, bitmap: DataFrame, name: str) -> DataFrame:
+    """``df`` with a boolean column: False where the hash certainly is not in the bitmap. Rows stay where they are."""
+    at = F.pmod(hashed, F.lit(FILTER_BITS))
+    return (
+        df.withColumn("_at", at)
+        .withColumn("_word", F.expr("_at div 64"))
+        .join(F.broadcast(bitmap), "_word", "left")
+        .withColumn(name, F.expr("coalesce(shiftright(_bits, cast(_at % 64 as int)) & 1, 0) = 1"))
+        .drop("_at", "_word", "_bits")
+    )

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import components, mapped, saved
+from harvestlens.llm.common import components, flagged, mapped, membership, saved
 from harvestlens.llm.linking import linked, shared_keys
 
 BANDS, BAND_ROWS, BITS = 32, 5, 2
@@ -143,10 +143,11 @@ def estimate(a: Column, b: Column) -> Column:
 
 def full_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     """id and full set of the class representatives that share a band with another."""
-    # A repeated row has its set once: equal sets of one doc_id are the same.
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(
-        needed.select(F.col("id").alias("doc_id")), "doc_id"
-    )
+    numbers = needed.select(F.col("id").alias("doc_id"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Texts that surely are not needed stay where they are.
+    bitmap = membership(numbers.select(F.xxhash64("doc_id")))
+    texts = flagged(texts, F.xxhash64("doc_id"), bitmap, "_maybe").where("_maybe").drop("_maybe").join(numbers, "doc_id")
     found = shingle_sets(texts, words).join(needed.withColumnRenamed("id", "doc_id"), ["doc_id", "hi", "lo"])
     return saved(found.select(F.col("doc_id").alias("id"), "shingles"), "sets")
 
@@ -171,7 +172,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
         "classes",
     )
     shared = shared_keys(classes.select("id", F.explode("bands").alias("key")))
-    needed = shared.select("id").distinct().join(classes.select("id", "hi", "lo"), "id")
+    needed = saved(shared.select("id").distinct().join(classes.select("id", "hi", "lo"), "id"), "needed")
     sets = full_sets(docs, needed, words)
 
     def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:

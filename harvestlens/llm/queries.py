@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.llm import licenses, mixing, neardup, neighbours, packing, quality, sharding, sketches, wordpieces
+from harvestlens.llm import (
+    licenses,
+    lines,
+    mixing,
+    neardup,
+    neighbours,
+    packing,
+    quality,
+    sharding,
+    sketches,
+    wordpieces,
+)
 from harvestlens.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +94,9 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@query
+def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lines.deduplicated(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_lines", "n_removed", "text")
