@@ -2,7 +2,7 @@
 
 First every item is compared with one centre of each key it has, which joins groups of
 near copies at a cost in proportion to their size. Then only members of a key that are
-still in different components are paired, so that no link between components is lost.
+still in different components are compared, so that no link between components is lost.
 """
 
 from __future__ import annotations
@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from harvestlens.llm.common import components, saved
 
+#: Members of a key up to which its pairs are made one by one.
+FEW = 8
+
 
 def shared_keys(keys: DataFrame) -> DataFrame:
     """(key, id, center): the rows of keys (id, key) whose key has several ids, with the smallest of them."""
@@ -29,12 +32,16 @@ def linked(
     shared: DataFrame,
     close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
+    families: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Edges (a, b) that connect all items which share a key, are ``close`` and pass ``verify``.
 
     ``items`` has id and the columns that ``close`` compares (it must not refuse a pair
     that verify accepts). ``shared`` comes from shared_keys. ``verify`` gets pairs
     (a, b) and returns those that are links. Pairs within one component are left out.
+
+    ``families`` takes over the keys of more than FEW members that are still open: it
+    gets (center, id, root) and returns links between the roots of a center.
     """
     attributes = [c for c in items.columns if c != "id"]
 
@@ -52,20 +59,26 @@ def linked(
 
     roots = saved(components(first), "roots")
     members = saved(
-        shared.join(roots, shared.id == roots.node, "left").select("key", "id", F.coalesce("root", "id").alias("root")),
+        shared.join(roots, shared.id == roots.node, "left").select("key", "id", "center", F.coalesce("root", "id").alias("root")),
         "members",
     )
     open_keys = saved(
-        members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"),
+        members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("n"))
+        .where("low < high").select("key", "n"),
         "open",
     )
-    rest = saved(members.join(open_keys, "key").join(items, "id"), "rest")
+    rest = members.join(open_keys, "key")
+    few = rest.where(F.col("n") <= FEW) if families else rest
+    few = saved(few.drop("n", "center").join(items, "id"), "rest")
 
     def half(letter: str) -> DataFrame:
-        return rest.select("key", *[F.col(c).alias(letter if c == "id" else f"{letter}_{c}") for c in ["id", "root", *attributes]])
+        return few.select("key", *[F.col(c).alias(letter if c == "id" else f"{letter}_{c}") for c in ["id", "root", *attributes]])
 
     pairs = half("a").join(half("b"), "key").where(
         (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & close(of("a"), of("b"))
     ).select("a", "b").distinct()
-    second = saved(verify(saved(pairs.join(stars, ["a", "b"], "left_anti"), "near")).select("a", "b"), "links")
-    return first.union(second)
+    links = first.union(saved(verify(saved(pairs.join(stars, ["a", "b"], "left_anti"), "near")).select("a", "b"), "links"))
+    if families:
+        many = rest.where(F.col("n") > FEW).select("center", "id", "root").distinct()
+        links = links.union(saved(families(saved(many, "families")).select("a", "b"), "links"))
+    return links

@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -152,6 +153,59 @@ def full_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
     return saved(found.select(F.col("doc_id").alias("id"), "shingles"), "sets")
 
 
+#: Members of a family that are compared with as many others in one task step.
+FAMILY_BLOCK = 1024
+
+
+def compare_family(ids: np.ndarray, roots: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links that join different roots, by exact intersections of bit sets; of two roots one link is enough."""
+    sizes = np.array([len(s) for s in sets])
+    vocabulary, places = np.unique(np.concatenate(sets), return_inverse=True)
+    # Shingles that one member alone has add nothing to an intersection.
+    counts = np.bincount(places)
+    column = np.cumsum(counts > 1) - 1
+    flags = np.zeros((len(sets), ((counts > 1).sum() + 64) // 64 * 64), bool)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    often = counts[places] > 1
+    flags[owner[often], column[places[often]]] = True
+    bits = np.packbits(flags, axis=1).view(np.uint64)
+
+    order = np.unique(roots)
+    joined = np.arange(len(order))  # the current root of each root
+    at = np.searchsorted(order, roots)
+    links = []
+    # Members of small roots are compared with all; those of the largest root not with each other.
+    largest = np.bincount(at).argmax()
+    for k in np.flatnonzero(at != largest):
+        both = np.bitwise_count(bits & bits[k]).sum(axis=1, dtype=np.int64)
+        near = 100 * both >= percent * (sizes + sizes[k] - both)
+        for other in np.unique(at[near]):
+            if joined[other] != joined[at[k]]:
+                links.append((int(ids[k]), int(ids[np.flatnonzero(near & (at == other))[0]])))
+                joined[joined == joined[other]] = joined[at[k]]
+    return links
+
+
+def family_links(families: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(center, id, root) -> links (a, b) between roots. Large families are compared block by block."""
+    sizes = families.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = (
+        families.join(saved(sizes, "sizes"), "center")
+        .withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("center", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "root")
+        .join(sets, "id")
+    )
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id")
+        found = compare_family(group["id"].to_numpy(), group["root"].to_numpy(), group["shingles"].tolist(), percent)
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("center", "one", "two").applyInPandas(run, "a long, b long")
+
+
 def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -187,7 +241,9 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
             100 * both >= percent * (F.size("sa") + F.size("sb") - both)
         ).select("a", "b")
 
-    edges = linked(classes.select("id", "n", "signature"), shared, close, verify)
+    edges = linked(
+        classes.select("id", "n", "signature"), shared, close, verify, lambda many: family_links(many, sets, percent)
+    )
     # A doc_id with several texts links their classes.
     own = able.select("doc_id", "hi", "lo").distinct()
     several = own.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
