@@ -1,11 +1,12 @@
 """Fuzzy line deduplication.
 
-Lines are compared in normalised form: lower case, no ASCII punctuation, single blanks.
-Equal forms are one line from the start. Of each form a 64-bit SimHash of its words is
-taken. Two hashes that differ in at most three bits agree in one of four blocks (or in
-two of five, three of six); lines that share such blocks are candidates. Candidates
-whose edit distance is at most a tenth of the longer form are linked, and of each
-connected group the first occurrence (smallest doc_id, then text hash, then place) stays.
+Lines are compared in normalised form: A-Z in lower case, no ASCII punctuation, single
+blanks. Equal forms are one line from the start. Of each form a 64-bit SimHash of its
+words is taken. Two hashes that differ in at most three bits agree in one of four blocks
+(or in two of five, three of six); lines that share such blocks are candidates.
+Candidates whose edit distance, in words, is at most a fifth of the longer form are
+linked, and of each connected group the first occurrence (smallest doc_id, then text
+hash, then place) stays.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from collections.abc import Callable
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -25,16 +27,43 @@ from harvestlens.llm.sketches import NO_ID
 
 BITS = 64
 MOST_DIFFERENT = 3
-SIMILARITY = 0.9
-PUNCTUATION = {c: " " if chr(c) in "-/_|" else None for c in range(33, 127) if not chr(c).isalnum()}
-
-
-def normalised(text: str) -> list[str]:
-    """The normal form of each line of a text; empty for lines without a letter or digit."""
-    return [" ".join(line.split()) for line in text.lower().translate(PUNCTUATION).split("\n")]
-
-
-def simhashes(words: list[list[str]], hashes: WordHashes) -> np.ndarray:
+SIMILARITY = 0.8
+KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "-/_|" else c for c in range(256))
+DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "-/_|")
+
+
+def normalised(text: bytes) -> list[list[bytes]]:
+    """The words of each line of a text in normal form; none for lines without a letter or digit."""
+    return [line.split() for line in text.translate(KEEP, DROP).split(b"\n")]
+
+
+def edit_distance(a: list, b: list) -> int:
+    """Levenshtein distance of two sequences, a column of differences at a time as the bits of two numbers."""
+    if not a or not b:
+        return len(a) + len(b)
+    places: dict = {}
+    for k, item in enumerate(a):
+        places[item] = places.get(item, 0) | 1 << k
+    whole, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
+    up, down, distance = whole, 0, len(a)
+    for item in b:
+        same = places.get(item, 0)
+        diagonal = (((same & up) + up) ^ up) | same | down
+        more, less = down | ~(diagonal | up) & whole, up & diagonal
+        distance += bool(more & last) - bool(less & last)
+        more, less = (more << 1 | 1) & whole, less << 1 & whole
+        up, down = less | ~(diagonal | more) & whole, more & diagonal
+    return distance
+
+
+def similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether the edit distance in words is at most 1 - similarity of the longer."""
+    one, two = a.split(), b.split()
+    most = int((1 - similarity) * max(len(one), len(two)) + 1e-9)
+    return abs(len(one) - len(two)) <= most and edit_distance(one, two) <= most
+
+
+def simhashes(words: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
     """SimHash of each non-empty list of words: the majority of the words' hash bits."""
     counts = np.array([len(w) for w in words])
     flat = np.fromiter((hashes[w] for line in words for w in line), np.uint64, counts.sum())
@@ -47,27 +76,27 @@ OCCURRENCES = "id0 long, th long, line int, hi long, lo long, simhash long, leng
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place, a 128-bit hash of the normal form, its SimHash and length in characters."""
+    """Every line with a word: its place, a 128-bit hash of the normal form, its SimHash and its number of words."""
     state: list[WordHashes] = []
 
     def rows(batch: dict) -> dict:
         hashes = state[0] if state else state.append(WordHashes()) or state[0]
         columns: list[list] = [[] for _ in range(7)]
         for id0, th, text in zip(batch["id0"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
-            forms = [(k, form) for k, form in enumerate(normalised(text.as_py() or "")) if form]
+            forms = [(k, form) for k, form in enumerate(normalised(text.as_py() or b"")) if form]
             if not forms:
                 continue
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(f) for _, f in forms), np.int64).reshape(-1, 2)
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(f)) for _, f in forms), np.int64).reshape(-1, 2)
             columns[0] += [id0] * len(forms)
             columns[1] += [th] * len(forms)
             columns[2] += [k for k, _ in forms]
             columns[3] += digests[:, 0].tolist()
             columns[4] += digests[:, 1].tolist()
-            columns[5] += simhashes([f.split(" ") for _, f in forms], hashes).tolist()
+            columns[5] += simhashes([f for _, f in forms], hashes).tolist()
             columns[6] += [len(f) for _, f in forms]
         return dict(zip([c.split()[0] for c in OCCURRENCES.split(", ")], columns, strict=True))
 
-    return mapped(keyed(docs).select("id0", "th", "text"), rows, OCCURRENCES)
+    return mapped(keyed(docs).selectExpr("id0", "th", "cast(text as binary) text"), rows, OCCURRENCES)
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -76,7 +105,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def block_masks(forms: int) -> list[int]:
     """Masks of the blocks that must agree: more of them, and longer together, for more lines. All find the same pairs."""
-    blocks, together = (4, 1) if forms < 2**22 else (5, 2) if forms < 2**31 else (6, 3)
+    blocks, together = (4, 1) if forms < 2**18 else (5, 2) if forms < 2**31 else (6, 3)
     ends = [round(BITS * k / blocks) for k in range(blocks + 1)]
     single = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(ends, ends[1:], strict=False)]
     return [sum(c) - (2**BITS if sum(c) >= 2 ** (BITS - 1) else 0) for c in combinations(single, together)]
@@ -88,16 +117,14 @@ def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     bitmap = membership(places.select(F.xxhash64("id0", "th")))
     texts = flagged(keyed(docs.select("doc_id", "text")), F.xxhash64("id0", "th"), bitmap, "_maybe").where("_maybe")
 
-    @F.arrow_udf("array<string>")
-    def forms(batch):
-        import pyarrow as pa
-
-        return pa.array([normalised(t.as_py() or "") for t in batch], pa.list_(pa.string()))
+    @F.arrow_udf("array<binary>")
+    def forms(batch: pa.Array) -> pa.Array:
+        return pa.array([[b" ".join(w) for w in normalised(t.as_py() or b"")] for t in batch], pa.list_(pa.binary()))
 
     by_text = places.groupBy("id0", "th").agg(F.collect_list(F.struct("line", "id")).alias("at"))
     return (
         texts.select("id0", "th", "text").join(by_text, ["id0", "th"])
-        .withColumn("forms", forms("text"))
+        .withColumn("forms", forms(F.col("text").cast("binary")))
         .select(F.explode("at").alias("one"), "forms")
         .select("one.id", F.get("forms", F.col("one.line")).alias("form"))
         .dropDuplicates(["id"])
@@ -122,6 +149,10 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         fits = F.least(a("length"), b("length")) >= similarity * F.greatest(a("length"), b("length"))
         return fits & (F.bit_count(a("simhash").bitwiseXOR(b("simhash"))) <= MOST_DIFFERENT)
 
+    @F.arrow_udf("boolean")
+    def same(one: pa.Array, two: pa.Array) -> pa.Array:
+        return pa.array([similar(a.as_py(), b.as_py(), similarity) for a, b in zip(one, two, strict=True)], pa.bool_())
+
     def verify(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
         texts = saved(
@@ -129,8 +160,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         )
         a = texts.select(F.col("id").alias("a"), F.col("form").alias("fa"))
         b = texts.select(F.col("id").alias("b"), F.col("form").alias("fb"))
-        most = f"cast(floor({1 - similarity} * greatest(char_length(fa), char_length(fb)) + 1e-9) as int)"
-        return pairs.join(a, "a").join(b, "b").where(F.expr(f"levenshtein(fa, fb, {most}) >= 0")).select("a", "b")
+        return pairs.join(a, "a").join(b, "b").where(same("fa", "fb")).select("a", "b")
 
     roots = saved(components(linked(forms.select("id", "simhash", "length"), shared, close, verify)), "roots")
     grouped = forms.join(roots, forms.id == roots.node, "left")
@@ -144,14 +174,14 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All rows and columns, the text without its removed lines; n_lines and n_removed are added or replaced.
+    """All rows and columns, the text without its removed lines; n_removed is added or replaced.
 
     Lines end at line feeds. Lines without a letter or digit are no one's copy and stay;
     so does a NULL text. A text may be left empty. Rows equal in doc_id and text are one
     document: their lines stay in each of them or go from each. Rows without doc_id come
     first in the order of occurrences.
     """
-    columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    columns = [c for c in docs.columns if c != "n_removed"]
     gone = saved(
         removed_lines(docs, similarity).distinct().groupBy("id0", "th").agg(F.collect_list("line").alias("gone")), "gone"
     )
@@ -170,8 +200,7 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     text = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
     return (
         same.union(cut)
-        .withColumn("n_lines", F.when(F.col("text").isNotNull(), F.size(split)).otherwise(0))
         .withColumn("text", F.when(F.col("gone").isNotNull(), text).otherwise(F.col("text")))
         .withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)))
-        .select(*columns, "n_lines", "n_removed")
+        .select(*columns, "n_removed")
     )

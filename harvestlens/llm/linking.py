@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import components, saved
+from harvestlens.llm.common import components, flagged, membership, saved
 
 #: Members of a key up to which its pairs are made one by one.
 FEW = 8
@@ -24,7 +24,10 @@ def shared_keys(keys: DataFrame) -> DataFrame:
         keys.groupBy("key").agg(F.min("id").alias("center"), F.max("id").alias("last")).where("center < last").drop("last"),
         "centers",
     )
-    return saved(keys.join(centers, "key").select("key", "id", "center"), "shared")
+    # Most keys have one id: their rows stay where they are.
+    bitmap = membership(centers.select("key"))
+    rows = flagged(keys, F.col("key"), bitmap, "_maybe").where("_maybe")
+    return saved(rows.join(centers, "key").select("key", "id", "center"), "shared")
 
 
 def linked(

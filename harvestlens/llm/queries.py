@@ -99,4 +99,4 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lines.deduplicated(table(spark, sf_dir, "documents"))
-    return rows.select("doc_id", "n_lines", "n_removed", "text")
+    return rows.select("doc_id", "n_removed", "text")
