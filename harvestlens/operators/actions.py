@@ -194,20 +194,24 @@ def normalize_results(df: DataFrame, result: str = "result_json", duration: str
     """Unpack JSON tool results: success (true when the key is absent), message, file_path, duration, payload.
 
     A result that is no object is wrapped: it succeeded and ``payload`` is the bare value.
+    A missing or unreadable result is a failure of type ``UnreadableResult`` without payload.
     """
     text = F.col(result)
     payload = F.col("payload")
     read = df.withColumn("_pair", strict_pair(text))
     return (
         pinned(read, payload=strict_value(F.col("_pair"), text))
-        .withColumn("wrapped", ~is_object(payload))
+        .withColumn("wrapped", payload.isNotNull() & ~F.coalesce(is_object(payload), F.lit(False)))
         .withColumn(
             "success",
-            F.when(F.col("wrapped"), True).otherwise(
+            F.when(payload.isNull(), False).when(F.col("wrapped"), True).otherwise(
                 F.coalesce(truthy(F.try_variant_get(payload, "$.success", "variant")), F.lit(True))
             ),
         )
-        .withColumn("error_type", F.try_variant_get(payload, "$.error_type", "string"))
+        .withColumn(
+            "error_type",
+            F.when(payload.isNull(), "UnreadableResult").otherwise(F.try_variant_get(payload, "$.error_type", "string")),
+        )
         .withColumn("message", F.try_variant_get(payload, "$.message", "string"))
         .withColumn("recoverable", F.try_variant_get(payload, "$.recoverable", "boolean"))
         .withColumn("file_path", F.try_variant_get(payload, "$.file_path", "string"))

@@ -63,11 +63,13 @@ def ranked(
 
     large = large_groups(base, keys, F.col("_pos"), min_rows)
     nth = F.least(F.floor((F.col("_pos") - F.col("_lo")) / F.col("_width")), F.col("_slices") - 1)
+    # Rows without a position come first in their group, and so does slice 0; groups that are not cut have no other.
+    nth = F.when(F.col("_pos").isNull() | F.col("_lo").isNull(), 0).otherwise(nth).cast("long")
 
     # Prefix sums over the slices of cut groups only: a few thousand rows at most.
     per_slice = (
         base.join(F.broadcast(large), list(keys))
-        .groupBy(*keys, nth.cast("long").alias("_slice"))
+        .groupBy(*keys, nth.alias("_slice"))
         .agg(F.count(F.lit(1)).alias("_c"), *[F.max(f).alias(f"{f}_any") for f in flags])
     )
     earlier = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -78,9 +80,7 @@ def ranked(
         *[F.coalesce(F.max(f"{f}_any").over(earlier), F.lit(False)).alias(f"{f}_before") for f in flags],
     )
 
-    sliced = base.join(F.broadcast(large), list(keys), "left").withColumn(
-        "_slice", F.coalesce(nth.cast("long"), F.lit(0).cast("long"))
-    ).drop("_lo", "_width", "_slices")
+    sliced = base.join(F.broadcast(large), list(keys), "left").withColumn("_slice", nth).drop("_lo", "_width", "_slices")
     # Without this, an input already partitioned by the keys alone would keep a cut group in one task.
     sliced = sliced.repartition(*keys, "_slice")
     local = Window.partitionBy(*keys, "_slice").orderBy(*order_by)

@@ -131,3 +131,14 @@ def test_tool_errors(spark):
     got = [(r.success, r.error_type, r.message, r.recoverable) for r in actions.tool_error_results(df).collect()]
     assert got == [(False, "RuntimeError", "kept", True), (False, "CsvReadError", "m", False),
                    (False, "ToolExecutionError", "", True)]
+
+
+def test_unreadable_results_are_failures(spark):
+    from harvestlens.operators.actions import normalize_results
+
+    texts = ['{"success":false,"message":"boom"', None, '"plain"', "null", '{"a":1}']
+    table = spark.createDataFrame([(k, t, 1.0) for k, t in enumerate(texts)], "k int, result_json string, duration double")
+    got = {r.k: r for r in normalize_results(table).drop("payload").collect()}
+    assert [got[k].success for k in range(5)] == [False, False, True, True, True]
+    assert [got[k].wrapped for k in range(5)] == [False, False, True, True, False]
+    assert got[0].error_type == got[1].error_type == "UnreadableResult"

@@ -195,3 +195,15 @@ def test_stream_equals_batch_with_early_and_repeated_turns(spark, tmp_path):
     assert {tuple(r) for r in final.select(columns).collect()} == {tuple(r) for r in batch.select(columns).collect()}
     n = spark.read.parquet(f"{tmp_path}/out").count()
     assert run_stream(spark, folder, tmp_path).count() == n
+
+
+def test_cut_groups_rank_missing_positions_like_uncut_ones(spark):
+    from harvestlens.operators.ordering import ranked
+
+    rows = [(1, k, None if k < 5 else k) for k in range(20)] + [(2, 0, 3)]
+    turns = spark.createDataFrame(rows, "run long, event long, at long")
+    cut, uncut = (
+        sorted(map(tuple, ranked(turns, ["run"], ["at", "event"], min_rows=n).fillna(-1, ["at"]).collect())) for n in (4, 1_000)
+    )
+    assert cut == uncut
+    assert sorted(r[-1] for r in cut if r[0] == 1) == list(range(20))
