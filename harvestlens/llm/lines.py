@@ -1,33 +1,40 @@
 """Fuzzy line deduplication.
 
 Lines are compared in normalised form: A-Z in lower case, no ASCII punctuation, single
-blanks. Equal forms are one line from the start. Of each form a 64-bit SimHash of its
-words is taken. Two hashes that differ in at most three bits agree in one of four blocks
-(or in two of five, three of six); lines that share such blocks are candidates.
-Candidates whose edit distance, in words, is at most a fifth of the longer form are
-linked, and of each connected group the first occurrence (smallest doc_id, then text
-hash, then place) stays.
+blanks. Equal forms are one line from the start. Forms whose edit distance, in words, is
+at most a fifth of the longer form are linked, and of each connected group the first
+occurrence (smallest doc_id, then text hash, then place) stays.
+
+Candidates are complete: one edit changes at most two of a line's word pairs, so linked
+forms have a known number of word pairs in common, and, in any fixed order of all word
+pairs, some of them lie among the first few of both lines (prefix filter). Word pairs that
+a sample shows to be frequent come last in that order. It decides on the work only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from itertools import combinations
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.llm.common import components, flagged, mapped, membership, saved, text_key
-from harvestlens.llm.linking import linked, shared_keys
-from harvestlens.llm.neardup import WordHashes
+from harvestlens.llm.linking import linked
+from harvestlens.llm.neardup import MIX, WordHashes, mixed
 from harvestlens.llm.sketches import NO_ID
 
-BITS = 64
-MOST_DIFFERENT = 3
 SIMILARITY = 0.8
+#: Word pairs that candidates have in common, if their lengths allow: single ones are often chance.
+IN_COMMON = 3
+#: Documents whose word pairs are counted, and the most word pairs kept of them.
+SAMPLE, FREQUENT = 4000, 2**15
+#: Word pairs of a bucket, about, and those that a task gathers before it passes them on.
+BUCKET, GATHERED = 2**20, 2**19
 KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "-/_|" else c for c in range(256))
 DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "-/_|")
 
@@ -72,16 +79,145 @@ def simhashes(words: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
     return np.packbits(ones * 2 > counts[:, None], axis=1).view(np.int64).ravel()
 
 
-OCCURRENCES = "id0 long, th long, line int, hi long, lo long, simhash long, length int"
+@cache
+def prefix(n: int, similarity: float) -> tuple[int, int]:
+    """Of a line of n words: how many of its first word pairs are keys, and how many of them a similar line has too.
 
+    (0, 0) if only equal lines are similar. Complete for a similarity of 0.75 or more.
+    """
+    longest = int(n / similarity + 1e-9)
+    edits = {m: int((1 - similarity) * m + 1e-9) for m in range(n, min(longest, n + 2 * int(1 / (1 - similarity) + 1)) + 1)}
+    if not any(edits.values()):
+        return 0, 0
+    least = min(m - 1 - 2 * d for m, d in edits.items())
+    shared = max(1, min(IN_COMMON, least))
+    return min(n - 1, n - 1 - least + shared), shared
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place, a 128-bit hash of the normal form, its SimHash and its number of words."""
+
+def word_pairs(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the line and the 48-bit hash of all neighbouring words of the lines."""
+    counts = np.array([len(w) for w in words])
+    flat = np.fromiter((hashes[w] for line in words for w in line), np.uint64, counts.sum())
+    line = np.repeat(np.arange(len(words)), counts)
+    inside = line[1:] == line[:-1]
+    return line[1:][inside], mixed(flat[:-1] * MIX + flat[1:])[inside] >> np.uint64(16)
+
+
+def pair_keys(words: list[list[bytes]], hashes: WordHashes, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the line and the key of the first word pairs of each line; repeated pairs are told apart."""
+    line, pair = word_pairs(words, hashes)
+    if not len(pair):
+        return line, pair
+    known, often = frequent
+    if len(known):
+        at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
+        pair |= np.where(known[at] == pair, often[at], np.uint64(0)) << np.uint64(48)
+    order = np.lexsort((pair, line))
+    pair = pair[order]
+    place = np.arange(len(pair))
+    new_line = np.r_[True, line[1:] != line[:-1]]
+    new = new_line | np.r_[True, pair[1:] != pair[:-1]]
+    repeat = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
+    within = place - np.maximum.accumulate(np.where(new_line, place, 0))
+    first = np.array([prefix(len(w), similarity)[0] for w in words])[line]
+    taken = within < first
+    return line[taken], mixed(pair[taken] * MIX + repeat[taken])
+
+
+def frequent_pairs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes and counts of the word pairs that a sample of the documents holds several times."""
     state: list[WordHashes] = []
 
     def rows(batch: dict) -> dict:
         hashes = state[0] if state else state.append(WordHashes()) or state[0]
-        columns: list[list] = [[] for _ in range(7)]
+        words = [w for t in batch["text"] for w in normalised(t.as_py() or b"") if w]
+        return {"pair": word_pairs(words, hashes)[1].view(np.int64) if words else []}
+
+    share = min(1.0, SAMPLE / max(1, docs.count()))
+    sample = docs.selectExpr("cast(text as binary) text").sample(share, seed=1)
+    found = mapped(sample, rows, "pair long").groupBy("pair").count().where("count > 3").orderBy(F.desc("count"), "pair").limit(FREQUENT)
+    pairs = sorted((r[0], min(r[1], 2**16 - 1)) for r in found.collect())
+    return np.array([p for p, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.uint64)
+
+
+def shared_pairs(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, id, center): the forms (id: the low half of their hash) that have a key in common with another of fitting length.
+
+    Keys travel packed, in buckets. A bucket is a bounded part of all keys.
+    """
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs))
+    buckets = max(12, words // 2 // BUCKET)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size, seen = WordHashes(), [], 0, set()
+
+        def passed() -> pa.RecordBatch:
+            key, one, length = (np.concatenate(c) for c in zip(*held, strict=True))
+            bucket = (key >> np.uint64(33)) % np.uint64(buckets)
+            order = np.argsort(bucket, kind="stable")
+            ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            parts = [(b, order[lo:hi]) for b, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)) if lo < hi]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([b for b, _ in parts], pa.int32()), *[pa.array([c[at].tobytes() for _, at in parts], pa.binary()) for c in (key, one, length)]],
+                names=["bucket", "keys", "ids", "lengths"],
+            )
+
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                forms = {}
+                for text in batch.column(0).slice(start, 256):
+                    for w in normalised(text.as_py() or b""):
+                        if len(w) > 1 and (d := xxhash.xxh3_128_digest(b" ".join(w))) not in seen:
+                            forms[d] = w
+                if len(seen) > 2**17:
+                    seen.clear()
+                seen.update(forms)
+                if forms:
+                    line, key = pair_keys(list(forms.values()), hashes, frequent.value, similarity)
+                    ids = np.frombuffer(b"".join(forms), np.int64).reshape(-1, 2)[:, 1]
+                    held.append((key, ids[line], np.array([len(w) for w in forms.values()], np.int32)[line]))
+                    size += len(key)
+                if size > GATHERED:
+                    yield passed()
+                    held, size = [], 0
+        if size:
+            yield passed()
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        key, one, length = (np.frombuffer(b"".join(group[c]), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("lengths", np.int32)))
+        # Keys that one form has are most.
+        order = np.argsort(key, kind="stable")
+        key, one, length = key[order], one[order], length[order]
+        same = key[1:] == key[:-1]
+        several = np.r_[False, same] | np.r_[same, False]
+        key, one, length = key[several], one[several], length[several]
+        order = np.lexsort((one, length, key))
+        key, one, length = key[order], one[order], length[order]
+        new = np.r_[True, (key[1:] != key[:-1]) | (one[1:] != one[:-1])] if len(key) else np.zeros(0, bool)
+        key, one, length = key[new], one[new], length[new]
+        if not len(key):
+            return pd.DataFrame({"key": key.view(np.int64), "id": one, "center": one})
+        # No form beyond a gap in the lengths is similar to one before it.
+        starts = np.r_[True, (key[1:] != key[:-1]) | (length[:-1] < length[1:] * similarity - 1e-9)]
+        number = starts.cumsum() - 1
+        at = np.flatnonzero(starts)
+        center = np.minimum.reduceat(one, at)[number]
+        more = np.bincount(number)[number] > 1
+        named = mixed(key * MIX + length[at][number].astype(np.uint64)).view(np.int64)
+        return pd.DataFrame({"key": named[more], "id": one[more], "center": center[more]})
+
+    packed = docs.selectExpr("cast(text as binary) text").mapInArrow(run, "bucket int, keys binary, ids binary, lengths binary")
+    return saved(packed.groupBy("bucket").applyInPandas(meet, "key long, id long, center long"), "shared")
+
+
+OCCURRENCES = "id0 long, th long, line int, hi long, lo long, length int"
+
+
+def occurrences(docs: DataFrame) -> DataFrame:
+    """Every line with a word: its place, a 128-bit hash of the normal form and its number of words."""
+
+    def rows(batch: dict) -> dict:
+        columns: list[list] = [[] for _ in range(6)]
         for id0, th, text in zip(batch["id0"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
             forms = [(k, form) for k, form in enumerate(normalised(text.as_py() or b"")) if form]
             if not forms:
@@ -92,8 +228,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             columns[2] += [k for k, _ in forms]
             columns[3] += digests[:, 0].tolist()
             columns[4] += digests[:, 1].tolist()
-            columns[5] += simhashes([f for _, f in forms], hashes).tolist()
-            columns[6] += [len(f) for _, f in forms]
+            columns[5] += [len(f) for _, f in forms]
         return dict(zip([c.split()[0] for c in OCCURRENCES.split(", ")], columns, strict=True))
 
     return mapped(keyed(docs).selectExpr("id0", "th", "cast(text as binary) text"), rows, OCCURRENCES)
@@ -103,14 +238,6 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("id0", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("th", text_key(F.col("text")))
 
 
-def block_masks(forms: int) -> list[int]:
-    """Masks of the blocks that must agree: more of them, and longer together, for more lines. All find the same pairs."""
-    blocks, together = (4, 1) if forms < 2**18 else (5, 2) if forms < 2**31 else (6, 3)
-    ends = [round(BITS * k / blocks) for k in range(blocks + 1)]
-    single = [sum(1 << b for b in range(lo, hi)) for lo, hi in zip(ends, ends[1:], strict=False)]
-    return [sum(c) - (2**BITS if sum(c) >= 2 ** (BITS - 1) else 0) for c in combinations(single, together)]
-
-
 def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, form) of the wanted (id, id0, th, line): only texts that may hold one are moved."""
     places = saved(wanted, "wanted")
@@ -135,19 +262,23 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id0, th, line) of all lines but the first of each group."""
     seen = saved(occurrences(docs), "lines")
     place = F.struct("id0", "th", "line")
+    # Half of the hash names a form from here on.
     forms = saved(
-        seen.groupBy("hi", "lo").agg(
-            F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("simhash").alias("simhash"), F.first("length").alias("length")
-        ).withColumn("id", F.monotonically_increasing_id()),
+        seen.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("length").alias("length"))
+        .withColumn("id", F.col("lo")),
         "forms",
     )
-    masks = block_masks(forms.count())
-    keys = F.explode(F.array(*[F.xxhash64(F.lit(k), F.col("simhash").bitwiseAND(F.lit(m))) for k, m in enumerate(masks)]))
-    shared = shared_keys(forms.select("id", keys.alias("key")))
+    shared = shared_pairs(docs, seen.agg(F.sum("length")).first()[0] or 0, similarity)
+
+    @F.arrow_udf("int")
+    def fewest(lengths: pa.Array) -> pa.Array:
+        return pa.array([prefix(n, similarity)[1] for n in lengths.to_pylist()], pa.int32())
 
     def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        fits = F.least(a("length"), b("length")) >= similarity * F.greatest(a("length"), b("length"))
-        return fits & (F.bit_count(a("simhash").bitwiseXOR(b("simhash"))) <= MOST_DIFFERENT)
+        return F.least(a("length"), b("length")) >= similarity * F.greatest(a("length"), b("length")) - 1e-9
+
+    def enough(n: Column, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+        return n >= F.least(a("fewest"), b("fewest"))
 
     @F.arrow_udf("boolean")
     def same(one: pa.Array, two: pa.Array) -> pa.Array:
@@ -162,7 +293,10 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         b = texts.select(F.col("id").alias("b"), F.col("form").alias("fb"))
         return pairs.join(a, "a").join(b, "b").where(same("fa", "fb")).select("a", "b")
 
-    roots = saved(components(linked(forms.select("id", "simhash", "length"), shared, close, verify)), "roots")
+    items = saved(
+        shared.select("id").distinct().join(forms, "id").select("id", "length").withColumn("fewest", fewest("length")), "items"
+    )
+    roots = saved(components(linked(items, shared, close, verify, enough=enough)), "roots")
     grouped = forms.join(roots, forms.id == roots.node, "left")
     firsts = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("group_first"))
     keepers = saved(

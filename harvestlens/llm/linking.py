@@ -36,6 +36,7 @@ def linked(
     close: Callable[[Callable[[str], Column], Callable[[str], Column]], Column],
     verify: Callable[[DataFrame], DataFrame],
     families: Callable[[DataFrame], DataFrame] | None = None,
+    enough: Callable[[Column, Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
 ) -> DataFrame:
     """Edges (a, b) that connect all items which share a key, are ``close`` and pass ``verify``.
 
@@ -45,6 +46,8 @@ def linked(
 
     ``families`` takes over the keys of more than FEW members that are still open: it
     gets (center, id, root) and returns links between the roots of a center.
+
+    ``enough`` says whether a number of keys in common suffices for a pair; by default one does.
     """
     attributes = [c for c in items.columns if c != "id"]
 
@@ -54,10 +57,12 @@ def linked(
     def of(letter: str) -> Callable[[str], Column]:
         return lambda name: F.col(f"{letter}_{name}")
 
-    stars = saved(shared.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b")).distinct(), "stars")
-    near = saved(
-        stars.join(side("a"), "a").join(side("b"), "b").where(close(of("a"), of("b"))).select("a", "b"), "near"
-    )
+    fits = close(of("a"), of("b"))
+    if enough:
+        fits = fits & enough(F.col("common"), of("a"), of("b"))
+    stars = shared.where("id != center").select(F.col("center").alias("a"), F.col("id").alias("b"))
+    stars = saved(stars.groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")) if enough else stars.distinct(), "stars")
+    near = saved(stars.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b"), "near")
     first = saved(verify(near).select("a", "b"), "links")
 
     roots = saved(components(first), "roots")
@@ -79,8 +84,15 @@ def linked(
 
     pairs = half("a").join(half("b"), "key").where(
         (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & close(of("a"), of("b"))
-    ).select("a", "b").distinct()
-    links = first.union(saved(verify(saved(pairs.join(stars, ["a", "b"], "left_anti"), "near")).select("a", "b"), "links"))
+    )
+    if enough:
+        # A center may share more keys with a member than those that it is the center of: all count here.
+        pairs = pairs.groupBy("a", "b").agg(
+            F.count(F.lit(1)).alias("common"), *[F.first(f"{x}_{c}").alias(f"{x}_{c}") for x in "ab" for c in attributes]
+        ).where(fits)
+    pairs = pairs.select("a", "b").distinct()
+    done = near if enough else stars
+    links = first.union(saved(verify(saved(pairs.join(done, ["a", "b"], "left_anti"), "near")).select("a", "b"), "links"))
     if families:
         many = rest.where(F.col("n") > FEW).select("center", "id", "root").distinct()
         links = links.union(saved(families(saved(many, "families")).select("a", "b"), "links"))
