@@ -6,8 +6,10 @@ corners of a cross-polytope. Every vector is indexed in one cell of each table.
 visits, in each table, the cells of its largest signed coordinates (multiprobe), and the
 vectors met there are ranked by the exact inner product of the original vectors.
 
-Vectors of differing length are hashed with one more coordinate that fills each up to
-the largest length, so that the nearest direction is the largest inner product.
+The index is for vectors of one norm, where the nearest direction is the largest inner
+product. If norms differ, every query is compared with every vector of its number of
+components instead: the index visits TABLES * SHARE, nearly all, of the vectors per query
+anyway. So are queries that meet fewer than k rows in the index.
 
 Equal vectors are indexed once, with the numbers of the first few rows that hold them:
 no more of them can be among the first k. Cells are cut into blocks of bounded size, and
@@ -105,18 +107,16 @@ def nearest(
     distinct = asked.groupBy("key").agg(F.min("vec_id").alias("first")).join(
         asked.withColumnRenamed("vec_id", "first"), ["key", "first"]
     ).select("key", "v")
-    longest = index.agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    shortest, longest = index.agg(F.min(norm), F.max(norm)).first()
+    flat = longest is None or longest - shortest <= 1e-6 * longest
 
     def hashed(is_query: bool):
         def run(batches):
             for pdf in batches:
                 for size, same in pdf.groupby(pdf["v"].map(len)):
                     m = np.stack(same["v"].to_numpy())
-                    norm = np.linalg.norm(m, axis=1, keepdims=True)
-                    extra = np.zeros_like(norm) if is_query else np.sqrt(np.maximum(0, longest**2 - norm**2))
-                    unit = np.hstack([m, extra]) / (norm if is_query else longest)
-                    if flat:
-                        unit = unit[:, :-1]
+                    unit = m / np.linalg.norm(m, axis=1, keepdims=True)
                     for table in range(tables):
                         axes = 2 << (unit.shape[1] - 1).bit_length()
                         near = cells(unit, table, max(1, round(share * axes)) if is_query else 1, seed)
@@ -127,32 +127,11 @@ def nearest(
 
         return run
 
-    # All of one length, as usual: no further coordinate is needed.
-    shortest = index.agg(F.min(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)))).first()[0] or 1.0
-    flat = longest - shortest <= 1e-6 * longest
     schema = "cell long, key string, v array<double>"
-    there = index.select("key", "v").mapInPandas(hashed(False), schema)
-    here = distinct.mapInPandas(hashed(True), schema)
-
-    # Blocks: a cell with many vectors or many queries is compared piece by piece.
-    sizes = saved(
-        there.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(
-            here.groupBy("cell").agg(F.count(F.lit(1)).alias("q")), "cell"
-        ).select(
-            "cell",
-            F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"), F.ceil(F.col("q") / BLOCK).cast("int").alias("q_blocks"),
-        ),
-        "cells",
-    )
-
-    def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
-        mine = F.pmod(F.xxhash64("key"), F.col(own)).cast("int")
-        return side.join(sizes, "cell").withColumn("mine", mine).withColumn(
-            "yours", F.explode(F.sequence(F.lit(0), F.col(other) - 1))
-        )
 
-    left = dealt(here, "q_blocks", "n_blocks").select("cell", F.col("mine").alias("qb"), F.col("yours").alias("nb"), "key", "v")
-    right = dealt(there, "n_blocks", "q_blocks").select("cell", F.col("yours").alias("qb"), F.col("mine").alias("nb"), "key", "v")
+    def whole(side: DataFrame) -> DataFrame:
+        """All vectors of one number of components in one cell."""
+        return side.select(F.size("v").cast("long").alias("cell"), "key", "v")
 
     def compare(q: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(n):
@@ -160,22 +139,56 @@ def nearest(
         a, b = np.stack(q["v"].to_numpy()), np.stack(n["v"].to_numpy())
         keys, out = n["key"].to_numpy(), []
         keep = min(k + 1, len(b))
+        margin = 1e-12 * np.maximum(1, np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1).max())
         for start in range(0, len(a), 256):
             product = a[start : start + 256] @ b.T
             best = np.argpartition(-product, keep - 1, axis=1)[:, :keep]
             # Rounding of the product depends on the shape; ties at the end of the list are kept.
-            edge = np.take_along_axis(product, best, 1).min(axis=1) - 1e-12
+            edge = np.take_along_axis(product, best, 1).min(axis=1) - margin[start : start + 256]
             for i, row in enumerate(product):
                 at = np.flatnonzero(row >= edge[i]) if (row >= edge[i]).sum() > keep else best[i]
                 exact = (a[start + i] * b[at]).sum(axis=1)
                 out.append([{"score": s, "key": x} for s, x in zip(exact.tolist(), keys[at], strict=True)])
         return pd.DataFrame({"query": q["key"].to_numpy(), "found": out})
 
-    lists = left.groupBy("cell", "qb", "nb").cogroup(right.groupBy("cell", "qb", "nb")).applyInPandas(
-        compare, "query string, found array<struct<score double, key string>>"
-    )
-    # A bounded number of short lists per visited block per query; each visits few distinct vectors twice.
-    met = lists.select("query", F.explode("found").alias("f")).select("query", "f.score", "f.key").distinct()
+    def search(there: DataFrame, here: DataFrame) -> DataFrame:
+        """query, score, key: the best of each cell that a query visits."""
+        # Blocks: a cell with many vectors or many queries is compared piece by piece.
+        sizes = saved(
+            there.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).join(
+                here.groupBy("cell").agg(F.count(F.lit(1)).alias("q")), "cell"
+            ).select(
+                "cell",
+                F.ceil(F.col("n") / BLOCK).cast("int").alias("n_blocks"), F.ceil(F.col("q") / BLOCK).cast("int").alias("q_blocks"),
+            ),
+            "cells",
+        )
+
+        def dealt(side: DataFrame, own: str, other: str) -> DataFrame:
+            mine = F.pmod(F.xxhash64("key"), F.col(own)).cast("int")
+            return side.join(sizes, "cell").withColumn("mine", mine).withColumn(
+                "yours", F.explode(F.sequence(F.lit(0), F.col(other) - 1))
+            )
+
+        left = dealt(here, "q_blocks", "n_blocks").select("cell", F.col("mine").alias("qb"), F.col("yours").alias("nb"), "key", "v")
+        right = dealt(there, "n_blocks", "q_blocks").select("cell", F.col("yours").alias("qb"), F.col("mine").alias("nb"), "key", "v")
+        lists = left.groupBy("cell", "qb", "nb").cogroup(right.groupBy("cell", "qb", "nb")).applyInPandas(
+            compare, "query string, found array<struct<score double, key string>>"
+        )
+        # A bounded number of short lists per visited block per query; each visits few distinct vectors twice.
+        return lists.select("query", F.explode("found").alias("f")).select("query", "f.score", "f.key").distinct()
+
+    all_here, all_there = whole(distinct), whole(index)
+    if flat:
+        met = saved(search(index.select("key", "v").mapInPandas(hashed(False), schema), distinct.mapInPandas(hashed(True), schema)), "met")
+        # One row more than k, as the query's own may be among them.
+        rows_met = met.join(index.select("key", F.size("members").alias("n")), "key").groupBy("query").agg(F.sum("n").alias("n"))
+        short = distinct.join(rows_met.where(F.col("n") > k), distinct.key == F.col("query"), "left_anti")
+        short = saved(short, "short")
+        if not short.isEmpty():
+            met = met.union(search(all_there, whole(short))).distinct()
+    else:
+        met = search(all_there, all_here)
     order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     ids = index.select("key", "id", "members")
     best = (
