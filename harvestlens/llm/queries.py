@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestlens.llm import (
+    archives,
     licenses,
     lines,
     merkle,
@@ -21,7 +22,7 @@ from harvestlens.llm import (
     sketches,
     wordpieces,
 )
-from harvestlens.session import table
+from harvestlens.session import scratch_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -219,3 +220,19 @@ kept AS (
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, cast(score as bigint) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+
+@query
+def op11_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = archives.round_trip(table(spark, sf_dir, "pages"), scratch_dir(spark, "arc"), scratch_dir(spark, "warc"))
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+
+
+SQL["op11_archives"] = """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS size FROM pages),
+firsts AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM payloads)
+SELECT page_id, size AS payload_bytes, sha256(html) AS payload_digest,
+ CASE WHEN size >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN size >= 100 AND page_id <> first THEN first END AS refers_to, cast(NULL AS varchar) AS problem
+FROM firsts
+"""
