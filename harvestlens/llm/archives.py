@@ -8,11 +8,13 @@ and gives each what WARC asks for: an identifier, a time stamp, a type and diges
 Identifiers and digests follow from the record, so that a repeated run gives the same.
 
 Files are written and read by Spark: a record is a row, records end with the line
-separator of the text writer, and archives are read whole, one of bounded size at a time.
+separator of the text writer, files are gzip, and archives are read whole, one of bounded
+size at a time.
 """
 
 from __future__ import annotations
 
+import gzip
 import uuid
 from collections.abc import Callable, Iterator
 from hashlib import sha256
@@ -31,10 +33,11 @@ FIELDS = {
 #: Record separators, WARC version line and profile of revisits by equal payload.
 ARC_END, WARC_END = "\n", "\r\n\r\n"
 WARC_VERSION = b"WARC/1.1"
+GZIP = b"\x1f\x8b"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 #: An archive is closed when it holds this many bytes: one fits into a task's memory many times.
-ARCHIVE_BYTES = 16 * 2**20
+ARCHIVE_BYTES = 8 * 2**20
 #: Payloads below this are never revisits.
 LEAST_REVISITED = 100
 #: A digest with more than this share of all records is joined by broadcast: there are at most as many.
@@ -124,7 +127,7 @@ def write_archives(
     rows = records.select("version", "record").mapInArrow(run, "archive string, place long, record binary")
     # The writer takes a task's rows archive by archive. Bytes pass through it as they are.
     rows = rows.sortWithinPartitions("archive", "place").select("archive", F.col("record").cast("string").alias("value"))
-    rows.write.option("lineSep", end).partitionBy("archive").text(path)
+    rows.write.option("lineSep", end).option("compression", "gzip").partitionBy("archive").text(path)
 
 
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
@@ -168,7 +171,7 @@ def arc_entries(archive: str, content: bytes) -> Iterator[tuple]:
 
 
 def parsed(files: DataFrame, entries: Callable[[str, bytes], Iterator[tuple]], schema: str) -> DataFrame:
-    """The rows that ``entries`` finds in each archive."""
+    """The rows that ``entries`` finds in each archive, compressed or not."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -183,7 +186,10 @@ def parsed(files: DataFrame, entries: Callable[[str, bytes], Iterator[tuple]], s
         for batch in batches:
             for k in range(batch.num_rows):
                 rows = []
-                for row in entries(batch.column("archive")[k].as_py(), batch.column("content")[k].as_py()):
+                content = batch.column("content")[k].as_py()
+                if content.startswith(GZIP):
+                    content = gzip.decompress(content)
+                for row in entries(batch.column("archive")[k].as_py(), content):
                     rows.append(row)
                     if len(rows) == 512:
                         yield batch_of(rows)

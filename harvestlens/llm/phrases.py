@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from harvestlens.llm.common import flagged, membership, saved
 
 LONGEST = 4
-#: Words that a task gathers before it counts them, and words whose hash it remembers.
-CHUNK, REMEMBERED = 2**20, 400_000
+#: Bytes of text that a task gathers before it counts their words, and words whose hash it remembers.
+CHUNK, REMEMBERED = 5 * 2**20, 250_000
 #: Fingerprints of a bucket, about.
 BUCKET = 2**20
 #: Bits of the bitmap of frequent pairs per pair, and the most bits.
@@ -68,17 +68,34 @@ class Vocabulary(dict):
         self.words.clear()
 
 
-def powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out) if n else out
+class Powers:
+    """Powers of an odd base modulo 2^64, as many as were asked for."""
 
+    def __init__(self, base: int) -> None:
+        self.base, self.known = base, np.ones(1, np.uint64)
 
-def polynomials(h: np.ndarray, base: int, most: int) -> list[np.ndarray]:
-    """For n = 1 to ``most`` the polynomial of the n hashes from each place on, modulo 2^64."""
-    up, down = powers(base, len(h)), powers(pow(base, -1, 2**64), len(h))
-    prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * down, dtype=np.uint64)])
-    return [(prefix[n:] - prefix[: max(0, len(prefix) - n)]) * up[n - 1 :] for n in range(1, most + 1)]
+    def __call__(self, n: int) -> np.ndarray:
+        if len(self.known) < n:
+            out = np.full(n, self.base, np.uint64)
+            out[0] = 1
+            self.known = np.multiply.accumulate(out)
+        return self.known[:n]
+
+
+class Polynomial:
+    """Hashes of runs: sums of the members' hashes times falling powers of a base, by prefix sums."""
+
+    def __init__(self, base: int) -> None:
+        self.up, self.down = Powers(base), Powers(pow(base, -1, 2**64))
+        self.prefix = np.zeros(1, np.uint64)
+
+    def over(self, h: np.ndarray) -> None:
+        self.prefix = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(h * self.down(len(h)), dtype=np.uint64, out=self.prefix[1:])
+
+    def __call__(self, n: int, at: np.ndarray) -> np.ndarray:
+        """The hash of the n members from each place on."""
+        return (self.prefix[at + n] - self.prefix[at]) * self.up(len(self.prefix))[at + (n - 1)]
 
 
 def finished(h: np.ndarray, seed: int) -> np.ndarray:
@@ -88,26 +105,26 @@ def finished(h: np.ndarray, seed: int) -> np.ndarray:
 
 
 class Chunk:
-    """Texts of one language: their words in a row, the fingerprints of all runs of words."""
+    """Texts of one language: their words in a row, and the fingerprints of runs of words."""
 
     def __init__(self, lang: str, texts: list[tuple[int, bytes]], vocabulary: Vocabulary, bits: int) -> None:
         texts = sorted(texts)  # by hash: the first occurrence is the one with the least pointer
-        parts = [pieces(text) for _, text in texts]
-        lengths = [np.fromiter(map(len, p), np.int64, len(p)) for p in parts]
+        ids, lengths, sizes = [], [], []
+        for _, text in texts:
+            words = pieces(text)
+            lengths.append(np.fromiter(map(len, words), np.int32, len(words)))
+            sizes.append(int(lengths[-1].sum()))
+            ids.append(np.fromiter(map(vocabulary.__getitem__, chain.from_iterable(words)), np.int32, sizes[-1]))
+        self.ids = np.concatenate(ids)
         counts = np.concatenate(lengths)
-        total = int(counts.sum())
-        words = chain.from_iterable(chain.from_iterable(parts))
-        self.ids = np.fromiter(map(vocabulary.__getitem__, words), np.int64, total)
-        self.piece = np.repeat(np.arange(len(counts)), counts)
-        sizes = np.array([n.sum() for n in lengths])
-        starts = np.concatenate([[0], sizes.cumsum()[:-1]])
-        self.hashes = np.repeat(np.array([h for h, _ in texts], np.int64), sizes)
-        self.places = np.arange(total) - np.repeat(starts, sizes)
-        both = np.frombuffer(b"".join(vocabulary.digests), np.uint64).reshape(-1, 2)[self.ids]
-        self.seed = xxhash.xxh3_64_intdigest(lang.encode())
-        self.runs = polynomials(both[:, 0], BASE, LONGEST)
-        self.checks = polynomials(both[:, 1], CHECK_BASE, LONGEST)
-        self.bits = bits
+        self.piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
+        self.texts = np.array([h for h, _ in texts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        both = np.frombuffer(b"".join(vocabulary.digests), np.uint64).reshape(-1, 2)
+        self.seed, self.bits = xxhash.xxh3_64_intdigest(lang.encode()), bits
+        self.run, self.second = Polynomial(BASE), Polynomial(CHECK_BASE)
+        self.run.over(both[:, 0][self.ids])
+        self.second.over(both[:, 1][self.ids])
 
     def at(self, n: int) -> np.ndarray:
         """Where runs of n words begin that lie within a piece."""
@@ -116,14 +133,19 @@ class Chunk:
         return np.flatnonzero(self.piece[n - 1 :] == self.piece[: len(self.piece) - n + 1])
 
     def fingerprints(self, n: int, at: np.ndarray) -> np.ndarray:
-        return finished(self.runs[n - 1][at], self.seed + n & 2**64 - 1) >> np.uint64(64 - self.bits)
+        return finished(self.run(n, at), self.seed + n & 2**64 - 1) >> np.uint64(64 - self.bits)
 
     def check(self, n: int, at: np.ndarray) -> np.ndarray:
-        return (finished(self.checks[n - 1][at], n) >> np.uint64(32)).astype(np.uint32)
+        return (finished(self.second(n, at), n) >> np.uint64(32)).astype(np.uint32)
+
+    def pointers(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of the text and number of the word in it."""
+        text = np.searchsorted(self.starts, at, side="right") - 1
+        return self.texts[text], (at - self.starts[text]).astype(np.int32)
 
 
 def chunks(batches: Iterator[pa.RecordBatch], bits: int, vocabulary: Vocabulary) -> Iterator[tuple[str, Chunk]]:
-    """(lang, th, text) -> chunks of about CHUNK words, or of one longer text."""
+    """(lang, th, text) -> chunks of about CHUNK bytes, or of one longer text."""
     held: dict[str, list] = {}
     size: Counter = Counter()
 
@@ -136,8 +158,8 @@ def chunks(batches: Iterator[pa.RecordBatch], bits: int, vocabulary: Vocabulary)
             lang, text = lang.as_py(), text.as_py()
             held.setdefault(lang, []).append((th.as_py(), text))
             size[lang] += len(text)
-            # All languages together hold no more than a few chunks.
-            if sum(size.values()) > 8 * CHUNK:
+            # What is held of all languages together is bounded.
+            if sum(size.values()) > CHUNK:
                 yield made(size.most_common(1)[0][0])
                 if len(vocabulary) > REMEMBERED:
                     vocabulary.reset()
@@ -155,14 +177,14 @@ def counted(chunk: Chunk, n: int, at: np.ndarray) -> dict[str, np.ndarray]:
     order = np.argsort(keys, kind="stable")
     keys, at = keys[order], at[order]
     first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    counts = np.diff(np.r_[first, len(keys)])
     check = chunk.check(n, at)
     low, high = np.minimum.reduceat(check, first), np.maximum.reduceat(check, first)
     back = np.argsort(at[first])  # in the order of the text, pointers are alike and cost little
-    first, at = first[back], at[first][back]
-    ends = np.diff(np.r_[np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]), len(keys)])[back]
+    hashes, places = chunk.pointers(at[first][back])
     return {
-        "keys": keys[first], "counts": ends, "checks": low[back], "unequal": (low != high)[back],
-        "hashes": chunk.hashes[at], "places": chunk.places[at].astype(np.int32),
+        "keys": keys[first][back], "counts": counts[back], "checks": low[back], "unequal": (low != high)[back],
+        "hashes": hashes, "places": places,
     }
 
 
@@ -173,31 +195,32 @@ def frequent(docs: DataFrame, lengths: list[int], least: int, buckets: int, bits
     """Fingerprints that occur ``least`` times or more; with n = 0, key 0: partial counts of all words of a language."""
     passes = docs.sparkSession.sparkContext.broadcast(filter_)
 
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], names=list(NAMES)
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, chunk in chunks(batches, bits, Vocabulary()):
-            rows: list[tuple] = []
             if 1 in lengths:
-                rows.append((lang, 0, int(chunk.hashes[0]) % buckets if len(chunk.hashes) else 0, b"", np.int64([len(chunk.ids)]).tobytes(), *[b""] * 4))
+                words = np.int64([len(chunk.ids)]).tobytes()
+                yield packed([(lang, 0, int(chunk.texts[0]) % buckets, b"", words, *[b""] * 4)])
+            able = maybe(passes.value, chunk, 2) if passes.value is not None else None
             for n in lengths:
                 at = chunk.at(n)
-                if passes.value is not None:
-                    able = maybe(passes.value, chunk, 2)
-                    for k in range(n - 1):
-                        at = at[able[at + k]]
+                for k in range(n - 1 if able is not None else 0):
+                    at = at[able[at + k]]
                 if not len(at):
                     continue
                 found = counted(chunk, n, at)
-                bucket = (found["keys"] % np.uint64(buckets)).astype(np.int64)
+                bucket = (found["keys"] % np.uint64(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                    if lo < hi:
-                        part = order[lo:hi]
-                        rows.append((lang, n, b, *[found[c][part].astype(t).tobytes() for c, t in TYPES.items()]))
-            if rows:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ARROW, strict=True)], names=list(NAMES)
-                )
+                found = {c: found[c][order].astype(t) for c, t in TYPES.items()}
+                yield packed([
+                    (lang, n, b, *[found[c][lo:hi].tobytes() for c in TYPES])
+                    for b, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if lo < hi
+                ])
 
     def merge(group: pd.DataFrame) -> pd.DataFrame:
         lang, n = group["lang"].iloc[0], int(group["n"].iloc[0])

@@ -199,23 +199,25 @@ runs AS (
   SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
   FROM words WINDOW o AS (PARTITION BY r, p ORDER BY k)),
 grams AS (
-  SELECT lang, [w1] AS g FROM runs UNION ALL SELECT lang, [w1, w2] FROM runs WHERE w2 IS NOT NULL
-  UNION ALL SELECT lang, [w1, w2, w3] FROM runs WHERE w3 IS NOT NULL
-  UNION ALL SELECT lang, [w1, w2, w3, w4] FROM runs WHERE w4 IS NOT NULL),
-counts AS (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 30),
-candidates AS (SELECT lang, g, f AS a, len(g) AS size FROM counts WHERE len(g) > 1),
+  SELECT lang, w1 AS g FROM runs UNION ALL SELECT lang, w1||' '||w2 FROM runs WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, w1||' '||w2||' '||w3 FROM runs WHERE w3 IS NOT NULL
+  UNION ALL SELECT lang, w1||' '||w2||' '||w3||' '||w4 FROM runs WHERE w4 IS NOT NULL),
+counts AS MATERIALIZED (SELECT lang, g, count(*) AS f FROM grams GROUP BY lang, g HAVING count(*) >= 30),
+candidates AS MATERIALIZED (
+  SELECT lang, g, f AS a, string_split(g, ' ') AS w, len(string_split(g, ' ')) AS size FROM counts WHERE contains(g, ' ')),
+split_cuts AS MATERIALIZED (
+  SELECT lang, g, a, k, array_to_string(w[1:k], ' ') AS one, array_to_string(w[k + 1:], ' ') AS two
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)),
 cuts AS (
-  SELECT c.lang, c.g, c.a, k.k, x.f AS l, y.f AS r,
-   (2000000::hugeint * c.a) // (x.f::hugeint + y.f) AS score
-  FROM candidates c JOIN (VALUES (1), (2), (3)) k(k) ON k.k < c.size
-  JOIN counts x ON x.lang = c.lang AND x.g = c.g[1:k.k] JOIN counts y ON y.lang = c.lang AND y.g = c.g[k.k + 1:]),
+  SELECT c.lang, c.g, c.a, c.k, x.f AS l, y.f AS r, (2000000::hugeint * c.a) // (x.f::hugeint + y.f) AS score
+  FROM split_cuts c JOIN counts x ON x.lang = c.lang AND x.g = c.one JOIN counts y ON y.lang = c.lang AND y.g = c.two),
 scored AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
 inner_runs AS (
-  SELECT c.lang, c.a, c.g[s.s:s.s + z.z - 1] AS g FROM candidates c
-  JOIN (VALUES (2), (3)) z(z) ON z.z < c.size JOIN (VALUES (1), (2), (3)) s(s) ON s.s + z.z - 1 <= c.size),
+  SELECT lang, a, array_to_string(w[k:k + z - 1], ' ') AS g
+  FROM (SELECT *, unnest(range(1, size - z + 2)) AS k FROM (SELECT *, unnest(range(2, size)) AS z FROM candidates))),
 held AS (SELECT lang, g, max(a) AS longer FROM inner_runs GROUP BY lang, g),
 kept AS (
-  SELECT s.*, array_to_string(s.g, ' ') AS phrase FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.g = s.g
+  SELECT s.*, s.g AS phrase FROM scored s LEFT JOIN held h ON h.lang = s.lang AND h.g = s.g
   WHERE NOT coalesce(100::hugeint * h.longer >= 80::hugeint * s.a, false)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
 SELECT lang, rank, phrase, a, l, r, n, cast(score as bigint) AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000

@@ -76,7 +76,7 @@ def test_fingerprints_follow_the_words():
     chunk = phrases.Chunk("en", texts, phrases.Vocabulary(), 64)
     at = chunk.at(2)
     keys = chunk.fingerprints(2, at)
-    where = dict(zip(zip(chunk.hashes[at], chunk.places[at], strict=True), keys, strict=True))
+    where = dict(zip(zip(*(c.tolist() for c in chunk.pointers(at)), strict=True), keys, strict=True))
     assert where[5, 0] == where[5, 3] == where[5, 6] == where[2, 1]
     assert len(set(keys.tolist())) == 3 and len(at) == 8
     found = phrases.counted(chunk, 2, at)
