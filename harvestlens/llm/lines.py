@@ -5,16 +5,23 @@ blanks. Equal forms are one line from the start. Forms whose edit distance, in w
 at most a fifth of the longer form are linked, and of each connected group the first
 occurrence (smallest doc_id, then text hash, then place) stays.
 
-Candidates are complete: one edit changes at most two of a line's word pairs, so linked
-forms have a known number of word pairs in common, and, in any fixed order of all word
-pairs, some of them lie among the first few of both lines (prefix filter). Word pairs that
-a sample shows to be frequent come last in that order. It decides on the work only.
+At that similarity the SimHashes of two whole lines differ in some 13 of 64 bits, too many
+for blocks of bits that tell lines apart. So a line's signature is made of blocks that are
+SimHashes themselves, one for every run of two to four neighbouring words (longer runs for
+longer lines). By the pigeonhole principle, edits can touch only so many of them: lines that
+are similar have equal blocks, on which they are joined. Of a line with more than BLOCKS
+blocks those with the least hashes are taken, the same ones in similar lines. Candidates
+are dropped where the SimHashes of the whole lines differ in more than MOST_DIFFERENT bits,
+and the others are verified by their edit distance.
+
+Up to 26 words no line at the similarity is without a common block. Beyond, two lines at the
+very threshold share a quarter of their blocks: that no one of 24 agrees has a chance of one
+in a thousand. Two lines at the threshold differ in more than MOST_DIFFERENT bits as rarely.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -29,12 +36,18 @@ from harvestlens.llm.neardup import MIX, WordHashes, mixed
 from harvestlens.llm.sketches import NO_ID
 
 SIMILARITY = 0.8
-#: Word pairs that candidates have in common, if their lengths allow: single ones are often chance.
-IN_COMMON = 3
-#: Documents whose word pairs are counted, and the most word pairs kept of them.
-SAMPLE, FREQUENT = 4000, 2**15
-#: Word pairs of a bucket, about, and those that a task gathers before it passes them on.
-BUCKET, GATHERED = 2**20, 2**19
+#: Blocks by which a line is joined, at most.
+BLOCKS = 24
+#: Bits of 64 in which the SimHashes of similar lines may differ.
+MOST_DIFFERENT = 24
+#: Words of a block by the words of the line (least, most). Ranges overlap by what similar lines may differ in length.
+RUNS = ((3, 8, 24), (4, 20, 2**31))
+#: Lines up to this length have blocks of two words, told apart by the length of the shorter line.
+SHORT = 7
+#: Blocks of a bucket, about, and those that a task gathers before it passes them on.
+BUCKET, GATHERED = 2**20, 2**18
+#: Members of a family that are compared with as many others in one task step.
+FAMILY_BLOCK = 1024
 KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "-/_|" else c for c in range(256))
 DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "-/_|")
 
@@ -79,73 +92,52 @@ def simhashes(words: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
     return np.packbits(ones * 2 > counts[:, None], axis=1).view(np.int64).ravel()
 
 
-@cache
-def prefix(n: int, similarity: float) -> tuple[int, int]:
-    """Of a line of n words: how many of its first word pairs are keys, and how many of them a similar line has too.
-
-    (0, 0) if only equal lines are similar. Complete for a similarity of 0.75 or more.
-    """
-    longest = int(n / similarity + 1e-9)
-    edits = {m: int((1 - similarity) * m + 1e-9) for m in range(n, min(longest, n + 2 * int(1 / (1 - similarity) + 1)) + 1)}
-    if not any(edits.values()):
-        return 0, 0
-    least = min(m - 1 - 2 * d for m, d in edits.items())
-    shared = max(1, min(IN_COMMON, least))
-    return min(n - 1, n - 1 - least + shared), shared
+def run_simhashes(flat: np.ndarray, n: int) -> np.ndarray:
+    """SimHash of every n neighbouring words: the bits that most of their hashes have."""
+    w = [flat[k : len(flat) - n + 1 + k] for k in range(n)]
+    if n == 2:
+        return w[0] & w[1]
+    if n == 3:
+        return w[0] & w[1] | w[2] & (w[0] | w[1])
+    return w[0] & w[1] & (w[2] | w[3]) | w[2] & w[3] & (w[0] | w[1])
 
 
-def word_pairs(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the line and the 48-bit hash of all neighbouring words of the lines."""
+def block_keys(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the line and the key of the blocks of each line; lines have a word at least."""
     counts = np.array([len(w) for w in words])
     flat = np.fromiter((hashes[w] for line in words for w in line), np.uint64, counts.sum())
     line = np.repeat(np.arange(len(words)), counts)
-    inside = line[1:] == line[:-1]
-    return line[1:][inside], mixed(flat[:-1] * MIX + flat[1:])[inside] >> np.uint64(16)
-
-
-def pair_keys(words: list[list[bytes]], hashes: WordHashes, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the line and the key of the first word pairs of each line; repeated pairs are told apart."""
-    line, pair = word_pairs(words, hashes)
-    if not len(pair):
-        return line, pair
-    known, often = frequent
-    if len(known):
-        at = np.minimum(np.searchsorted(known, pair), len(known) - 1)
-        pair |= np.where(known[at] == pair, often[at], np.uint64(0)) << np.uint64(48)
-    order = np.lexsort((pair, line))
-    pair = pair[order]
-    place = np.arange(len(pair))
-    new_line = np.r_[True, line[1:] != line[:-1]]
-    new = new_line | np.r_[True, pair[1:] != pair[:-1]]
-    repeat = (place - np.maximum.accumulate(np.where(new, place, 0))).astype(np.uint64)
-    within = place - np.maximum.accumulate(np.where(new_line, place, 0))
-    first = np.array([prefix(len(w), similarity)[0] for w in words])[line]
-    taken = within < first
-    return line[taken], mixed(pair[taken] * MIX + repeat[taken])
-
-
-def frequent_pairs(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the word pairs that a sample of the documents holds several times."""
-    state: list[WordHashes] = []
-
-    def rows(batch: dict) -> dict:
-        hashes = state[0] if state else state.append(WordHashes()) or state[0]
-        words = [w for t in batch["text"] for w in normalised(t.as_py() or b"") if w]
-        return {"pair": word_pairs(words, hashes)[1].view(np.int64) if words else []}
-
-    share = min(1.0, SAMPLE / max(1, docs.count()))
-    sample = docs.selectExpr("cast(text as binary) text").sample(share, seed=1)
-    found = mapped(sample, rows, "pair long").groupBy("pair").count().where("count > 3").orderBy(F.desc("count"), "pair").limit(FREQUENT)
-    pairs = sorted((r[0], min(r[1], 2**16 - 1)) for r in found.collect())
-    return np.array([p for p, _ in pairs], np.uint64), np.array([n for _, n in pairs], np.uint64)
-
-
-def shared_pairs(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, id, center): the forms (id: the low half of their hash) that have a key in common with another of fitting length.
+    length = counts[line]
+    found = []
+
+    def add(n: int, wanted: np.ndarray, tag: np.ndarray) -> None:
+        if len(flat) >= n:
+            at = np.flatnonzero((line[n - 1 :] == line[: len(line) - n + 1]) & wanted[: len(line) - n + 1])
+            sim = run_simhashes(flat, n)[at]
+            found.append((line[at], mixed(mixed(sim * MIX + np.uint64(n)) * MIX + tag[at].astype(np.uint64))))
+
+    for shorter in (0, 1):
+        add(2, (length - shorter >= 4) & (length - shorter <= SHORT), length - shorter)
+    for n, least, most in RUNS:
+        add(n, (length >= least) & (length <= most), np.zeros(len(flat)))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    line, key, kind = (np.concatenate(c) for c in zip(*[(x, k, np.full(len(x), i)) for i, (x, k) in enumerate(found)], strict=True))
+    order = np.lexsort((key, kind, line))
+    line, key, kind = line[order], key[order], kind[order]
+    fresh = np.r_[True, (line[1:] != line[:-1]) | (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])][: len(line)]
+    line, key, kind = line[fresh], key[fresh], kind[fresh]
+    new = np.r_[True, (line[1:] != line[:-1]) | (kind[1:] != kind[:-1])][: len(line)]
+    place = np.arange(len(line))
+    taken = place - np.maximum.accumulate(np.where(new, place, 0)) < BLOCKS
+    return line[taken], key[taken]
+
+
+def shared_blocks(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """(key, id, center): the forms (id: the low half of their hash) that have a block in common with another of fitting length.
 
     Keys travel packed, in buckets. A bucket is a bounded part of all keys.
     """
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_pairs(docs))
     buckets = max(12, words // 2 // BUCKET)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,13 +159,13 @@ def shared_pairs(docs: DataFrame, words: int, similarity: float) -> DataFrame:
                 forms = {}
                 for text in batch.column(0).slice(start, 256):
                     for w in normalised(text.as_py() or b""):
-                        if len(w) > 1 and (d := xxhash.xxh3_128_digest(b" ".join(w))) not in seen:
+                        if len(w) > 3 and (d := xxhash.xxh3_128_digest(b" ".join(w))) not in seen:
                             forms[d] = w
                 if len(seen) > 2**17:
                     seen.clear()
                 seen.update(forms)
                 if forms:
-                    line, key = pair_keys(list(forms.values()), hashes, frequent.value, similarity)
+                    line, key = block_keys(list(forms.values()), hashes)
                     ids = np.frombuffer(b"".join(forms), np.int64).reshape(-1, 2)[:, 1]
                     held.append((key, ids[line], np.array([len(w) for w in forms.values()], np.int32)[line]))
                     size += len(key)
@@ -210,14 +202,16 @@ def shared_pairs(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return saved(packed.groupBy("bucket").applyInPandas(meet, "key long, id long, center long"), "shared")
 
 
-OCCURRENCES = "id0 long, th long, line int, hi long, lo long, length int"
+OCCURRENCES = "id0 long, th long, line int, hi long, lo long, length int, sim long"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place, a 128-bit hash of the normal form and its number of words."""
+    """Every line with a word: its place, a 128-bit hash of the normal form, its number of words and its SimHash."""
+    state: list[WordHashes] = []
 
     def rows(batch: dict) -> dict:
-        columns: list[list] = [[] for _ in range(6)]
+        hashes = state[0] if state else state.append(WordHashes()) or state[0]
+        columns: list[list] = [[] for _ in range(7)]
         for id0, th, text in zip(batch["id0"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
             forms = [(k, form) for k, form in enumerate(normalised(text.as_py() or b"")) if form]
             if not forms:
@@ -229,6 +223,7 @@ def occurrences(docs: DataFrame) -> DataFrame:
             columns[3] += digests[:, 0].tolist()
             columns[4] += digests[:, 1].tolist()
             columns[5] += [len(f) for _, f in forms]
+            columns[6] += simhashes([f for _, f in forms], hashes).tolist()
         return dict(zip([c.split()[0] for c in OCCURRENCES.split(", ")], columns, strict=True))
 
     return mapped(keyed(docs).selectExpr("id0", "th", "cast(text as binary) text"), rows, OCCURRENCES)
@@ -258,45 +253,81 @@ def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     )
 
 
+def compare_family(ids: list, roots: list, forms: list[bytes], sims: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links that join different roots; of two roots one link is enough."""
+    lengths = np.array([f.count(b" ") + 1 for f in forms])
+    order, at = np.unique(np.array(roots), return_inverse=True)
+    joined = np.arange(len(order))  # the current root of each root
+    largest = np.bincount(at).argmax()
+    links = []
+    # Members of small roots are compared with all; those of the largest root not with each other.
+    for k in np.flatnonzero(at != largest):
+        near = (np.bitwise_count(sims ^ sims[k]) <= MOST_DIFFERENT) & (joined[at] != joined[at[k]])
+        near &= np.minimum(lengths, lengths[k]) >= similarity * np.maximum(lengths, lengths[k]) - 1e-9
+        for other in np.flatnonzero(near):
+            if joined[at[other]] != joined[at[k]] and similar(forms[k], forms[other], similarity):
+                links.append((int(ids[k]), int(ids[other])))
+                joined[joined == joined[at[other]]] = joined[at[k]]
+    return links
+
+
+def family_links(families: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
+    """(center, id, root) and (id, form, sim) -> links (a, b) between roots. Large families are compared block by block."""
+    sizes = families.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks"))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = (
+        families.join(saved(sizes, "sizes"), "center").withColumn("own", own)
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("center", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "root")
+        .join(forms, "id")
+    )
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.drop_duplicates("id").sort_values("id")
+        found = compare_family(
+            group["id"].tolist(), group["root"].tolist(), [bytes(f) for f in group["form"]], group["sim"].to_numpy(), similarity
+        )
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return dealt.groupBy("center", "one", "two").applyInPandas(run, "a long, b long")
+
+
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """(id0, th, line) of all lines but the first of each group."""
     seen = saved(occurrences(docs), "lines")
     place = F.struct("id0", "th", "line")
     # Half of the hash names a form from here on.
     forms = saved(
-        seen.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("length").alias("length"))
-        .withColumn("id", F.col("lo")),
+        seen.groupBy("hi", "lo").agg(
+            F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("length").alias("length"), F.first("sim").alias("sim")
+        ).withColumn("id", F.col("lo")),
         "forms",
     )
-    shared = shared_pairs(docs, seen.agg(F.sum("length")).first()[0] or 0, similarity)
-
-    @F.arrow_udf("int")
-    def fewest(lengths: pa.Array) -> pa.Array:
-        return pa.array([prefix(n, similarity)[1] for n in lengths.to_pylist()], pa.int32())
+    shared = shared_blocks(docs, seen.agg(F.sum("length")).first()[0] or 0, similarity)
 
     def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        return F.least(a("length"), b("length")) >= similarity * F.greatest(a("length"), b("length")) - 1e-9
-
-    def enough(n: Column, a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        return n >= F.least(a("fewest"), b("fewest"))
+        lengths = F.least(a("length"), b("length")) >= similarity * F.greatest(a("length"), b("length")) - 1e-9
+        return lengths & (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= MOST_DIFFERENT)
 
     @F.arrow_udf("boolean")
     def same(one: pa.Array, two: pa.Array) -> pa.Array:
         return pa.array([similar(a.as_py(), b.as_py(), similarity) for a, b in zip(one, two, strict=True)], pa.bool_())
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        wanted = forms.join(ids.distinct(), "id").select("id", "first.id0", "first.th", "first.line")
+        return saved(forms_of(docs, wanted), "texts")
+
     def verify(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        texts = saved(
-            forms_of(docs, forms.join(ids, "id").select("id", "first.id0", "first.th", "first.line")), "texts"
-        )
+        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
         a = texts.select(F.col("id").alias("a"), F.col("form").alias("fa"))
         b = texts.select(F.col("id").alias("b"), F.col("form").alias("fb"))
         return pairs.join(a, "a").join(b, "b").where(same("fa", "fb")).select("a", "b")
 
-    items = saved(
-        shared.select("id").distinct().join(forms, "id").select("id", "length").withColumn("fewest", fewest("length")), "items"
-    )
-    roots = saved(components(linked(items, shared, close, verify, enough=enough)), "roots")
+    def families(many: DataFrame) -> DataFrame:
+        return family_links(many, texts_of(many.select("id")).join(forms.select("id", "sim"), "id"), similarity)
+
+    items = saved(shared.select("id").distinct().join(forms, "id").select("id", "length", "sim"), "items")
+    roots = saved(components(linked(items, shared, close, verify, families)), "roots")
     grouped = forms.join(roots, forms.id == roots.node, "left")
     firsts = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("group_first"))
     keepers = saved(
@@ -319,22 +350,17 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     gone = saved(
         removed_lines(docs, similarity).distinct().groupBy("id0", "th").agg(F.collect_list("line").alias("gone")), "gone"
     )
-    rows = docs.select(
-        *columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_id0"), text_key(F.col("text")).alias("_th")
-    )
-    bitmap = membership(gone.select(F.xxhash64("id0", "th")))
-    rows = flagged(rows, F.xxhash64("_id0", "_th"), bitmap, "_maybe")
-    same = rows.where("not _maybe").withColumn("gone", F.lit(None).cast("array<int>"))
-    cut = rows.where("_maybe").join(
-        gone.withColumnsRenamed({"id0": "_id0", "th": "_th"}), ["_id0", "_th"], "left"
-    )
-    cut = cut.select(*same.columns)
-    split = F.split("text", "\n")
+    # The caller's columns wait in one struct: no name of theirs can clash.
+    whole = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(columns)]).alias("row")
+    rows = docs.select(whole, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)).alias("id0"), text_key(docs["text"]).alias("th"))
+    rows = flagged(rows, F.xxhash64("id0", "th"), membership(gone.select(F.xxhash64("id0", "th"))), "maybe")
+    same = rows.where("not maybe").select("row", F.lit(None).cast("array<int>").alias("gone"))
+    cut = rows.where("maybe").join(gone, ["id0", "th"], "left").select("row", "gone")
+    old = F.col("row")[f"c{columns.index('text')}"]
+    split = F.split(old, "\n")
     stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone")))
-    text = F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n")
-    return (
-        same.union(cut)
-        .withColumn("text", F.when(F.col("gone").isNotNull(), text).otherwise(F.col("text")))
-        .withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)))
-        .select(*columns, "n_removed")
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
+    return same.union(cut).select(
+        *[(text if c == "text" else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(columns)],
+        F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),
     )

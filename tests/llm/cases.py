@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = (
     "doc_id long, text string, lang string, source string, n_chars long, "
-    "id long, key string, size int, shard int, slot int, root long, hi long, th long, line int, part int, weight double"
+    "id long, key string, size int, shard int, slot int, root long, hi long, th long, line int, part int, weight double, "
+    "gone string, _id0 long, _th long, _at int, _word string, _maybe boolean, _id string, _key string, maybe int, id0 string"
 )
+CLASHING = ("g", 1, 2, 3, "w", True, "i", "k", 4, "z")
 WORDS = "the of and tion ing heen ated ouse er it Ñandú straße".split()
 
 
@@ -41,7 +43,7 @@ def messy(spark: SparkSession) -> DataFrame:
     rows = [(k * 3, t, "en", [None, "b", "a", "ä"][k % 4]) for k, t in enumerate(texts())]
     rows += [(None, "without number", "en", "a"), rows[0], (9, "another text of nine", None, "b")]
     return spark.createDataFrame(
-        [(*r, len(r[1] or ""), 1, "k", 2, 3, 4, 5, 6, 7, 8, 9, 0.5) for r in rows], SCHEMA
+        [(*r, len(r[1] or ""), 1, "k", 2, 3, 4, 5, 6, 7, 8, 9, 0.5, *CLASHING) for r in rows], SCHEMA
     )
 
 
