@@ -40,6 +40,16 @@ def mapped(df: DataFrame, rows: Callable[[list[dict]], dict], schema: str) -> Da
     return df.mapInArrow(run, schema)
 
 
+def numbered_rows(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(row, number) of every row, written, and what makes the rows' own columns of a table with ``row`` again.
+
+    A written number names a row for sure: rows may be equal, and doc_id may be missing or repeated.
+    """
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = saved(docs.select(row, F.monotonically_increasing_id().alias("number")), "rows")
+    return rows, lambda kept: kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
 def text_key(text: Column) -> Column:
     """Hash of a text; with the document number it names a row. NULL has a value of its own."""
     return F.xxhash64(text)

@@ -12,10 +12,10 @@ before each, and rows are sorted within their range only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import mapped, numbered, saved
+from harvestlens.llm.common import mapped, numbered, numbered_rows, saved
 
 #: No source, and so no document, is taken more often.
 MOST_EPOCHS = 3
@@ -23,8 +23,8 @@ MOST_EPOCHS = 3
 RANGE_ROWS = 20_000
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, source, th, size (words) and weight: the share of letters, digits, marks of sentences and blanks in the text."""
+def measured(docs: DataFrame, number: Column) -> DataFrame:
+    """doc_id, source, th, number, size (words) and weight: the share of letters, digits, marks of sentences and blanks in the text."""
 
     odd = bytes(b for b in range(33, 127) if not (chr(b).isalnum() or chr(b) in ".,;:?'\"-()"))
 
@@ -34,14 +34,15 @@ def measured(docs: DataFrame) -> DataFrame:
             text = text.as_py() or b""
             size.append(len(text.split()))
             weight.append(max(0.05, len(text.translate(None, odd)) / len(text)) if text else 1.0)
-        return {"doc_id": batch["doc_id"], "source": batch["source"], "th": batch["th"], "size": size, "weight": weight}
+        return {c: batch[c] for c in ("doc_id", "source", "th", "number")} | {"size": size, "weight": weight}
 
     return mapped(
-        docs.selectExpr(
-            "cast(doc_id as long) doc_id", "cast(source as string) source", "xxhash64(text) th", "cast(text as binary) text"
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("th"),
+            number, F.col("text").cast("binary").alias("text"),
         ),
         rows,
-        "doc_id long, source string, th long, size long, weight double",
+        "doc_id long, source string, th long, number long, size long, weight double",
     )
 
 
@@ -66,17 +67,19 @@ def targets(sizes: DataFrame, most: float = MOST_EPOCHS) -> DataFrame:
     return sizes.withColumn("target", F.least(F.col("source_size") * float(most), F.lit(level) * F.col("share")))
 
 
-def mixed(docs: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS) -> DataFrame:
-    """doc_id, source, th, size, source_size, target, copies, taken of every row.
+def mixed(
+    docs: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS, number: str | None = None
+) -> DataFrame:
+    """doc_id, source, th, number, size, source_size, target, copies, taken of every row.
 
     Sources in code-point order (NULL last) get the shares in turn. ``copies`` says how
     often a document goes into the mix, ``taken`` how many words that is. Documents
     without words fall where their key does. Rows equal in doc_id and text have equal
-    keys; which of them is taken once more is arbitrary, how many are is not. An empty table gives an empty table.
+    keys; which of them is taken once more is arbitrary, how many are is not, unless ``number`` names a column that numbers the rows. An empty table gives an empty table.
     """
     unit = (F.pmod(F.xxhash64("doc_id", "th", F.lit("mix")), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
     rows = saved(
-        measured(docs).withColumn("key", -F.log(unit) / F.col("weight")), "measured"
+        measured(docs, (F.col(number) if number else F.lit(0)).cast("long").alias("number")).withColumn("key", -F.log(unit) / F.col("weight")), "measured"
     )
     sizes = saved(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")), "sizes")
     order = numbered(sizes.withColumn("_null", F.col("source").isNull()), ["_null", "source"], "_at")
@@ -99,7 +102,7 @@ def mixed(docs: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most: int = MOST
             Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
         ), F.lit(0)).alias("before"),
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "th").rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "th", "number").rowsBetween(Window.unboundedPreceding, 0)
     filled = placed.withColumn("_to", F.sum("size").over(inside)).join(
         sums, placed.source.eqNullSafe(sums.of) & (placed.range == sums.at)
     )
@@ -107,18 +110,14 @@ def mixed(docs: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most: int = MOST
     middle = F.col("before") + F.col("_to") - F.col("size") / 2
     copies = F.col("epochs") + F.when((F.col("epochs") < most) & (middle <= F.col("left")) & (F.col("left") > 0), 1).otherwise(0)
     return filled.select(
-        "doc_id", "source", "th", "size", "source_size", "target", copies.cast("int").alias("copies")
+        "doc_id", "source", "th", "number", "size", "source_size", "target", copies.cast("int").alias("copies")
     ).withColumn("taken", F.col("copies") * F.col("size"))
 
 
 def mix(docs: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS) -> DataFrame:
-    """The documents in the mix, each as often as it is taken, with all their columns."""
-    rows = mixed(docs, shares, most).where("copies > 0").groupBy(
-        F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.coalesce("source", F.lit("")).alias("_from"), F.col("source").isNull().alias("_none")
-    ).agg(F.max("copies").alias("_copies"))
-    keyed = docs.withColumn("_key", F.xxhash64("text"))
-    joined = keyed.join(
-        rows,
-        keyed.doc_id.eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th")) & (F.coalesce("source", F.lit("")) == F.col("_from")) & (F.col("source").isNull() == F.col("_none")),
-    )
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The documents in the mix, each row as often as it is taken, with all their columns, whatever their names."""
+    rows, restored = numbered_rows(docs)
+    asked = rows.select(*[F.col("row")[c].alias(c) for c in ("doc_id", "source", "text")], "number")
+    taken = saved(mixed(asked, shares, most, "number").where("copies > 0").select("number", "copies"), "taken")
+    again = F.explode(F.expr("sequence(1, copies)")).alias("again")
+    return restored(rows.join(taken, "number").select("row", again))

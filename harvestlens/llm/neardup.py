@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import components, flagged, mapped, membership, saved
+from harvestlens.llm.common import components, flagged, mapped, membership, numbered_rows, saved
 from harvestlens.llm.linking import linked, shared_keys
 
 BANDS, BAND_ROWS, BITS = 32, 5, 2
@@ -263,6 +263,15 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents but for all of a group of near copies other than that with the smallest doc_id."""
-    gone = near_groups(docs, words, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(saved(gone, "gone"), "doc_id", "left_anti").select(*docs.columns)
+    """The rows but for all of a group of near copies other than one, that with the smallest doc_id (rows without one last).
+
+    Each row is judged by its own text: a doc_id may have several texts, and of equal rows one stays. Rows without
+    words stay. Columns may have any names.
+    """
+    rows, restored = numbered_rows(docs)
+    found = near_groups(rows.select(F.col("number").alias("doc_id"), F.col("row")["text"].alias("text")), words, percent)
+    found = saved(found.select(F.col("doc_id").alias("number"), "component_id"), "components")
+    owned = found.join(rows.select("number", F.col("row")["doc_id"].cast("long").alias("doc_id")), "number")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "number")
+    first = owned.groupBy("component_id").agg(F.min(order).alias("first")).select("first.number")
+    return restored(rows.join(saved(first, "first"), "number", "left_semi"))
