@@ -21,6 +21,7 @@ in a thousand. Two lines at the threshold differ in more than MOST_DIFFERENT bit
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -46,6 +47,8 @@ RUNS = ((3, 8, 24), (4, 20, 2**31))
 SHORT = 7
 #: Blocks of a bucket, about, and those that a task gathers before it passes them on.
 BUCKET, GATHERED = 2**20, 2**18
+#: Members of a block up to which its pairs are made one by one, by the SimHashes alone.
+FEW = 64
 #: Members of a family that are compared with as many others in one task step.
 FAMILY_BLOCK = 1024
 KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "-/_|" else c for c in range(256))
@@ -80,7 +83,11 @@ def similar(a: bytes, b: bytes, similarity: float) -> bool:
     """Whether the edit distance in words is at most 1 - similarity of the longer."""
     one, two = a.split(), b.split()
     most = int((1 - similarity) * max(len(one), len(two)) + 1e-9)
-    return abs(len(one) - len(two)) <= most and edit_distance(one, two) <= most
+    if abs(len(one) - len(two)) > most:
+        return False
+    # Words that the lines do not have in common take an edit each, whatever their order.
+    common = sum((Counter(one) & Counter(two)).values())
+    return max(len(one), len(two)) - common <= most and edit_distance(one, two) <= most
 
 
 def simhashes(words: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
@@ -327,7 +334,7 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
         return family_links(many, texts_of(many.select("id")).join(forms.select("id", "sim"), "id"), similarity)
 
     items = saved(shared.select("id").distinct().join(forms, "id").select("id", "length", "sim"), "items")
-    roots = saved(components(linked(items, shared, close, verify, families)), "roots")
+    roots = saved(components(linked(items, shared, close, verify, families, few=FEW)), "roots")
     grouped = forms.join(roots, forms.id == roots.node, "left")
     firsts = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("group_first"))
     keepers = saved(

@@ -37,6 +37,7 @@ def linked(
     verify: Callable[[DataFrame], DataFrame],
     families: Callable[[DataFrame], DataFrame] | None = None,
     enough: Callable[[Column, Callable[[str], Column], Callable[[str], Column]], Column] | None = None,
+    few: int = FEW,
 ) -> DataFrame:
     """Edges (a, b) that connect all items which share a key, are ``close`` and pass ``verify``.
 
@@ -44,7 +45,7 @@ def linked(
     that verify accepts). ``shared`` comes from shared_keys. ``verify`` gets pairs
     (a, b) and returns those that are links. Pairs within one component are left out.
 
-    ``families`` takes over the keys of more than FEW members that are still open: it
+    ``families`` takes over the keys of more than ``few`` members that are still open: it
     gets (center, id, root) and returns links between the roots of a center.
 
     ``enough`` says whether a number of keys in common suffices for a pair; by default one does.
@@ -76,11 +77,11 @@ def linked(
         "open",
     )
     rest = members.join(open_keys, "key")
-    few = rest.where(F.col("n") <= FEW) if families else rest
-    few = saved(few.drop("n", "center").join(items, "id"), "rest")
+    small = rest.where(F.col("n") <= few) if families else rest
+    small = saved(small.drop("n", "center").join(items, "id"), "rest")
 
     def half(letter: str) -> DataFrame:
-        return few.select("key", *[F.col(c).alias(letter if c == "id" else f"{letter}_{c}") for c in ["id", "root", *attributes]])
+        return small.select("key", *[F.col(c).alias(letter if c == "id" else f"{letter}_{c}") for c in ["id", "root", *attributes]])
 
     pairs = half("a").join(half("b"), "key").where(
         (F.col("a") < F.col("b")) & (F.col("a_root") != F.col("b_root")) & close(of("a"), of("b"))
@@ -94,6 +95,6 @@ def linked(
     done = near if enough else stars
     links = first.union(saved(verify(saved(pairs.join(done, ["a", "b"], "left_anti"), "near")).select("a", "b"), "links"))
     if families:
-        many = rest.where(F.col("n") > FEW).select("center", "id", "root").distinct()
+        many = rest.where(F.col("n") > few).select("center", "id", "root").distinct()
         links = links.union(saved(families(saved(many, "families")).select("a", "b"), "links"))
     return links
