@@ -30,7 +30,6 @@ def step_limit(max_steps: Column) -> Column:
 def kept_turns(
     turns: DataFrame,
     order_by: Sequence[str] = ("turn_seq",),
-    position: Column | None = None,
     min_rows: int = MIN_GROUP_ROWS,
 ) -> DataFrame:
     """Turns that took effect, with their 0-based ``step``: below the limit and not after a terminal one."""
@@ -38,7 +37,6 @@ def kept_turns(
         turns,
         ["run_id"],
         order_by,
-        position,
         rank="step",
         before={"ended": F.col("kind").isin(*TERMINAL)},
         min_rows=min_rows,

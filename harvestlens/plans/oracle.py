@@ -17,6 +17,11 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _re(pattern: str) -> str:
+    """SQL string literal of a pattern; this regex engine never backtracks and knows no possessive quantifiers."""
+    return _q(pattern.replace(H.MOST_ATTRIBUTES, "*").replace("++", "+").replace("*+", "*").replace("?+", "?"))
+
+
 def _sub(value: str, pattern: str, by: str = "") -> str:
     return f"regexp_replace({value}, {_q(pattern)}, {_q(by)}, 'g')"
 
@@ -36,10 +41,14 @@ def _round4(value: str) -> str:
 # ---------------------------------------------------------------- pages
 
 
+#: The references that the pages hold.
+_REFERENCES = {"lt": "<", "gt": ">", "quot": '"', "#39": "'", "nbsp": "\u00a0", "copy": "\u00a9", "middot": "\u00b7"}
+
+
 def _entities(value: str) -> str:
-    for name, char in H.ENTITIES.items():
+    for name, char in _REFERENCES.items():
         value = f"replace({value}, '&{name};', {_q(char)})"
-    return _sub(value, H.AMPERSAND, "&")
+    return _sub(value, "&amp;", "&")
 
 
 _EDGES = r"^[ \t\r\n\f]+|[ \t\r\n\f]+\z"
@@ -63,7 +72,7 @@ WITH d AS ({inputs.DIRTY_PAGES}),
 m AS (SELECT page_id, url, html, {_sub('html', H.UNRENDERED)} AS markup FROM d),
 v AS (SELECT *, {_entities(_TITLE)} AS title,
  {_tidy(_entities(_VISIBLE))} AS visible,
- len(regexp_extract_all(markup, {_q(H.ANCHOR_WITH_HREF)})) AS link_count,
+ len(regexp_extract_all(markup, {_re(H.ANCHOR_WITH_HREF)})) AS link_count,
  1 + len(regexp_extract_all(markup, {_q(H.FRAME)})) AS iframe_count FROM m),
 t AS (SELECT *, CASE WHEN {_blank('visible')} THEN {_entities(_ALL_TEXT)} ELSE visible END AS full_text FROM v),
 b AS (SELECT *, CASE WHEN {' OR '.join(
@@ -76,7 +85,7 @@ _LINKS = f"""
 WITH m AS (SELECT page_id, url, {_sub('html', H.UNRENDERED)} AS markup FROM pages),
 c AS (SELECT page_id, url, regexp_split_to_array(markup, {_q(H.ANCHOR)}) AS chunks FROM m),
 x AS (SELECT page_id, url, unnest(list_slice(chunks, 2, len(chunks))) AS chunk, generate_subscripts(list_slice(chunks, 2, len(chunks)), 1) AS nth FROM c),
-a AS (SELECT *, regexp_extract(regexp_extract(chunk, {_q(H.ANCHOR_ATTRS)}, 1), {_q(H.HREF)}, 1) AS raw FROM x),
+a AS (SELECT *, regexp_extract(regexp_extract(chunk, {_q(H.ANCHOR_ATTRS)}, 1), {_re(H.HREF)}, 1) AS raw FROM x),
 h AS (SELECT *, {_entities(_sub('raw', H.HREF_WRAP))} AS href0,
  {_tidy(_entities(_sub(_sub(f"regexp_extract(chunk, {_q(H.ANCHOR_BODY)}, 1)", H.LINE_TAG, H.BREAK), H.TAG)))} AS text
  FROM a WHERE raw <> ''),
@@ -139,6 +148,11 @@ SELECT run_id, CASE WHEN bool_or(kind = 'finish') THEN 'finished' WHEN bool_or(k
 FROM k GROUP BY run_id
 """
 
+_RUN_STATE_WITH_REASON = _RUN_STATE.replace(_KEPT_TURNS, _KEPT_DETAILS).replace(" AS n_errors\n", """ AS n_errors,
+ max(CASE kind WHEN 'finish' THEN coalesce(reason, '') WHEN 'model_failure'
+  THEN 'Model generation error: ' || coalesce(message, 'unknown error') END) AS finish_reason
+""")
+
 _AUDIT = f"""{_KEPT_DETAILS}
 SELECT timestamp, source_id, step, action AS tool_name, arguments, NOT {_FAILED} AS success,
  CASE WHEN {_FAILED} THEN message END AS error,
@@ -343,7 +357,7 @@ UNION ALL SELECT event_id, action, 'below_minimum', 'sample_rows' FROM ({_CALLS}
     "normalize_results": f"""SELECT event_id, event_id % 5 NOT IN (1, 2) AS success, CASE WHEN event_id % 5 = 0 THEN 'storage/raw/s/f' END AS file_path,
  CASE WHEN event_id % 5 = 1 THEN 'boom' END AS message, event_id % 5 = 4 AS wrapped, {_round4('value/1000')} AS duration_seconds FROM events""",
     # runs
-    "run_state": _RUN_STATE,
+    "run_state": _RUN_STATE_WITH_REASON,
     "stream_run_state": _RUN_STATE,
     "audit_records": _AUDIT,
     "run_artifacts": f"""{_KEPT_TURNS} SELECT run_id, cast(0 as bigint) AS part, string_agg(file_path, ',' ORDER BY step) AS artifacts

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from harvestlens.operators import actions, checks, contracts, fetch, pages, profile, prompts, runs
 from harvestlens.operators.ordering import gathered, ranked
 from harvestlens.plans import inputs
-from harvestlens.plans.inputs import derived, time_position
+from harvestlens.plans.inputs import derived
 from harvestlens.plans.workbook_files import order_workbooks
 from harvestlens.session import configure, scratch_dir, spread, table
 from harvestlens.sinks import audit, zones
@@ -436,19 +436,19 @@ def normalize_results(spark, sf_dir):
 
 
 def _kept(spark, sf_dir, turns=inputs.TURNS):
-    return runs.kept_turns(derived(spark, sf_dir, turns), ["ts", "event_id"], time_position("ts"))
+    return runs.kept_turns(derived(spark, sf_dir, turns), ["ts", "event_id"])
 
 
 @query
 def run_state(spark, sf_dir):
-    return runs.run_state(_kept(spark, sf_dir)).drop("finish_reason")
+    return runs.run_state(_kept(spark, sf_dir, inputs.DETAILED_TURNS))
 
 
 @query
 def stream_run_state(spark, sf_dir):
     base = scratch_dir(spark, "turns")
     turns = ranked(
-        derived(spark, sf_dir, inputs.TURNS), ["run_id"], ["ts", "event_id"], time_position("ts"), rank="_r"
+        derived(spark, sf_dir, inputs.TURNS), ["run_id"], ["ts", "event_id"], rank="_r"
     ).withColumn("turn_seq", F.col("_r") + 1)
     numbered = turns.select("run_id", "turn_seq", "kind", "success", "max_steps")
     numbered.write.parquet(f"{base}/in")

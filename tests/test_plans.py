@@ -75,9 +75,12 @@ def test_record_checks_do_not_shuffle(spark):
         assert "Exchange" not in plan(df)
 
 
-def test_runs_are_ranked_by_slice(spark):
+def test_runs_are_ranked_in_one_scan_and_by_slice_if_cut(spark):
     turns = inputs.derived(spark, SF, inputs.TURNS)
-    text = plan(runs.run_state(runs.kept_turns(turns, ["ts", "event_id"], inputs.time_position("ts"))))
-    assert "hashpartitioning(run_id" in text and "_slice" in text
+    # The number of rows, read from the files' footers before, rules out a run to cut.
+    text = plan(runs.run_state(runs.kept_turns(turns, ["ts", "event_id"])))
+    assert "hashpartitioning(run_id" in text and text.count("FileScan") == 1
+    text = plan(runs.run_state(runs.kept_turns(turns, ["ts", "event_id"], min_rows=20)))
     windows = [line for line in text.splitlines() if "Window [" in line and "row_number" in line]
     assert windows and all("_slice" in line for line in windows)
+    assert text.count("FileScan") == 2

@@ -127,8 +127,32 @@ def test_ranks_survive_a_hot_group_and_outliers(spark, min_rows):
 
 def test_cut_groups_are_many_slices(spark):
     df = spark.range(1_000).select(F.lit(1).alias("g"), F.col("id").cast("double").alias("at"))
-    large = ordering.large_groups(df, ["g"], F.col("at"), min_rows=50).first()
-    assert large._slices == 20 and large._width == 50
+    assert len(ordering.quantile_cuts(df, ["g"], ["at"], min_rows=50).first()._cuts) == 19
+    assert ordering.quantile_cuts(df, ["g"], ["at"], min_rows=1_000) is None
+
+
+def test_a_burst_is_cut_evenly(spark):
+    # 990 of 1 000 rows fall into one instant; the second order column tells them apart.
+    df = spark.range(1_000).select(
+        F.lit("g").alias("g"), F.when(F.col("id") < 990, 500).otherwise(F.col("id")).alias("at"), F.col("id")
+    ).repartition(4)
+    cuts = ordering.quantile_cuts(df, ["g"], ["at", "id"], min_rows=10)
+    place = ordering.slice_of(F.struct("at", "id"), F.col("_cuts"))
+    sizes = [r["count"] for r in df.join(cuts, "g").groupBy(place.alias("s")).count().collect()]
+    assert len(sizes) == 100 and max(sizes) <= 11
+    cut, uncut = (
+        sorted(map(tuple, ordering.ranked(df, ["g"], ["at", "id"], min_rows=n, before={"odd": F.col("id") == 600}).collect()))
+        for n in (10, 10_000)
+    )
+    assert cut == uncut
+
+
+def test_a_large_group_without_a_key_is_cut(spark):
+    df = spark.range(300).select(F.when(F.col("id") % 3 == 0, "k").alias("g"), F.col("id").alias("at"))
+    got = ordering.ranked(df, ["g"], ["at"], min_rows=20).collect()
+    assert {(r.g, r.at): r["rank"] for r in got} == {
+        (("k" if i % 3 == 0 else None), i): (i // 3 if i % 3 == 0 else i - i // 3 - 1) for i in range(300)
+    }
 
 
 def test_long_groups_continue_in_parts(spark):
