@@ -17,6 +17,8 @@ NO_FRAGMENT = r"^([^#]*)"
 NO_QUERY = r"^([^?#]*)"
 DIRECTORY = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(?:/[^?#]*/|/)?)"
 
+WITH_PATH = r"(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)(/[^?#]*)(.*)\z"
+
 
 def normalize_url(raw: Column) -> Column:
     """Peel white space, one pair of quotes, a markdown link and angle brackets, in that order."""
@@ -62,8 +64,29 @@ def base_of(page_url: Column) -> Column:
     )
 
 
-def resolve_href(base: Column, href: Column) -> Column:
-    """Absolute form of a link target. Dot segments and percent signs stay as written."""
+def _without_dot_segments(path: Column) -> Column:
+    """A path whose ``.`` and ``..`` segments took effect; it stays absolute."""
+    segments = F.split(path, "/")
+    stack = F.aggregate(
+        F.slice(segments, 2, F.greatest(F.size(segments) - 1, F.lit(0))),
+        F.array().cast("array<string>"),
+        lambda kept, part: F.when(part == "..", F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0))))
+        .when(part == ".", kept)
+        .otherwise(F.array_append(kept, part)),
+    )
+    ends_above = F.element_at(segments, -1).isin(".", "..")
+    return F.concat(F.lit("/"), F.array_join(stack, "/"), F.when(ends_above & (F.size(stack) > 0), "/").otherwise(""))
+
+
+def tidy_path(url: Column) -> Column:
+    """An absolute URL without dot segments in its path; others as they are."""
+    path = F.regexp_extract(url, WITH_PATH, 2)
+    tidy = F.concat(F.regexp_extract(url, WITH_PATH, 1), _without_dot_segments(path), F.regexp_extract(url, WITH_PATH, 3))
+    return F.when(path.contains("/."), tidy).otherwise(url)
+
+
+def absolute_href(base: Column, href: Column) -> Column:
+    """A link target joined with its base, dot segments and percent signs as written."""
     return (
         F.when(href == "", base["page"])
         .when(href.rlike(SCHEME), href)
@@ -73,3 +96,8 @@ def resolve_href(base: Column, href: Column) -> Column:
         .when(href.startswith("#"), F.concat(base["page"], href))
         .otherwise(F.concat(base["directory"], href))
     )
+
+
+def resolve_href(base: Column, href: Column) -> Column:
+    """Absolute form of a link target (RFC 3986, section 5.3); percent signs stay as written."""
+    return tidy_path(absolute_href(base, href))

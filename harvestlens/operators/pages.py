@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from harvestlens.functions import html as H
 from harvestlens.functions.staging import pinned
 from harvestlens.functions.text import is_blank
-from harvestlens.functions.urls import base_of
+from harvestlens.functions.urls import absolute_href, base_of, tidy_path
 
 MAX_TEXT = 20_000
 MAX_HTML_PREVIEW = 50_000
@@ -37,11 +37,8 @@ CHALLENGE_MARKS = (
     "incapsula",
 )
 
-BLOCKED_MESSAGE = (
-    "The website returned an anti-bot or security challenge instead of usable page content. "
-    "The browser tool does not attempt to bypass the challenge."
-)
-EMPTY_MESSAGE = "The browser received the page, but no usable text or links were available."
+BLOCKED_MESSAGE = "This is a security check of the site, not the page behind it; it is not worked around."
+EMPTY_MESSAGE = "The page loaded, but it shows neither text nor links."
 
 
 # A mark that contains another one adds nothing to the test.
@@ -89,13 +86,20 @@ def _with_text(df: DataFrame, html: str) -> DataFrame:
     return pinned(visible, _text=text).drop("_marked", "_visible")
 
 
+def _with_base(df: DataFrame, url: str) -> DataFrame:
+    """Add ``_base``: what targets are resolved against, the first base element of ``_markup``, itself resolved, or the URL."""
+    found = pinned(df, _first=H.base_target(F.col("_markup")))
+    found = pinned(found, _joined=absolute_href(base_of(F.col(url)), F.col("_first")))
+    found = pinned(found, _from=F.when(F.col("_first") == "", F.col(url)).otherwise(tidy_path(F.col("_joined"))))
+    return found.withColumn("_base", base_of(F.col("_from"))).drop("_first", "_joined", "_from")
+
+
 def page_links(df: DataFrame, html: str = "html", url: str = "url", limit: int = MAX_LINKS) -> DataFrame:
     """Add ``links`` (first ``limit``) as ARRAY<STRUCT<text, href>>, in document order."""
-    cut = df.withColumn("_chunks", H.anchor_chunks(H.rendered_markup(F.col(html)))).withColumn(
-        "_base", base_of(F.col(url))
-    )
+    marked = pinned(df, _markup=H.rendered_markup(F.col(html)))
+    cut = _with_base(marked.withColumn("_chunks", H.anchor_chunks(F.col("_markup"))), url)
     links = F.slice(H.links_of(F.col("_chunks"), F.col("_base")), 1, limit)
-    return pinned(cut, links=links).drop("_chunks", "_base")
+    return pinned(cut, links=links).drop("_chunks", "_base", "_markup")
 
 
 def explode_links(df: DataFrame, key: str, links: str = "links") -> DataFrame:
@@ -141,7 +145,8 @@ def inspect_pages(df: DataFrame, html: str = "html", url: str = "url") -> DataFr
     staged = pinned(staged, _n_links=links, _blank=empty)
     staged = staged.withColumn("_empty", F.col("_blank") & (F.col("_n_links") == 0)).withColumn(
         "_chunks", H.anchor_chunks(F.col("_markup"))
-    ).withColumn("_base", base_of(F.col(url)))
+    )
+    staged = _with_base(staged, url)
     kept = [c for c in df.columns if c not in (html, url)]
     return staged.select(
         *kept,

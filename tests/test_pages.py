@@ -81,7 +81,7 @@ def test_resolve_href_of_a_bare_host(spark):
         ("&amp;lt;", "&lt;"),
         ("&#233;&#xE9;&#x1F600;", "éé\U0001f600"),
         ("&#38;amp;", "&amp;"),
-        ("&nosuch; &#0; &#xD800; &#99999999;", "&nosuch; &#0; &#xD800; &#99999999;"),
+        ("&nosuch; &#0; &#xD800; &#99999999;", "&nosuch; \ufffd \ufffd \ufffd"),
         ("AT&T", "AT&T"),
         ("&nbsp;x", " x"),
     ],
