@@ -51,6 +51,8 @@ BUCKET, GATHERED = 2**20, 2**18
 FEW = 64
 #: Members of a family that are compared with as many others in one task step.
 FAMILY_BLOCK = 1024
+#: Hashes by which words in common are counted there.
+BAG = 512
 KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "-/_|" else c for c in range(256))
 DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "-/_|")
 
@@ -262,7 +264,11 @@ def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def compare_family(ids: list, roots: list, forms: list[bytes], sims: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links that join different roots; of two roots one link is enough."""
-    lengths = np.array([f.count(b" ") + 1 for f in forms])
+    words = [f.split() for f in forms]
+    lengths = np.array([len(w) for w in words])
+    most = ((1 - similarity) * lengths + 1e-9).astype(np.int64)
+    # Words in common, counted by a few hundred hashes of words: never too few.
+    bags = np.array([np.bincount([hash(x) % BAG for x in w], minlength=BAG) for w in words]).astype(np.uint16)
     order, at = np.unique(np.array(roots), return_inverse=True)
     joined = np.arange(len(order))  # the current root of each root
     largest = np.bincount(at).argmax()
@@ -270,8 +276,10 @@ def compare_family(ids: list, roots: list, forms: list[bytes], sims: np.ndarray,
     # Members of small roots are compared with all; those of the largest root not with each other.
     for k in np.flatnonzero(at != largest):
         near = (np.bitwise_count(sims ^ sims[k]) <= MOST_DIFFERENT) & (joined[at] != joined[at[k]])
-        near &= np.minimum(lengths, lengths[k]) >= similarity * np.maximum(lengths, lengths[k]) - 1e-9
-        for other in np.flatnonzero(near):
+        near = np.flatnonzero(near)
+        # Words that two lines do not have in common take an edit each.
+        common = np.minimum(bags[near], bags[k]).sum(axis=1, dtype=np.int64)
+        for other in near[np.maximum(lengths[near], lengths[k]) - common <= np.maximum(most[near], most[k])]:
             if joined[at[other]] != joined[at[k]] and similar(forms[k], forms[other], similarity):
                 links.append((int(ids[k]), int(ids[other])))
                 joined[joined == joined[at[other]]] = joined[at[k]]
