@@ -269,6 +269,7 @@ def compare_family(ids: list, roots: list, forms: list[bytes], sims: np.ndarray,
     most = ((1 - similarity) * lengths + 1e-9).astype(np.int64)
     # Words in common, counted by a few hundred hashes of words: never too few.
     bags = np.array([np.bincount([hash(x) % BAG for x in w], minlength=BAG) for w in words]).astype(np.uint16)
+    sims = np.asarray(sims, np.int64).view(np.uint64)  # of signed numbers, bits are counted without the sign
     order, at = np.unique(np.array(roots), return_inverse=True)
     joined = np.arange(len(order))  # the current root of each root
     largest = np.bincount(at).argmax()
