@@ -189,8 +189,27 @@ def check_duplicates(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     Copies are counted map-side first, so a key with a third of all rows
     reaches the shuffle as one row per task. Two NULLs are a duplicate.
+
+    Texts and bytes are counted by their 256-bit digest first; only rows whose digest
+    occurs again are then counted by the values themselves, which decide. A frame with
+    such keys is read twice and must not change between the reads.
     """
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    names = dict(df.dtypes)
+    wide = [k for k in keys if names.get(k) in ("string", "binary")]
+    if not wide:
+        return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    short = [F.unhex(F.sha2(F.col(f"`{k}`"), 256)) if k in wide else F.col(f"`{k}`") for k in keys]
+    places = [f"_k{i}" for i in range(len(keys))]
+    rows = df.select(*[F.col(f"`{k}`") for k in keys], *[c.alias(p) for c, p in zip(short, places)])
+    again = (
+        df.select(*[c.alias(f"_a{i}") for i, c in enumerate(short)])
+        .groupBy(*[f"_a{i}" for i in range(len(keys))])
+        .agg(F.count(F.lit(1)).alias("_n"))
+        .filter("_n > 1")
+    )
+    same = reduce(lambda a, b: a & b, [F.col(p).eqNullSafe(F.col(f"_a{i}")) for i, p in enumerate(places)])
+    found = rows.join(again, same, "left_semi")
+    return found.groupBy(*[f"`{k}`" for k in keys]).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
 
 
 def check_date_range(

@@ -324,16 +324,29 @@ SELECT 'c_acctbal' AS field, coalesce(bool_or(c_acctbal IS NULL), false) AS has_
 UNION ALL SELECT 'c_mktsegment', coalesce(bool_or(c_mktsegment IS NULL OR c_mktsegment = ''), false) FROM d
 UNION ALL SELECT 'c_name', coalesce(bool_or(c_name IS NULL OR c_name = ''), false) FROM d
 UNION ALL SELECT 'c_phone', count(*) > 0 FROM d""",
-    "check_report": f"""SELECT 'orders' AS dataset, 'row_count' AS "check", count(*) >= 1 AS passed,
- '{{"row_count":' || count(*) || ',"minimum":1,"maximum":null}}' AS detail_json FROM orders
-UNION ALL SELECT 'orders', 'duplicates', count(*) = 0, '{{"n_violations":' || count(*) || '}}'
- FROM (SELECT o_orderkey FROM orders GROUP BY o_orderkey HAVING count(*) > 1)
-UNION ALL SELECT 'orders', 'date_range', count(*) = 0, '{{"n_violations":' || count(*) || '}}' FROM orders
- WHERE cast(o_orderdate as varchar) < '1996-01-01' OR cast(o_orderdate as varchar) > '1998-12-31'
+    "check_report": f"""WITH o AS (SELECT o_orderkey, cast(o_orderdate as varchar) AS d, o_orderstatus, o_custkey FROM orders),
+ r AS (SELECT d, d < '1996-01-01' AS below FROM o WHERE d < '1996-01-01' OR d > '1998-12-31'),
+ c AS ({inputs.ROWS_WITH_NULLS}),
+ od AS (SELECT o_orderkey AS k, count(*) AS n FROM o GROUP BY 1 HAVING count(*) > 1),
+ cd AS (SELECT c_mktsegment AS k, count(*) AS n FROM c GROUP BY 1 HAVING count(*) > 1)
+SELECT 'orders' AS dataset, 'required_fields' AS "check", false AS passed, '{{"missing_fields":["o_comment"]}}' AS detail_json
+UNION ALL SELECT 'orders', 'schema', false,
+ '{{"missing_fields":["o_comment"],"extra_fields":["o_custkey","o_orderstatus","o_orderdate","o_orderpriority"]}}'
+UNION ALL SELECT 'orders', 'types', false, '{{"mismatches":[{{"field":"o_totalprice","expected":"decimal","observed":"double"}}]}}'
+UNION ALL SELECT 'orders', 'row_count', count(*) >= 1, '{{"row_count":' || count(*) || ',"minimum":1,"maximum":null}}' FROM o
+UNION ALL SELECT 'orders', 'duplicates', count(*) = 0, '{{"duplicate_keys":' || count(*) || ',"surplus_rows":' || coalesce(sum(n - 1), 0)
+ || ',"first":' || coalesce('{{"o_orderkey":' || min(k) || '}}', 'null') || ',"last":' || coalesce('{{"o_orderkey":' || max(k) || '}}', 'null') || '}}' FROM od
+UNION ALL SELECT 'orders', 'date_range', count(*) = 0, '{{"below":' || count(*) FILTER (below) || ',"above":' || count(*) FILTER (NOT below)
+ || ',"lowest":' || coalesce('"' || min(d) || '"', 'null') || ',"highest":' || coalesce('"' || max(d) || '"', 'null') || '}}' FROM r
+UNION ALL SELECT 'orders', 'nulls', len(f) = 0, '{{"fields_with_nulls":[' || array_to_string(list_transform(f, lambda x: '"' || x || '"'), ',') || ']}}'
+ FROM (SELECT list_filter([CASE WHEN bool_or(o_custkey IS NULL) THEN 'o_custkey' END,
+  CASE WHEN bool_or(o_orderstatus IS NULL OR o_orderstatus = '') THEN 'o_orderstatus' END], lambda x: x IS NOT NULL) AS f FROM o)
+UNION ALL SELECT 'customer', 'row_count', count(*) BETWEEN 1 AND 100, '{{"row_count":' || count(*) || ',"minimum":1,"maximum":100}}' FROM c
+UNION ALL SELECT 'customer', 'duplicates', count(*) = 0, '{{"duplicate_keys":' || count(*) || ',"surplus_rows":' || coalesce(sum(n - 1), 0)
+ || ',"first":' || coalesce('{{"c_mktsegment":"' || min(k) || '"}}', 'null') || ',"last":' || coalesce('{{"c_mktsegment":"' || max(k) || '"}}', 'null') || '}}' FROM cd
 UNION ALL SELECT 'customer', 'nulls', len(f) = 0, '{{"fields_with_nulls":[' || array_to_string(list_transform(f, lambda x: '"' || x || '"'), ',') || ']}}'
- FROM (SELECT list_sort(list_filter([CASE WHEN bool_or(c_name IS NULL OR c_name = '') THEN 'c_name' END,
-  CASE WHEN bool_or(c_mktsegment IS NULL OR c_mktsegment = '') THEN 'c_mktsegment' END], lambda x: x IS NOT NULL)) AS f
-  FROM ({inputs.ROWS_WITH_NULLS}))""",
+ FROM (SELECT list_filter([CASE WHEN bool_or(c_mktsegment IS NULL OR c_mktsegment = '') THEN 'c_mktsegment' END,
+  CASE WHEN bool_or(c_name IS NULL OR c_name = '') THEN 'c_name' END], lambda x: x IS NOT NULL) AS f FROM c)""",
     # actions
     "parse_actions": f"SELECT event_id, {_ACTION} AS action, {_ERROR_CLASS} AS error_type FROM events",
     "tool_lookup": f"""SELECT event_id, action, CASE action WHEN 'read_csv' THEN 'file' WHEN 'http_download' THEN 'http'
@@ -358,7 +371,7 @@ UNION ALL SELECT event_id, action, 'below_minimum', 'sample_rows' FROM ({_CALLS}
  CASE WHEN event_id % 5 = 1 THEN 'boom' END AS message, event_id % 5 = 4 AS wrapped, {_round4('value/1000')} AS duration_seconds FROM events""",
     # runs
     "run_state": _RUN_STATE_WITH_REASON,
-    "stream_run_state": _RUN_STATE,
+    "stream_run_state": _RUN_STATE_WITH_REASON,
     "audit_records": _AUDIT,
     "run_artifacts": f"""{_KEPT_TURNS} SELECT run_id, cast(0 as bigint) AS part, string_agg(file_path, ',' ORDER BY step) AS artifacts
  FROM k WHERE kind = 'call' AND success AND file_path <> '' GROUP BY run_id""",

@@ -8,8 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from harvestlens.operators import actions, checks, contracts, fetch, pages, profile, prompts, runs
-from harvestlens.operators.ordering import gathered, ranked
+from harvestlens.operators import actions, checks, contracts, fetch, pages, profile, prompts, reports, runs
+from harvestlens.operators.ordering import gathered
 from harvestlens.plans import inputs
 from harvestlens.plans.inputs import derived
 from harvestlens.plans.workbook_files import order_workbooks
@@ -18,6 +18,7 @@ from harvestlens.sinks import audit, zones
 from harvestlens.sources import configs, csv_files, inventory, paged, workbooks
 from harvestlens.streaming import run_state as streamed
 from harvestlens.streaming import sinks as stream_sinks
+from harvestlens.streaming.ordered_runs import stream_ordered_run_state
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -366,16 +367,26 @@ def check_nulls(spark, sf_dir):
 
 @query
 def check_report(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
-    customers = derived(spark, sf_dir, inputs.ROWS_WITH_NULLS)
-    return checks.check_report(
-        checks.row_count_verdict(checks.check_row_count(orders), "orders"),
-        checks.violations_verdict(checks.check_duplicates(orders, ["o_orderkey"]), "orders", "duplicates"),
-        checks.violations_verdict(
-            checks.check_date_range(orders, "o_orderdate", "1996-01-01", "1998-12-31"), "orders", "date_range"
-        ),
-        checks.nulls_verdict(checks.check_nulls(customers, ["c_name", "c_mktsegment"]), "customer"),
+    expected = {"o_orderkey": "INT", "o_totalprice": "decimal", "o_comment": "string"}
+    orders = reports.report(
+        table(spark, sf_dir, "orders"),
+        "orders",
+        reports.required_fields(["o_orderkey", "o_comment"]),
+        reports.schema(expected),
+        reports.types(expected),
+        reports.row_count(),
+        reports.duplicates(["o_orderkey"]),
+        reports.date_range("o_orderdate", "1996-01-01", "1998-12-31"),
+        reports.nulls(["o_orderstatus", "o_custkey"]),
     )
+    customers = reports.report(
+        derived(spark, sf_dir, inputs.ROWS_WITH_NULLS),
+        "customer",
+        reports.row_count(maximum=100),
+        reports.duplicates(["c_mktsegment"]),
+        reports.nulls(["c_name", "c_mktsegment"]),
+    )
+    return checks.check_report(orders, customers)
 
 
 # ---------------------------------------------------------------- actions
@@ -447,15 +458,20 @@ def run_state(spark, sf_dir):
 @query
 def stream_run_state(spark, sf_dir):
     base = scratch_dir(spark, "turns")
-    turns = ranked(
-        derived(spark, sf_dir, inputs.TURNS), ["run_id"], ["ts", "event_id"], rank="_r"
-    ).withColumn("turn_seq", F.col("_r") + 1)
-    numbered = turns.select("run_id", "turn_seq", "kind", "success", "max_steps")
-    numbered.write.parquet(f"{base}/in")
-    arriving = stream_sinks.read_table_stream(spark, f"{base}/in", numbered.schema)
-    updates = streamed.stream_run_state(arriving)
+    at = F.expr("TIMESTAMP'1970-01-01 00:00:00Z' + (ts - TIMESTAMP_NTZ'1970-01-01 00:00:00')")
+    turns = derived(spark, sf_dir, inputs.DETAILED_TURNS).select(
+        "run_id", at.alias("at"), "event_id", "kind", "success", "max_steps", "reason", "message"
+    )
+    turns.write.parquet(f"{base}/in")
+    # A last heartbeat tells that nothing earlier will follow.
+    heartbeat = turns.agg((F.max("at") + F.expr("INTERVAL 1 DAY")).alias("at")).where("at IS NOT NULL")
+    heartbeat.select(
+        *[(F.col("at") if c == "at" else F.lit(None).cast(t)).alias(c) for c, t in turns.dtypes]
+    ).write.mode("append").parquet(f"{base}/in")
+    arriving = stream_sinks.read_table_stream(spark, f"{base}/in", turns.schema)
+    updates = stream_ordered_run_state(arriving, at="at")
     stream_sinks.append_updates(updates, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    return streamed.latest_run_state(spark.read.schema(updates.schema).parquet(f"{base}/out")).drop("finish_reason")
+    return streamed.latest_run_state(spark.read.schema(updates.schema).parquet(f"{base}/out"))
 
 
 @query

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -84,6 +84,16 @@ class RunFold(StatefulProcessor):
         pass
 
 
+def ending_reason(turns: DataFrame) -> Column:
+    """Why a turn ends its run, NULL when it does not."""
+    reason = F.col("reason") if "reason" in turns.columns else F.lit(None).cast("string")
+    message = F.col("message") if "message" in turns.columns else F.lit(None).cast("string")
+    return F.when(F.col("kind") == "finish", F.coalesce(reason, F.lit(""))).when(
+        F.col("kind") == "model_failure",
+        F.concat(F.lit("Model generation error: "), F.coalesce(message, F.lit("unknown error"))),
+    )
+
+
 def stream_run_state(turns: DataFrame) -> DataFrame:
     """Streaming (run_id, turn_seq from 1 without gaps, kind, success, max_steps, ...) to state updates.
 
@@ -91,17 +101,12 @@ def stream_run_state(turns: DataFrame) -> DataFrame:
     shuffle, so a run that floods the log brings at most its step limit to one
     task. Each update carries ``n_turns``; the largest one per run is current.
     """
-    reason = F.col("reason") if "reason" in turns.columns else F.lit(None).cast("string")
-    message = F.col("message") if "message" in turns.columns else F.lit(None).cast("string")
     limited = turns.filter(F.col("turn_seq") <= step_limit(F.col("max_steps"))).select(
         "run_id",
         "turn_seq",
         "kind",
         F.coalesce(F.col("success"), F.lit(False)).alias("ok"),
-        F.when(F.col("kind") == "finish", F.coalesce(reason, F.lit("")))
-        .when(F.col("kind") == "model_failure",
-              F.concat(F.lit("Model generation error: "), F.coalesce(message, F.lit("unknown error"))))
-        .alias("reason"),
+        ending_reason(turns).alias("reason"),
         step_limit(F.col("max_steps")).cast("long").alias("turn_limit"),
     )
     return limited.groupBy("run_id").transformWithStateInPandas(
