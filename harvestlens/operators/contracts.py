@@ -18,8 +18,19 @@ ARGUMENT_COLUMNS = ("argument", "type", "nullable", "item_type", "required", "mi
 CATALOG_COLUMNS = ("name", "category", "description", "enabled", "implemented", "additional_allowed", "contract")
 
 
+# Types of JSON values a contract may name.
+JSON_TYPES = ("string", "integer", "number", "boolean", "array", "object", "null")
+
+
 def argument(name, type_="string", *, required=False, nullable=False, items=None, minimum=None, default=None):
-    """One argument of a contract, as a row of :data:`ARGUMENT_COLUMNS`."""
+    """One argument of a contract, as a row of :data:`ARGUMENT_COLUMNS`.
+
+    ``type_`` and ``items`` are JSON types, or several joined by ``|`` of which one must
+    fit; an unknown one is an error here, not a violation of every call.
+    """
+    for kind in [*type_.split("|"), *(items or "").split("|")]:
+        if kind and kind not in JSON_TYPES:
+            raise ValueError(f"unknown type {kind!r} of argument {name!r}")
     return (name, type_, nullable, items, required, minimum, default)
 
 
@@ -146,18 +157,33 @@ def _is_number(kind: Column) -> Column:
     return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
 
+def _fits(declared: Column, kind: Column, number: Column) -> Column:
+    """Whether a value of the type ``kind`` is of one of the declared types."""
+
+    def one(type_: Column) -> Column:
+        return (
+            F.when(type_ == "string", kind == "STRING")
+            .when(type_ == "integer", _whole(kind, number))
+            .when(type_ == "number", _is_number(kind))
+            .when(type_ == "boolean", kind == "BOOLEAN")
+            .when(type_ == "array", kind.startswith("ARRAY"))
+            .when(type_ == "object", kind.startswith("OBJECT"))
+            .when(type_ == "null", kind == "VOID")
+            .otherwise(False)
+        )
+
+    return F.exists(F.split(declared, "[|]"), one)
+
+
 def _judged(a: Column) -> Column:
     """Violation of one given argument, NULL when it fits. ``a`` is a row of :func:`_given`."""
     spec, kind, number = a["spec"], a["kind"], a["number"]
-    fits = (
-        F.when(kind == "VOID", spec["nullable"])
-        .when(spec["type"] == "string", kind == "STRING")
-        .when(spec["type"] == "integer", _whole(kind, number))
-        .when(spec["type"] == "array", kind.startswith("ARRAY"))
-        .otherwise(False)
+    fits = ((kind == "VOID") & spec["nullable"]) | _fits(spec["type"], kind, number)
+    strays = F.exists(
+        F.try_variant_get(a["value"], "$", "array<variant>"),
+        lambda item: ~_fits(spec["item_type"], kind_of(item), F.try_variant_get(item, "$", "double")),
     )
-    strays = F.exists(F.try_variant_get(a["value"], "$", "array<variant>"), lambda item: kind_of(item) != "STRING")
-    stray_item = (spec["item_type"] == "string") & kind.startswith("ARRAY") & strays
+    stray_item = spec["item_type"].isNotNull() & kind.startswith("ARRAY") & strays
     # The type is judged before the minimum: a boolean would pass as a number.
     return (
         F.when(~fits, "wrong_type")

@@ -358,6 +358,13 @@ UNION ALL SELECT 'customer', 'nulls', len(f) = 0, '{{"fields_with_nulls":[' || a
 UNION ALL SELECT event_id, action, 'wrong_type', 'source_id' FROM ({_CALLS}) WHERE event_id % 11 = 9 AND event_id % 7 = 4
 UNION ALL SELECT event_id, action, 'unexpected', 'bogus' FROM ({_CALLS}) WHERE event_id % 11 = 9 AND event_id % 7 = 5
 UNION ALL SELECT event_id, action, 'below_minimum', 'sample_rows' FROM ({_CALLS}) WHERE event_id % 11 = 9 AND event_id % 7 = 6""",
+    "check_argument_types": """WITH e AS (SELECT event_id, event_type AS action, json_type(props, '$.k') AS t,
+  cast(json_extract(props, '$.k') as double) AS v FROM events)
+SELECT event_id, action, 'wrong_type' AS violation, 'k' AS argument FROM e WHERE action = 'view' AND t <> 'VARCHAR'
+ OR action = 'signup' AND t NOT IN ('ARRAY', 'OBJECT', 'NULL') OR action = 'purchase' AND t NOT IN ('VARCHAR', 'BIGINT', 'UBIGINT', 'DOUBLE')
+ OR action = 'click' AND t NOT IN ('BIGINT', 'UBIGINT') AND NOT (t = 'DOUBLE' AND v = floor(v))
+UNION ALL SELECT event_id, action, 'below_minimum', 'k' FROM e WHERE action = 'click' AND t IN ('BIGINT', 'UBIGINT', 'DOUBLE') AND v < 50 AND v = floor(v)
+UNION ALL SELECT event_id, action, 'missing', 'q' FROM e WHERE action = 'click'""",
     "route_actions": f"""SELECT event_id, action, CASE WHEN event_id % 11 = 10 THEN 'dispatch' WHEN action = 'finish' THEN 'finish' ELSE 'reject' END AS route,
  CASE WHEN event_id % 11 = 9 THEN CASE event_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'ToolNotFoundError' WHEN 2 THEN 'ToolDisabledError'
   ELSE 'InvalidArgumentsError' END END AS error_type FROM ({_CALLS})""",

@@ -136,7 +136,10 @@ def _downloads(spark, sf_dir):
 @query
 def land_raw(spark, sf_dir):
     root = scratch_dir(spark, "raw")
-    zones.land_raw(_downloads(spark, sf_dir), root)
+    downloads = _downloads(spark, sf_dir)
+    # A third of the files comes twice, with other bytes first.
+    zones.land_raw(downloads.filter("event_id % 3 = 0").withColumn("content", F.lit(b"old")), root)
+    zones.land_raw(downloads, root)
     schema = "event_id long, url string, source_id string, filename string, content binary, content_type string"
     landed = zones.read_zone(spark, root, schema)
     return landed.select(
@@ -147,7 +150,7 @@ def land_raw(spark, sf_dir):
 
 @query
 def landing_manifest(spark, sf_dir):
-    return zones.landing_manifest(_downloads(spark, sf_dir))
+    return zones.land_raw(_downloads(spark, sf_dir), scratch_dir(spark, "raw"))
 
 
 @query
@@ -419,6 +422,22 @@ def check_arguments(spark, sf_dir):
     )
 
 
+@query
+def check_argument_types(spark, sf_dir):
+    """Contracts of every kind of type over the real JSON of the events."""
+    k = contracts.argument
+    declared = {
+        "view": [k("k", "string")],
+        "click": [k("k", "integer", minimum=50.0), k("q", "boolean", required=True)],
+        "purchase": [k("k", "string|number")],
+        "signup": [k("k", "array|object", nullable=True)],
+    }
+    catalog = contracts.catalog_of(spark, [(name, "event", "", True, True, False, c) for name, c in declared.items()])
+    events = table(spark, sf_dir, "events")
+    calls = events.select("event_id", F.col("event_type").alias("action"), F.try_parse_json("props").alias("arguments"))
+    return contracts.check_arguments(calls, catalog).select("event_id", "action", "violation", "argument")
+
+
 @query
 def route_actions(spark, sf_dir):
     return actions.route_actions(_calls(spark, sf_dir), contracts.tool_catalog(spark)).select(

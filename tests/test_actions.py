@@ -100,6 +100,34 @@ def test_violations(spark):
     }
 
 
+KINDS = {
+    "string": '"x"', "integer": "5", "whole": "5.0", "number": "5.5", "boolean": "true", "array": "[1]", "object": '{"a":1}', "null": "null",
+}
+
+
+@pytest.mark.parametrize("declared, fitting", [
+    ("string", {"string"}), ("integer", {"integer", "whole"}), ("number", {"integer", "whole", "number"}),
+    ("boolean", {"boolean"}), ("array", {"array"}), ("object", {"object"}), ("null", {"null"}),
+    ("string|integer|null", {"string", "integer", "whole", "null"}), ("array|object", {"array", "object"}),
+])
+def test_declared_types(spark, declared, fitting):
+    catalog = contracts.catalog_of(spark, [
+        ("t", "c", "", True, True, False, [contracts.argument("v", declared), contracts.argument("all", "array", items=declared)])
+    ])
+    calls = spark.createDataFrame(
+        [(k, "t", f'{{"v":{v}}}') for k, v in KINDS.items()] + [(f"items {k}", "t", f'{{"all":[{v},{v}]}}') for k, v in KINDS.items()],
+        "k string, action string, a string",
+    ).select("k", "action", F.parse_json("a").alias("arguments"))
+    got = {(r.k, r.violation, r.argument) for r in contracts.check_arguments(calls, catalog).collect()}
+    wrong = set(KINDS) - fitting
+    assert got == {(k, "wrong_type", "v") for k in wrong} | {(f"items {k}", "wrong_item_type", "all") for k in wrong}
+
+
+def test_an_unknown_declared_type_is_refused():
+    with pytest.raises(ValueError):
+        contracts.argument("a", "string|decimal")
+
+
 def test_catalog(spark):
     catalog = contracts.tool_catalog(spark)
     assert catalog.count() == 23 and catalog.filter("enabled").count() == 11

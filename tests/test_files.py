@@ -172,6 +172,32 @@ def test_landing(spark, tmp_path):
     assert zones.read_zone(spark, f"{tmp_path}/processed", FETCH).count() == 1
 
 
+def test_landing_twice_is_landing_once(spark, tmp_path):
+    root = f"{tmp_path}/raw"
+    first = spark.createDataFrame(
+        [("u1", "s", "a", b"1", None), ("u2", "s", "b", b"2", None), ("u3", "007", "a", b"3", "x/y")], FETCH
+    )
+    for _ in range(2):
+        manifest = zones.land_raw(first, root)
+        assert {(r.source_id, r.filename, bytes(r.content)) for r in zones.read_zone(spark, root, FETCH).collect()} == {
+            ("s", "a", b"1"), ("s", "b", b"2"), ("007", "a", b"3")}
+        assert {tuple(r) for r in manifest.collect()} == {tuple(r) for r in zones.landing_manifest(first).collect()}
+    # The last write of a file wins, others stay; the manifest tells what lies there.
+    again = spark.createDataFrame(
+        [("u4", "s", "a", b"new", "x/z", 2), ("u5", "s", "a", b"older", None, 1), ("u6", "s", "c", b"", None, 1)], FETCH + ", at int"
+    )
+    manifest = zones.land_raw(again.drop("at"), f"{tmp_path}/other")
+    assert sorted(r.filename for r in manifest.collect()) == ["a", "c"]
+    latest = zones.land_raw(again.orderBy("at"), f"{tmp_path}/ordered", order_by="at")
+    assert {(r.url, r.filename, r.bytes) for r in latest.collect()} == {("u4", "a", 3), ("u6", "c", 0)}
+    zones.land_raw(again.filter("at = 2").drop("at"), root)
+    lying = {(r.source_id, r.filename, bytes(r.content)) for r in zones.read_zone(spark, root, FETCH).collect()}
+    assert lying == {("s", "a", b"new"), ("s", "b", b"2"), ("007", "a", b"3")}
+    # Nothing to land changes nothing.
+    assert zones.land_raw(first.filter("false"), root).count() == 0
+    assert zones.read_zone(spark, root, FETCH).count() == 3
+
+
 def test_audit_lines(spark, tmp_path):
     turns = spark.createDataFrame([(1, 1, "call", False, 5, '{"a":[1]}', "boom")],
                                   "run_id int, turn_seq int, kind string, success boolean, max_steps int, arguments string, message string")
