@@ -1,13 +1,19 @@
-"""CSV files with a header line.
+"""CSV files with a header line, each with its own.
 
-Short rows are padded with NULLs and long rows are rejected. Every column is
-first read as text; types are then decided from the whole data in one
+One pass over the lines gives each file's header and whether it must be read whole.
+Files are read by groups of one header and put together by column name. Short rows
+are padded with NULLs and long rows are rejected with all their cells. Every column
+is first read as text; types are then decided from the whole data in one
 aggregation pass.
 """
 
 from __future__ import annotations
 
+import csv
+import re
 from dataclasses import dataclass
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +27,10 @@ MISSING = (
 INTEGER = r"^\s*[+-]?[0-9]+\s*$"
 DECIMAL = r"^\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 BOOLEAN = r"^(True|False|TRUE|FALSE|true|false)$"
-OVERFLOW = "_overflow"
+# Holds the text of a row with more or fewer cells than its header.
+RECORD = "_record"
+# One cell and the comma before it: quoted, with doubled quotes inside, or plain.
+CELL = r'(?s),("(?:[^"]|"")*"[^,]*|[^,]*)'
 
 
 @dataclass(frozen=True)
@@ -54,29 +63,95 @@ def header_names(raw: list[str | None]) -> list[str]:
     return names
 
 
+def _odd_quotes(line: Column) -> Column:
+    """A line with an odd number of quotes begins or ends a quoted field of several lines."""
+    return F.contains(line, F.lit('"')) & (F.length(F.regexp_replace(line, '[^"]', "")) % 2 == 1)
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """Per file its first line that is not blank and whether quoted fields hold line breaks. One pass.
+
+    Lines of a file are numbered within its first split, where the header is.
+    """
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        F.col("value"),
+        F.monotonically_increasing_id().alias("_at"),
+    )
+    heading = (F.col("_start") == 0) & (F.trim("value") != "")
+    return lines.groupBy("file_path").agg(
+        F.min_by("value", F.when(heading, F.col("_at"))).alias("header"),
+        F.coalesce(F.bool_or(_odd_quotes(F.col("value"))), F.lit(False)).alias("spans_lines"),
+    )
+
+
 def spans_lines(spark: SparkSession, path: str) -> bool:
-    """Whether any quoted field holds a line break: then some line has an odd number of quotes.
+    """Whether any quoted field holds a line break. Such files must be read whole; all others can be split."""
+    return not spark.read.text(path).filter(_odd_quotes(F.col("value"))).isEmpty()
+
+
+def _as_path(file_path: str) -> str:
+    """A file's URI as a path for a reader, to be taken as it is and not as a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", unquote(file_path))
+
 
-    Such files must be read whole; all others can be split. Stops at the first hit.
+@dataclass(frozen=True)
+class FileGroup:
+    """Files of one header that are read in the same way, as text columns ``c0``, ... and ``_record``."""
+
+    names: tuple[str, ...]
+    rows: DataFrame
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"c{i}" for i in range(len(self.names))]
+
+    def cells(self) -> Column:
+        """All cells of a row that does not fit its header, surplus ones included."""
+        # Spark refuses to read the record alone, so that the first column is named as well.
+        record = F.concat_ws("", F.lit(","), F.col(RECORD), F.substring("c0", 1, 0))
+        found = F.regexp_extract_all(record, F.lit(CELL), F.lit(1))
+        plain = F.transform(
+            found,
+            lambda cell: F.when(
+                cell.startswith('"'), F.replace(F.regexp_replace(cell, '^"|"$', ""), F.lit('""'), F.lit('"'))
+            ).otherwise(F.when(cell != "", cell)),
+        )
+        return plain
+
+    def long_row(self) -> Column:
+        return F.coalesce(F.col(RECORD).isNotNull() & (F.size(self.cells()) > len(self.names)), F.lit(False))
+
+
+def file_groups(spark: SparkSession, path: str, multi_line: bool | None = None) -> list[FileGroup]:
+    """The files of ``path`` by header and way of reading, in order of their first file.
+
+    The driver holds a header line and a flag per file, as it holds the list of files itself.
     """
-    lines = spark.read.text(path)
-    odd = F.length(F.regexp_replace("value", '[^"]', "")) % 2 == 1
-    return not lines.filter(F.contains("value", F.lit('"')) & odd).isEmpty()
-
-
-def scan_csv_text(spark: SparkSession, path: str, multi_line: bool | None = None) -> tuple[DataFrame, list[str]]:
-    """All rows as text plus ``_overflow`` and ``file_path``, with the column names."""
-    if multi_line is None:
-        multi_line = spans_lines(spark, path)
-    options = {"escape": '"', "multiLine": str(multi_line).lower(), "encoding": "UTF-8"}
-    first = spark.read.options(**options).option("header", "false").csv(path).limit(1).collect()
-    if not first:
-        raise ValueError(f"no header line in {path}")
-    names = header_names(list(first[0]))
-    schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))])
-    schema = schema.add(OVERFLOW, StringType())
-    rows = spark.read.options(**options).option("header", "true").schema(schema).csv(path)
-    return rows.withColumn("file_path", F.col("_metadata.file_path")), names
+    files = sorted(file_headers(spark, path).filter("header IS NOT NULL").collect(), key=lambda r: r["file_path"])
+    groups: dict[tuple[tuple[str, ...], bool], list[str]] = {}
+    for file in files:
+        whole = file["spans_lines"] if multi_line is None else multi_line
+        options = _options(whole)
+        if whole and file["header"].count('"') % 2:
+            first = spark.read.options(**options).option("header", "false").csv(_as_path(file["file_path"])).first()
+            raw = list(first) if first else [file["header"]]
+        else:
+            raw = next(csv.reader([file["header"].lstrip("\ufeff")]))
+        groups.setdefault((tuple(header_names(raw)), whole), []).append(_as_path(file["file_path"]))
+    out = []
+    for (names, whole), paths in groups.items():
+        schema = StructType([StructField(f"c{i}", StringType()) for i in range(len(names))]).add(RECORD, StringType())
+        # Only a row whose cells are all parsed shows whether it fits its header.
+        reader = spark.read.options(**_options(whole)).option("header", "true").option("columnPruning", "false")
+        rows = reader.option("columnNameOfCorruptRecord", RECORD).schema(schema).csv(paths)
+        out.append(FileGroup(names, rows.withColumn("file_path", F.col("_metadata.file_path"))))
+    return out
+
+
+def _options(multi_line: bool) -> dict[str, str]:
+    return {"escape": '"', "multiLine": str(multi_line).lower(), "encoding": "UTF-8"}
 
 
 def _known(column: Column) -> Column:
@@ -114,15 +189,24 @@ def infer_types(text_rows: DataFrame, columns: list[str]) -> dict[str, str]:
 def scan_csv(
     spark: SparkSession, path: str, multi_line: bool | None = None, types: dict[str, str] | None = None
 ) -> CsvScan:
-    """Read a CSV file, or a folder of CSV files with one header, as typed rows.
+    """Read a CSV file, or a folder of CSV files, as typed rows.
 
-    ``multi_line`` and ``types`` (by column name) are found out from the data
-    unless given; each saves one pass over the files.
+    Files may have different headers: a column is known by its name, wherever it stands,
+    and NULL in files without it. ``multi_line`` and ``types`` (by column name) are found
+    out from the data unless given; ``types`` saves a pass over the files. Files without
+    any line hold nothing; if all are such, there is no header and that is an error.
     """
-    text_rows, names = scan_csv_text(spark, path, multi_line)
+    groups = file_groups(spark, path, multi_line)
+    if not groups:
+        raise ValueError(f"no header line in {path}")
+    names = list(dict.fromkeys(name for group in groups for name in group.names))
+    aligned = []
+    for group in groups:
+        place = dict(zip(group.names, group.columns))
+        cells = [F.col(place[n]) if n in place else F.lit(None).cast("string") for n in names]
+        aligned.append(group.rows.filter(~group.long_row()).select(*[c.alias(f"c{i}") for i, c in enumerate(cells)]))
     columns = [f"c{i}" for i in range(len(names))]
-    long_row = F.col(OVERFLOW).isNotNull()
-    good = text_rows.filter(~long_row)
+    good = reduce(DataFrame.union, aligned)
     if types is None:
         kinds = infer_types(good, columns)
     else:
@@ -133,11 +217,14 @@ def scan_csv(
         if kinds[column] != "string":
             value = F.trim(value).try_cast(kinds[column])
         typed.append(value.alias(name))
-    rejects = text_rows.filter(long_row).select(
-        "file_path",
-        F.lit("CsvReadError").alias("error_type"),
-        F.lit(f"Expected {len(names)} fields, saw more").alias("message"),
-        F.lit(False).alias("recoverable"),
-        F.array(*columns, OVERFLOW).alias("cells"),
-    )
-    return CsvScan(good.select(*typed), rejects)
+    rejects = [
+        group.rows.filter(group.long_row()).select(
+            "file_path",
+            F.lit("CsvReadError").alias("error_type"),
+            F.concat(F.lit(f"Expected {len(group.names)} fields, saw "), F.size(group.cells())).alias("message"),
+            F.lit(False).alias("recoverable"),
+            group.cells().alias("cells"),
+        )
+        for group in groups
+    ]
+    return CsvScan(good.select(*typed), reduce(DataFrame.union, rejects))

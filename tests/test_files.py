@@ -29,8 +29,33 @@ def test_csv_ragged(spark, tmp_path):
     got = scanned(spark, tmp_path, "a,b\n1,2\n1,2,3,4\n4\n")
     assert [tuple(r) for r in got.rows.collect()] == [(1, 2), (4, None)]
     bad = got.rejects.first()
-    assert (bad.error_type, bad.recoverable, bad.cells) == ("CsvReadError", False, ["1", "2", "3"])
-    assert got.failed_files().count() == 1
+    assert (bad.error_type, bad.recoverable, bad.cells) == ("CsvReadError", False, ["1", "2", "3", "4"])
+    assert bad.message == "Expected 2 fields, saw 4" and got.failed_files().count() == 1
+
+
+def test_csv_long_rows_keep_all_cells(spark, tmp_path):
+    got = scanned(spark, tmp_path, 'a,b\n1,"x, ""y""",,"z"\n1,2,,\n5,6\n,,,\n7\n')
+    assert [tuple(r) for r in got.rows.collect()] == [(5, 6), (7, None)]
+    assert [r.cells for r in got.rejects.collect()] == [["1", 'x, "y"', None, "z"], ["1", "2", None, None], [None] * 4]
+    assert got.rows.count() == 2 and got.rejects.count() == 3
+
+
+def test_csv_files_with_different_headers(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    write(folder / "1.csv", "id,name\n1,one\n2,two\n")
+    write(folder / "2 [x].csv", "\nname,id\nthree,3\n")
+    write(folder / "3.csv", 'name,"no\nte",id\nfour,"a\nb",4\nsurplus,1,2,3,4\n')
+    write(folder / "4.csv", "id,name\n")
+    write(folder / "5.csv", "\n")
+    got = csv_files.scan_csv(spark, str(folder))
+    assert got.rows.columns == ["id", "name", "no\nte"]
+    assert sorted(tuple(r) for r in got.rows.collect()) == [
+        (1, "one", None), (2, "two", None), (3, "three", None), (4, "four", "a\nb")]
+    assert [r.cells for r in got.rejects.collect()] == [["surplus", "1", "2", "3", "4"]]
+    assert dict(got.rows.dtypes)["id"] == "bigint"
+    with pytest.raises(ValueError):
+        csv_files.scan_csv(spark, write(tmp_path / "none.csv", "\n\n"))
 
 
 def test_csv_quotes_and_line_breaks(spark, tmp_path):
