@@ -174,6 +174,69 @@ def run_history(kept: DataFrame, part_rows: int = 1_000) -> DataFrame:
     return gathered(call_records(kept), ["run_id"], "step", record, "history", part_rows)
 
 
+def run_records(
+    kept: DataFrame,
+    configs: DataFrame | None = None,
+    validation: DataFrame | None = None,
+    part_rows: int = 1_000,
+) -> DataFrame:
+    """The whole record of a run: state, tool history, observations, artifacts, errors, checks.
+
+    ``configs`` is (run_id, source_config as JSON text), ``validation`` the verdicts
+    (run_id, check, passed, detail_json); a run without them has NULL and no results.
+    A run of more than ``part_rows`` turns continues in further parts, which repeat what is
+    one value per run. Lists are gathered by (run_id, part) and stay where they are: the
+    narrow states are spread over their runs' parts and joined to them.
+    """
+    call = F.when(F.col("kind").isin(*EXECUTED), F.struct("step", *call_fields(kept)))
+    artifact = F.when(
+        (F.col("kind") == "call") & F.col("success") & (_optional(kept, "file_path") != ""), _optional(kept, "file_path")
+    )
+    turn = F.struct(
+        "step", call.alias("call"), observation_text(kept).alias("observation"), artifact.alias("artifact"),
+        error_text(kept).alias("error"),
+    )
+    part = F.floor(F.col("step") / part_rows).cast("long")
+    lists = kept.groupBy("run_id", part.alias("part")).agg(F.array_sort(F.collect_list(turn)).alias("_turns"))
+
+    def all_of(name: str) -> Column:
+        return F.transform(F.filter("_turns", lambda t: t[name].isNotNull()), lambda t: t[name])
+
+    limits = kept.groupBy("run_id").agg(F.max(F.coalesce("max_steps", F.lit(DEFAULT_MAX_STEPS))).cast("long").alias("max_steps"))
+    states = run_state(kept).join(limits, "run_id")
+    if configs is not None:
+        states = states.join(configs.select("run_id", "source_config"), "run_id", "left")
+    else:
+        states = states.withColumn("source_config", F.lit(None).cast("string"))
+    verdict = "struct<check:string,passed:boolean,detail_json:string>"
+    if validation is not None:
+        results = validation.groupBy("run_id").agg(
+            F.array_sort(F.collect_list(F.struct("check", "passed", "detail_json"))).alias("_results")
+        )
+        states = states.join(results, "run_id", "left")
+    else:
+        states = states.withColumn("_results", F.lit(None).cast(f"array<{verdict}>"))
+    turns = F.col("current_step") + F.col("status").isin("finished", "failed").cast("int")
+    last = F.floor((turns - 1) / part_rows).cast("long")
+    spread = states.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return lists.join(spread, ["run_id", "part"]).select(
+        "run_id",
+        "part",
+        "source_config",
+        "max_steps",
+        "current_step",
+        "status",
+        all_of("call").alias("tool_history"),
+        all_of("observation").alias("observations"),
+        all_of("artifact").alias("artifacts"),
+        all_of("error").alias("errors"),
+        F.coalesce("_results", F.array().cast(f"array<{verdict}>")).alias("validation_results"),
+        "finish_reason",
+        "n_calls",
+        "n_errors",
+    )
+
+
 def audit_records(kept: DataFrame) -> DataFrame:
     """The eight audit columns of every executed call, finish included."""
     failed = _failed_call()

@@ -260,7 +260,15 @@ FROM n GROUP BY table_id""",
  FROM ({_DOWNLOADS_OK})""",
     "append_audit": _AUDIT,
     "stream_audit": _AUDIT,
-    "dump_run_state": _RUN_STATE,
+    "dump_run_state": _RUN_STATE_WITH_REASON.replace("SELECT run_id, CASE WHEN bool_or(kind = 'finish')", f"""SELECT run_id, cast(0 as bigint) AS part,
+ '{{"source_id":"s' || run_id || '"}}' AS source_config, cast(max(max_steps) as bigint) AS max_steps,
+ coalesce(string_agg(concat_ws('|', step, action, arguments, NOT {_FAILED}, CASE WHEN kind = 'call' AND success THEN file_path END,
+  CASE WHEN {_FAILED} THEN 'm' || event_id END, CASE WHEN kind = 'finish' THEN reason END), ';' ORDER BY step) FILTER (kind IN ('call', 'finish')), '') AS tool_history,
+ coalesce(string_agg({_OBSERVATION}, ';' ORDER BY step), '') AS observations,
+ coalesce(string_agg(CASE WHEN kind = 'call' AND success AND file_path <> '' THEN file_path END, ';' ORDER BY step), '') AS artifacts,
+ coalesce(string_agg({_ERROR_TEXT}, ';' ORDER BY step), '') AS errors,
+ 'row_count|' || ((SELECT count(*) FROM t x WHERE x.run_id = k.run_id) >= 60) || '|{{"row_count":' || (SELECT count(*) FROM t x WHERE x.run_id = k.run_id) || '}}'
+  AS validation_results, CASE WHEN bool_or(kind = 'finish')"""),
     # profiles
     "profile_shape": " UNION ALL ".join(
         f"SELECT '{n}' AS dataset, count(*) AS \"rows\", cast({c} as bigint) AS \"columns\" FROM {n}"

@@ -187,10 +187,34 @@ def stream_audit(spark, sf_dir):
 @query
 def dump_run_state(spark, sf_dir):
     folder = scratch_dir(spark, "state")
-    states = runs.run_state(_kept(spark, sf_dir))
-    audit.dump_run_state(states, folder)
-    lines = spark.read.text(folder)
-    return lines.select(F.from_json("value", states.schema).alias("s")).select("s.*").drop("finish_reason")
+    turns = derived(spark, sf_dir, inputs.DETAILED_TURNS)
+    configs = turns.groupBy("run_id").agg(F.max("source_id").alias("source_id")).select(
+        "run_id", F.to_json(F.struct("source_id")).alias("source_config")
+    )
+    counted = checks.check_row_count(turns, minimum=60, group_by=["run_id"])
+    verdicts = counted.select(
+        "run_id", F.lit("row_count").alias("check"), "passed", F.to_json(F.struct("row_count")).alias("detail_json")
+    )
+    records = runs.run_records(_kept(spark, sf_dir, inputs.DETAILED_TURNS), configs, verdicts)
+    audit.dump_run_state(records, folder)
+    lines = audit.read_run_state(spark, folder, records.schema)
+
+    def call(r):
+        # Nested objects come back with sorted keys: the result is told by its parts.
+        parts = [F.get_json_object(r["result"], f"$.{name}") for name in ("success", "file_path", "message", "reason")]
+        return [r["step"].cast("string"), r["action"], r["arguments"], *parts]
+
+    def verdict(r):
+        return [r["check"], r["passed"].cast("string"), r["detail_json"]]
+
+    def joined(name, fields):
+        return F.array_join(F.transform(name, lambda r: F.concat_ws("|", *fields(r))), ";").alias(name)
+
+    return lines.select(
+        "run_id", "part", "source_config", "max_steps", "current_step", "status", joined("tool_history", call),
+        *[F.array_join(name, ";").alias(name) for name in ("observations", "artifacts", "errors")],
+        joined("validation_results", verdict), "finish_reason", "n_calls", "n_errors",
+    )
 
 
 # ---------------------------------------------------------------- profiles

@@ -231,3 +231,48 @@ def test_cut_groups_rank_missing_positions_like_uncut_ones(spark):
     )
     assert cut == uncut
     assert sorted(r[-1] for r in cut if r[0] == 1) == list(range(20))
+
+
+def test_run_records_hold_all_of_a_run_in_parts(spark, tmp_path):
+    import json
+
+    from harvestlens.sinks import audit
+
+    columns = "run_id long, turn_seq long, kind string, success boolean, max_steps int, action string, arguments string, result string, message string, file_path string, reason string"
+    rows = [
+        (1, 1, "call", True, 9, "read_csv", '{"path":"p"}', '{"success":true}', None, "f1", None),
+        (1, 2, "parse_error", None, 9, None, None, None, "bad", None, None),
+        (1, 3, "call", False, 9, "read_csv", "{}", '{"success":false}', "boom", "f3", None),
+        (1, 4, "finish", True, 9, "finish", '{"reason":"end"}', "{}", None, None, "end"),
+        (2, 1, "model_failure", None, None, None, None, None, "down", None, None),
+    ]
+    kept = runs.kept_turns(spark.createDataFrame(rows, columns))
+    configs = spark.createDataFrame([(1, '{"source_id":"s"}')], "run_id long, source_config string")
+    verdicts = spark.createDataFrame([(1, "nulls", False, '{"n":1}'), (1, "a", True, "{}")],
+                                     "run_id long, check string, passed boolean, detail_json string")
+    whole = {r.run_id: r for r in runs.run_records(kept, configs, verdicts).collect()}
+    one, two = whole[1], whole[2]
+    assert (one.status, one.max_steps, one.current_step, one.finish_reason) == ("finished", 9, 3, "end")
+    assert [(c.step, c.action, c.arguments) for c in one.tool_history] == [
+        (0, "read_csv", '{"path":"p"}'), (2, "read_csv", "{}"), (3, "finish", '{"reason":"end"}')]
+    assert one.artifacts == ["f1"] and one.errors[0] == "PARSE_ERROR: bad" and len(one.errors) == 2
+    assert len(one.observations) == 4 and [v["check"] for v in one.validation_results] == ["a", "nulls"]
+    assert (two.status, two.max_steps, two.tool_history, two.observations, two.source_config, two.validation_results) == (
+        "failed", 20, [], [], None, [])
+    assert two.errors == [two.finish_reason]
+
+    parts = runs.run_records(kept, configs, verdicts, part_rows=2)
+    shuffles = [x for x in parts._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(" in x]
+    # The lists are not moved to their run's other parts.
+    assert any("hashpartitioning(run_id" in x and "part" in x for x in shuffles)
+    got = sorted(parts.collect(), key=lambda r: (r.run_id, r.part))
+    assert [(r.run_id, r.part, len(r.tool_history)) for r in got] == [(1, 0, 1), (1, 1, 2), (2, 0, 0)]
+    for name in ("tool_history", "observations", "artifacts", "errors"):
+        assert [x for r in got[:2] for x in r[name]] == one[name]
+
+    audit.dump_run_state(runs.run_records(kept, configs, verdicts), f"{tmp_path}/dump")
+    lines = {json.loads(r.value)["run_id"]: json.loads(r.value) for r in spark.read.text(f"{tmp_path}/dump").collect()}
+    assert lines[1]["source_config"] == {"source_id": "s"} and lines[1]["tool_history"][0]["arguments"] == {"path": "p"}
+    assert lines[2]["source_config"] is None and lines[2]["validation_results"] == []
+    back = audit.read_run_state(spark, f"{tmp_path}/dump", parts.schema)
+    assert {r.run_id: r.tool_history for r in back.collect()} == {k: r.tool_history for k, r in whole.items()}
