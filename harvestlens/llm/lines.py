@@ -5,13 +5,13 @@ blanks. Equal forms are one line from the start. Forms whose edit distance, in w
 at most a fifth of the longer form are linked, and of each connected group the first
 occurrence (smallest doc_id, then text hash, then place) stays.
 
-At that similarity the SimHashes of two whole lines differ in some 13 of 64 bits, too many
-for blocks of bits that tell lines apart. So a line's signature is made of blocks that are
-SimHashes themselves, one for every run of two to four neighbouring words (longer runs for
-longer lines). By the pigeonhole principle, edits can touch only so many of them: lines that
-are similar have equal blocks, on which they are joined. Of a line with more than BLOCKS
-blocks those with the least hashes are taken, the same ones in similar lines. Candidates
-are dropped where the SimHashes of the whole lines differ in more than MOST_DIFFERENT bits,
+At that similarity the SimHashes of two whole lines differ in a fifth of their bits, too
+many for blocks of bits that tell lines apart. So a line's signature is made of blocks that
+are SimHashes themselves, one for every run of two to four neighbouring words (longer runs
+for longer lines). By the pigeonhole principle, edits can touch only so many of them: lines
+that are similar have equal blocks, on which they are joined. Of a line with more than BLOCKS
+blocks those with the least hashes are taken, the same ones in similar lines. Candidates are
+dropped where the SimHashes of the whole lines, 256 bits, differ in more than MOST_DIFFERENT,
 and the others are verified by their edit distance.
 
 Up to 26 words no line at the similarity is without a common block. Beyond, two lines at the
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -32,28 +34,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from harvestlens.llm.common import components, flagged, mapped, membership, saved, text_key
-from harvestlens.llm.linking import linked
-from harvestlens.llm.neardup import MIX, WordHashes, mixed
+from harvestlens.llm.neardup import MIX, mixed
 from harvestlens.llm.sketches import NO_ID
 
 SIMILARITY = 0.8
 #: Blocks by which a line is joined, at most.
 BLOCKS = 24
-#: Bits of 64 in which the SimHashes of similar lines may differ.
-MOST_DIFFERENT = 24
+#: Words of 64 bits of a whole line's SimHash, and bits in which those of similar lines may differ.
+SIGNATURE, MOST_DIFFERENT = 4, 84
 #: Words of a block by the words of the line (least, most). Ranges overlap by what similar lines may differ in length.
 RUNS = ((3, 8, 24), (4, 20, 2**31))
 #: Lines up to this length have blocks of two words, told apart by the length of the shorter line.
 SHORT = 7
 #: Blocks of a bucket, about, and those that a task gathers before it passes them on.
 BUCKET, GATHERED = 2**20, 2**18
-#: Members of a block up to which its pairs are made one by one, by the SimHashes alone.
-FEW = 64
+#: Bits of a block's key, and lines whose blocks are sorted at once: both share a number of 64 bits.
+KEY_BITS, AT_ONCE = 50, 2**14
+#: Lengths travel as powers of this.
+STEP = 1.05
+#: Members of a block up to which its pairs are made one by one, by the SimHashes alone; pairs made at once.
+FEW, PAIRS = 64, 2**20
 #: Members of a family that are compared with as many others in one task step.
-FAMILY_BLOCK = 1024
+FAMILY_BLOCK = 4096
 #: Hashes by which words in common are counted there.
 BAG = 512
 KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "-/_|" else c for c in range(256))
+#: The bits of a byte as eight counters.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+#: Hash values of bytes, and the base of the polynomials that make words of them.
+BYTES = np.random.default_rng(1).integers(0, 2**64, 256, np.uint64)
+BASE = 0x9E3779B97F4A7C15
 DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "-/_|")
 
 
@@ -92,13 +102,49 @@ def similar(a: bytes, b: bytes, similarity: float) -> bool:
     return max(len(one), len(two)) - common <= most and edit_distance(one, two) <= most
 
 
-def simhashes(words: list[list[bytes]], hashes: WordHashes) -> np.ndarray:
-    """SimHash of each non-empty list of words: the majority of the words' hash bits."""
-    counts = np.array([len(w) for w in words])
-    flat = np.fromiter((hashes[w] for line in words for w in line), np.uint64, counts.sum())
-    bits = np.unpackbits(flat.view(np.uint8).reshape(-1, 8), axis=1)
-    ones = np.add.reduceat(bits, np.concatenate([[0], counts.cumsum()[:-1]]), axis=0, dtype=np.int64)
-    return np.packbits(ones * 2 > counts[:, None], axis=1).view(np.int64).ravel()
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of BASE and of its inverse."""
+    if len(POWERS) == 0 or len(POWERS[0]) < n:
+        both = []
+        for base in (BASE, pow(BASE, -1, 2**64)):
+            steps = np.full(max(n, 2**20), base, np.uint64)
+            steps[0] = 1
+            both.append(np.multiply.accumulate(steps))
+        POWERS[:] = both
+    return POWERS[0][:n], POWERS[1][:n]
+
+
+POWERS: list[np.ndarray] = []
+
+
+def word_hashes(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words of non-empty forms, one form after the other, and the number of words of each."""
+    joined = np.frombuffer(b"\n".join(forms) + b"\n", np.uint8)
+    ends = np.flatnonzero((joined == 32) | (joined == 10))
+    starts = np.r_[0, ends[:-1] + 1]
+    up, down = powers(len(joined))
+    sums = np.cumsum(BYTES[joined] * up, dtype=np.uint64)
+    before = np.where(starts > 0, sums[starts - 1], np.uint64(0))
+    flat = mixed(mixed((sums[ends - 1] - before) * down[starts]) * MIX + (ends - starts).astype(np.uint64))
+    last = np.flatnonzero(joined[ends] == 10)
+    return flat, np.diff(np.r_[-1, last])
+
+
+def simhashes(forms: list[bytes]) -> np.ndarray:
+    """SimHash of each non-empty form, SIGNATURE numbers: the majority of the bits of its words' hashes."""
+    flat, counts = word_hashes(forms)
+    # Counters of a byte hold up to 255 words: longer lines are counted in parts.
+    parts = -(-counts // 255)
+    first = parts.cumsum() - parts
+    inside = np.arange(parts.sum()) - np.repeat(first, parts)
+    at = np.repeat(counts.cumsum() - counts, parts) + 255 * inside
+    found = np.empty((len(forms), SIGNATURE), np.int64)
+    for k in range(SIGNATURE):
+        places = mixed(flat * MIX + np.uint64(k)).view(np.uint8).reshape(-1, 8)
+        lanes = np.stack([np.add.reduceat(LANES[places[:, b]], at) for b in range(8)], axis=1).view(np.uint8).reshape(-1, 64)
+        ones = np.add.reduceat(lanes, first, axis=0, dtype=np.int64)
+        found[:, k] = np.packbits(ones * 2 > counts[:, None], axis=1).view(np.int64).ravel()
+    return found
 
 
 def run_simhashes(flat: np.ndarray, n: int) -> np.ndarray:
@@ -111,116 +157,159 @@ def run_simhashes(flat: np.ndarray, n: int) -> np.ndarray:
     return w[0] & w[1] & (w[2] | w[3]) | w[2] & w[3] & (w[0] | w[1])
 
 
-def block_keys(words: list[list[bytes]], hashes: WordHashes) -> tuple[np.ndarray, np.ndarray]:
-    """The number of the line and the key of the blocks of each line; lines have a word at least."""
-    counts = np.array([len(w) for w in words])
-    flat = np.fromiter((hashes[w] for line in words for w in line), np.uint64, counts.sum())
-    line = np.repeat(np.arange(len(words)), counts)
+def block_keys(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The number of the line and the key of the blocks of each form, and the words of each form."""
+    flat, counts = word_hashes(forms)
+    line = np.repeat(np.arange(len(forms), dtype=np.uint64), counts)
     length = counts[line]
-    found = []
-
-    def add(n: int, wanted: np.ndarray, tag: np.ndarray) -> None:
-        if len(flat) >= n:
-            at = np.flatnonzero((line[n - 1 :] == line[: len(line) - n + 1]) & wanted[: len(line) - n + 1])
-            sim = run_simhashes(flat, n)[at]
-            found.append((line[at], mixed(mixed(sim * MIX + np.uint64(n)) * MIX + tag[at].astype(np.uint64))))
+    found = [np.zeros(0, np.uint64)]
+
+    def add(n: int, wanted: np.ndarray, tag: np.ndarray | None = None) -> None:
+        at = np.flatnonzero((line[n - 1 :] == line[: len(line) - n + 1]) & wanted[: len(line) - n + 1])
+        if not len(at):
+            return
+        sim = run_simhashes(flat, n)[at] * MIX + np.uint64(n)
+        key = mixed(mixed(sim) * MIX + (0 if tag is None else tag[at].astype(np.uint64)))
+        both = np.sort(line[at] << np.uint64(KEY_BITS) | key >> np.uint64(64 - KEY_BITS))
+        both = both[np.r_[True, both[1:] != both[:-1]]]
+        owner, place = both >> np.uint64(KEY_BITS), np.arange(len(both))
+        new = np.r_[True, owner[1:] != owner[:-1]]
+        found.append(both[place - np.maximum.accumulate(np.where(new, place, 0)) < BLOCKS])
 
     for shorter in (0, 1):
         add(2, (length - shorter >= 4) & (length - shorter <= SHORT), length - shorter)
     for n, least, most in RUNS:
-        add(n, (length >= least) & (length <= most), np.zeros(len(flat)))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    line, key, kind = (np.concatenate(c) for c in zip(*[(x, k, np.full(len(x), i)) for i, (x, k) in enumerate(found)], strict=True))
-    order = np.lexsort((key, kind, line))
-    line, key, kind = line[order], key[order], kind[order]
-    fresh = np.r_[True, (line[1:] != line[:-1]) | (key[1:] != key[:-1]) | (kind[1:] != kind[:-1])][: len(line)]
-    line, key, kind = line[fresh], key[fresh], kind[fresh]
-    new = np.r_[True, (line[1:] != line[:-1]) | (kind[1:] != kind[:-1])][: len(line)]
-    place = np.arange(len(line))
-    taken = place - np.maximum.accumulate(np.where(new, place, 0)) < BLOCKS
-    return line[taken], key[taken]
+        add(n, (length >= least) & (length <= most))
+    both = np.concatenate(found)
+    return (both >> np.uint64(KEY_BITS)).astype(np.int64), both & np.uint64(2**KEY_BITS - 1), counts
 
 
 def shared_blocks(docs: DataFrame, words: int, similarity: float) -> DataFrame:
-    """(key, id, center): the forms (id: the low half of their hash) that have a block in common with another of fitting length.
+    """(key, id, center, n): the forms (id: the low half of their hash) that have a block in common with another of fitting length.
 
-    Keys travel packed, in buckets. A bucket is a bounded part of all keys.
+    Keys travel packed, in buckets, with their length rounded. A bucket is a bounded part of all keys.
     """
-    buckets = max(12, words // 2 // BUCKET)
+    buckets = buckets_of(words)
+    gap = int(np.log(1 / similarity) / np.log(STEP)) + 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size, seen = WordHashes(), [], 0, set()
+        held, size, seen = [], 0, set()
 
         def passed() -> pa.RecordBatch:
             key, one, length = (np.concatenate(c) for c in zip(*held, strict=True))
-            bucket = (key >> np.uint64(33)) % np.uint64(buckets)
+            bucket = key % np.uint64(buckets)
             order = np.argsort(bucket, kind="stable")
             ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
             parts = [(b, order[lo:hi]) for b, (lo, hi) in enumerate(zip(ends, ends[1:], strict=False)) if lo < hi]
+            # Of a key, the bits that the bucket does not tell: 32 keep those of one bucket apart but for a few.
+            rest = (key // np.uint64(buckets)).astype(np.uint32)
             return pa.RecordBatch.from_arrays(
-                [pa.array([b for b, _ in parts], pa.int32()), *[pa.array([c[at].tobytes() for _, at in parts], pa.binary()) for c in (key, one, length)]],
+                [pa.array([b for b, _ in parts], pa.int32()), *[pa.array([c[at].tobytes() for _, at in parts], pa.binary()) for c in (rest, one, length)]],
                 names=["bucket", "keys", "ids", "lengths"],
             )
 
+        def blocks(forms: dict[bytes, bytes]) -> int:
+            line, key, counts = block_keys(list(forms.values()))
+            ids = np.frombuffer(b"".join(forms), np.int64).reshape(-1, 2)[:, 1]
+            rounded = np.minimum(np.log(counts) / np.log(STEP), 255).astype(np.uint8)
+            held.append((key, ids[line], rounded[line]))
+            return len(key)
+
         for batch in batches:
             for start in range(0, batch.num_rows, 256):
-                forms = {}
+                forms: dict[bytes, bytes] = {}
                 for text in batch.column(0).slice(start, 256):
                     for w in normalised(text.as_py() or b""):
-                        if len(w) > 3 and (d := xxhash.xxh3_128_digest(b" ".join(w))) not in seen:
-                            forms[d] = w
+                        if len(w) > 3 and (d := xxhash.xxh3_128_digest(form := b" ".join(w))) not in seen:
+                            forms[d] = form
+                            seen.add(d)
+                    if len(forms) > AT_ONCE // 2:
+                        size += sum(blocks(dict(islice(forms.items(), k, k + AT_ONCE))) for k in range(0, len(forms), AT_ONCE))
+                        forms = {}
+                    if size > GATHERED:
+                        yield passed()
+                        held, size = [], 0
+                if forms:
+                    size += blocks(forms)
                 if len(seen) > 2**17:
                     seen.clear()
-                seen.update(forms)
-                if forms:
-                    line, key = block_keys(list(forms.values()), hashes)
-                    ids = np.frombuffer(b"".join(forms), np.int64).reshape(-1, 2)[:, 1]
-                    held.append((key, ids[line], np.array([len(w) for w in forms.values()], np.int32)[line]))
-                    size += len(key)
-                if size > GATHERED:
-                    yield passed()
-                    held, size = [], 0
         if size:
             yield passed()
 
     def meet(group: pd.DataFrame) -> pd.DataFrame:
-        key, one, length = (np.frombuffer(b"".join(group[c]), t) for c, t in (("keys", np.uint64), ("ids", np.int64), ("lengths", np.int32)))
+        key, one, length = (np.frombuffer(b"".join(group[c]), t) for c, t in (("keys", np.uint32), ("ids", np.int64), ("lengths", np.uint8)))
         # Keys that one form has are most.
         order = np.argsort(key, kind="stable")
-        key, one, length = key[order], one[order], length[order]
+        key, one, length = key[order], one[order], length[order].astype(np.int64)
         same = key[1:] == key[:-1]
         several = np.r_[False, same] | np.r_[same, False]
         key, one, length = key[several], one[several], length[several]
         order = np.lexsort((one, length, key))
         key, one, length = key[order], one[order], length[order]
-        new = np.r_[True, (key[1:] != key[:-1]) | (one[1:] != one[:-1])] if len(key) else np.zeros(0, bool)
+        new = np.r_[True, (key[1:] != key[:-1]) | (one[1:] != one[:-1])][: len(key)]
         key, one, length = key[new], one[new], length[new]
         if not len(key):
-            return pd.DataFrame({"key": key.view(np.int64), "id": one, "center": one})
+            return pd.DataFrame({"key": one, "id": one, "center": one, "n": one})
         # No form beyond a gap in the lengths is similar to one before it.
-        starts = np.r_[True, (key[1:] != key[:-1]) | (length[:-1] < length[1:] * similarity - 1e-9)]
+        starts = np.r_[True, (key[1:] != key[:-1]) | (length[1:] - length[:-1] >= gap)]
         number = starts.cumsum() - 1
         at = np.flatnonzero(starts)
-        center = np.minimum.reduceat(one, at)[number]
-        more = np.bincount(number)[number] > 1
-        named = mixed(key * MIX + length[at][number].astype(np.uint64)).view(np.int64)
-        return pd.DataFrame({"key": named[more], "id": one[more], "center": center[more]})
+        center, n = np.minimum.reduceat(one, at)[number], np.bincount(number)[number]
+        bucket = np.uint64(group["bucket"].iloc[0])
+        named = mixed((key.astype(np.uint64) << np.uint64(8) | length[at][number].astype(np.uint64)) * MIX + bucket).view(np.int64)
+        more = n > 1
+        return pd.DataFrame({"key": named[more], "id": one[more], "center": center[more], "n": n[more]})
 
     packed = docs.selectExpr("cast(text as binary) text").mapInArrow(run, "bucket int, keys binary, ids binary, lengths binary")
-    return saved(packed.groupBy("bucket").applyInPandas(meet, "key long, id long, center long"), "shared")
+    return saved(packed.groupBy("bucket").applyInPandas(meet, "key long, id long, center long, n long"), "shared")
+
+
+def buckets_of(words: int) -> int:
+    return max(12, words // 2 // BUCKET)
+
+
+SIMS = [f"s{k}" for k in range(SIGNATURE)]
 
 
-OCCURRENCES = "id0 long, th long, line int, hi long, lo long, length int, sim long"
+def close(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float) -> Column:
+    """Whether two lines may be similar by their lengths and SimHashes."""
+    lengths = F.least(a("length"), b("length")) >= similarity * F.greatest(a("length"), b("length")) - 1e-9
+    return lengths & (reduce(Column.__add__, [F.bit_count(a(s).bitwiseXOR(b(s))) for s in SIMS]) <= MOST_DIFFERENT)
+
+
+def close_pairs(members: DataFrame, buckets: int, similarity: float) -> DataFrame:
+    """(key, id, length, SimHashes) -> the close pairs (a, b) within keys of at most FEW members."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["key", "id"])
+        key, one, length = (group[c].to_numpy() for c in ("key", "id", "length"))
+        sims = group[SIMS].to_numpy().view(np.uint64)
+        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        sizes = np.diff(np.r_[starts, len(key)])
+        found = [np.zeros((0, 2), np.int64)]
+        for n in np.unique(sizes[sizes > 1]):
+            i, j = np.triu_indices(n, 1)
+            of, step = starts[sizes == n], max(1, PAIRS // len(i))
+            for k in range(0, len(of), step):
+                a, b = ((of[k : k + step, None] + x).ravel() for x in (i, j))
+                fits = np.minimum(length[a], length[b]) >= similarity * np.maximum(length[a], length[b]) - 1e-9
+                a, b = a[fits], b[fits]
+                near = np.bitwise_count(sims[a] ^ sims[b]).sum(axis=1) <= MOST_DIFFERENT
+                found.append(np.unique(np.stack([one[a[near]], one[b[near]]], axis=1), axis=0))
+        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+
+    bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
+    return members.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, "a long, b long")
+
+
+OCCURRENCES = "id0 long, th long, line int, hi long, lo long, length int"
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place, a 128-bit hash of the normal form, its number of words and its SimHash."""
-    state: list[WordHashes] = []
+    """Every line with a word: its place, a 128-bit hash of the normal form and its number of words."""
 
     def rows(batch: dict) -> dict:
-        hashes = state[0] if state else state.append(WordHashes()) or state[0]
-        columns: list[list] = [[] for _ in range(7)]
+        columns: list[list] = [[] for _ in range(6)]
         for id0, th, text in zip(batch["id0"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
             forms = [(k, form) for k, form in enumerate(normalised(text.as_py() or b"")) if form]
             if not forms:
@@ -232,7 +321,6 @@ def occurrences(docs: DataFrame) -> DataFrame:
             columns[3] += digests[:, 0].tolist()
             columns[4] += digests[:, 1].tolist()
             columns[5] += [len(f) for _, f in forms]
-            columns[6] += simhashes([f for _, f in forms], hashes).tolist()
         return dict(zip([c.split()[0] for c in OCCURRENCES.split(", ")], columns, strict=True))
 
     return mapped(keyed(docs).selectExpr("id0", "th", "cast(text as binary) text"), rows, OCCURRENCES)
@@ -269,15 +357,15 @@ def compare_family(ids: list, roots: list, forms: list[bytes], sims: np.ndarray,
     most = ((1 - similarity) * lengths + 1e-9).astype(np.int64)
     # Words in common, counted by a few hundred hashes of words: never too few.
     bags = np.array([np.bincount([hash(x) % BAG for x in w], minlength=BAG) for w in words]).astype(np.uint16)
-    sims = np.asarray(sims, np.int64).view(np.uint64)  # of signed numbers, bits are counted without the sign
+    sims = np.ascontiguousarray(sims, np.int64).view(np.uint64)  # of signed numbers, bits are counted without the sign
     order, at = np.unique(np.array(roots), return_inverse=True)
     joined = np.arange(len(order))  # the current root of each root
     largest = np.bincount(at).argmax()
     links = []
     # Members of small roots are compared with all; those of the largest root not with each other.
     for k in np.flatnonzero(at != largest):
-        near = (np.bitwise_count(sims ^ sims[k]) <= MOST_DIFFERENT) & (joined[at] != joined[at[k]])
-        near = np.flatnonzero(near)
+        near = np.flatnonzero(joined[at] != joined[at[k]])
+        near = near[np.bitwise_count(sims[near] ^ sims[k]).sum(axis=1) <= MOST_DIFFERENT]
         # Words that two lines do not have in common take an edit each.
         common = np.minimum(bags[near], bags[k]).sum(axis=1, dtype=np.int64)
         for other in near[np.maximum(lengths[near], lengths[k]) - common <= np.maximum(most[near], most[k])]:
@@ -288,7 +376,7 @@ def compare_family(ids: list, roots: list, forms: list[bytes], sims: np.ndarray,
 
 
 def family_links(families: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
-    """(center, id, root) and (id, form, sim) -> links (a, b) between roots. Large families are compared block by block."""
+    """(center, id, root) and (id, form, SimHashes) -> links (a, b) between roots. Large families are compared block by block."""
     sizes = families.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = (
@@ -301,49 +389,70 @@ def family_links(families: DataFrame, forms: DataFrame, similarity: float) -> Da
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("id").sort_values("id")
         found = compare_family(
-            group["id"].tolist(), group["root"].tolist(), [bytes(f) for f in group["form"]], group["sim"].to_numpy(), similarity
+            group["id"].tolist(), group["root"].tolist(), [bytes(f) for f in group["form"]], group[SIMS].to_numpy(), similarity
         )
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
     return dealt.groupBy("center", "one", "two").applyInPandas(run, "a long, b long")
 
 
-def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(id0, th, line) of all lines but the first of each group."""
-    seen = saved(occurrences(docs), "lines")
-    place = F.struct("id0", "th", "line")
-    # Half of the hash names a form from here on.
-    forms = saved(
-        seen.groupBy("hi", "lo").agg(
-            F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("length").alias("length"), F.first("sim").alias("sim")
-        ).withColumn("id", F.col("lo")),
-        "forms",
-    )
-    shared = shared_blocks(docs, seen.agg(F.sum("length")).first()[0] or 0, similarity)
+def links(docs: DataFrame, forms: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Edges (a, b) that connect all similar forms with a block in common.
+
+    Blocks of few members are paired; of others each member is first compared with the
+    smallest one. Members of those that are not connected by then are compared as families.
+    """
+    shared = shared_blocks(docs, words, similarity)
+    wanted = forms.join(shared.select("id").distinct(), "id").select("id", "first.id0", "first.th", "first.line")
 
-    def close(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
-        lengths = F.least(a("length"), b("length")) >= similarity * F.greatest(a("length"), b("length")) - 1e-9
-        return lengths & (F.bit_count(a("sim").bitwiseXOR(b("sim"))) <= MOST_DIFFERENT)
+    @F.arrow_udf("array<long>")
+    def signature(batch: pa.Array) -> pa.Array:
+        found = simhashes(batch.to_pylist()) if len(batch) else np.zeros((0, SIGNATURE), np.int64)
+        return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), SIGNATURE).cast(pa.list_(pa.int64()))
+
+    texts = forms_of(docs, wanted).where(F.length("form") > 0).withColumn("s", signature("form"))
+    length = F.size(F.split(F.col("form").cast("string"), " "))
+    texts = saved(texts.select("id", length.alias("length"), *[F.col("s")[k].alias(s) for k, s in enumerate(SIMS)], "form"), "texts")
+
+    def side(letter: str, *names: str) -> DataFrame:
+        return texts.select(F.col("id").alias(letter), *[F.col(c).alias(f"{letter}_{c}") for c in names])
+
+    small = shared.where(F.col("n") <= FEW).select("key", "id").join(texts.drop("form"), "id")
+    stars = shared.where((F.col("n") > FEW) & (F.col("id") != F.col("center")))
+    stars = stars.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(side("a", "length", *SIMS), "a").join(side("b", "length", *SIMS), "b")
+    stars = stars.where(close(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), similarity)).select("a", "b")
+    near = saved(close_pairs(small, buckets_of(words), similarity).union(stars).distinct(), "near")
 
     @F.arrow_udf("boolean")
     def same(one: pa.Array, two: pa.Array) -> pa.Array:
         return pa.array([similar(a.as_py(), b.as_py(), similarity) for a, b in zip(one, two, strict=True)], pa.bool_())
 
-    def texts_of(ids: DataFrame) -> DataFrame:
-        wanted = forms.join(ids.distinct(), "id").select("id", "first.id0", "first.th", "first.line")
-        return saved(forms_of(docs, wanted), "texts")
+    pairs = near.join(side("a", "form"), "a").join(side("b", "form"), "b")
+    found = saved(pairs.where(same("a_form", "b_form")).select("a", "b"), "links")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
-        a = texts.select(F.col("id").alias("a"), F.col("form").alias("fa"))
-        b = texts.select(F.col("id").alias("b"), F.col("form").alias("fb"))
-        return pairs.join(a, "a").join(b, "b").where(same("fa", "fb")).select("a", "b")
+    roots = saved(components(found), "roots")
+    members = shared.where(F.col("n") > FEW).select("key", "id", "center")
+    members = saved(
+        members.join(roots, members.id == roots.node, "left").select("key", "id", "center", F.coalesce("root", "id").alias("root")),
+        "members",
+    )
+    still = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    many = saved(members.join(still, "key").select("center", "id", "root").distinct(), "families")
+    return found.union(saved(family_links(many, texts.drop("length"), similarity), "links"))
 
-    def families(many: DataFrame) -> DataFrame:
-        return family_links(many, texts_of(many.select("id")).join(forms.select("id", "sim"), "id"), similarity)
 
-    items = saved(shared.select("id").distinct().join(forms, "id").select("id", "length", "sim"), "items")
-    roots = saved(components(linked(items, shared, close, verify, families, few=FEW)), "roots")
+def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """(id0, th, line) of all lines but the first of each group."""
+    seen = saved(occurrences(docs), "lines")
+    place = F.struct("id0", "th", "line")
+    # Half of the hash names a form from here on.
+    forms = saved(
+        seen.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", F.col("lo")),
+        "forms",
+    )
+    words = seen.agg(F.sum("length")).first()[0] or 0
+    roots = saved(components(links(docs, forms, words, similarity)), "roots")
     grouped = forms.join(roots, forms.id == roots.node, "left")
     firsts = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("group_first"))
     keepers = saved(

@@ -5,7 +5,6 @@ from __future__ import annotations
 import random
 
 from harvestlens.llm import lines
-from harvestlens.llm.neardup import WordHashes
 from tests.llm.cases import groups
 
 
@@ -46,8 +45,8 @@ def test_families_are_linked_as_all_pairs_are():
         forms.append([f"w{k}" for k in range(30)] + [f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(5, 30))])
     for k in range(0, 120, 3):
         forms.append(edited(rng, forms[k], 3))
-    sims = lines.simhashes([[w.encode() for w in f] for f in forms], WordHashes())
     forms = [" ".join(f).encode() for f in forms]
+    sims = lines.simhashes(forms)
     ids = list(range(len(forms)))
     got = set(lines.compare_family(ids, ids, forms, sims, 0.8))
     wanted = groups(ids, lambda a, b: lines.similar(forms[a], forms[b], 0.8))
