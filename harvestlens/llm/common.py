@@ -14,10 +14,25 @@ from harvestlens.session import scratch_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Spark's setting by which the shuffle files of a query go at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to the shared folder and read it back: a lost executor costs no recomputation before it."""
-    path = scratch_dir(df.sparkSession, label)
-    df.write.parquet(path)
+    """Write a table to the shared folder and read it back: a lost executor costs no recomputation before it.
+
+    Once it is written, no one reads the shuffles that made it, so their files go at once.
+    """
+    conf, path = df.sparkSession.conf, scratch_dir(df.sparkSession, label)
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            conf.unset(CLEANUP)
+        else:
+            conf.set(CLEANUP, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
