@@ -56,8 +56,10 @@ STEP = 1.05
 FEW, PAIRS = 64, 2**20
 #: Members of a family that are compared with as many others in one task step.
 FAMILY_BLOCK = 4096
-#: Hashes by which words in common are counted there.
-BAG = 512
+#: Parts of a large family, for every FAMILY_BLOCK of its members.
+PARTS = 4
+#: Words that are ranked by their frequency, which one of RANKED_OF lines tells.
+COMMON, RANKED_OF = 2**14, 64
 KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "-/_|" else c for c in range(256))
 #: The bits of a byte as eight counters.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
@@ -331,69 +333,172 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, form) of the wanted (id, id0, th, line): only texts that may hold one are moved."""
+    """(id, form) of the wanted (id, id0, th, line): lines are moved, and only those that may be wanted."""
     places = saved(wanted, "wanted")
-    bitmap = membership(places.select(F.xxhash64("id0", "th")))
-    texts = flagged(keyed(docs.select("doc_id", "text")), F.xxhash64("id0", "th"), bitmap, "_maybe").where("_maybe")
+    place = F.xxhash64("id0", "th", "line")
 
-    @F.arrow_udf("array<binary>")
-    def forms(batch: pa.Array) -> pa.Array:
-        return pa.array([[b" ".join(w) for w in normalised(t.as_py() or b"")] for t in batch], pa.list_(pa.binary()))
-
-    by_text = places.groupBy("id0", "th").agg(F.collect_list(F.struct("line", "id")).alias("at"))
-    return (
-        texts.select("id0", "th", "text").join(by_text, ["id0", "th"])
-        .withColumn("forms", forms(F.col("text").cast("binary")))
-        .select(F.explode("at").alias("one"), "forms")
-        .select("one.id", F.get("forms", F.col("one.line")).alias("form"))
-        .dropDuplicates(["id"])
+    def rows(batch: dict) -> dict:
+        columns: list[list] = [[] for _ in range(5)]
+        for id0, th, text in zip(batch["id0"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
+            forms = [(k, b" ".join(w)) for k, w in enumerate(normalised(text.as_py() or b"")) if len(w) > 3]
+            columns[0] += [id0] * len(forms)
+            columns[1] += [th] * len(forms)
+            columns[2] += [k for k, _ in forms]
+            # The low half of a form's hash names it, as in occurrences().
+            columns[3] += [int.from_bytes(xxhash.xxh3_128_digest(f)[8:], "little", signed=True) for _, f in forms]
+            columns[4] += [f for _, f in forms]
+        return dict(zip(("id0", "th", "line", "id", "form"), columns, strict=True))
+
+    lines = mapped(
+        keyed(docs.select("doc_id", "text")).selectExpr("id0", "th", "cast(text as binary) text"), rows,
+        "id0 long, th long, line int, id long, form binary",
     )
+    found = flagged(lines, place, membership(places.select(place)), "_maybe").where("_maybe").select("id", "form")
+    return found.join(places.select("id"), "id", "left_semi").dropDuplicates(["id"])
+
+
+def each_time(form: bytes) -> list[tuple[bytes, int]]:
+    """Every word with the number of the same words before it."""
+    seen: dict[bytes, int] = {}
+    words = form.split()
+    for k, w in enumerate(words):
+        seen[w] = n = seen.get(w, -1) + 1
+        words[k] = (w, n)
+    return words
 
 
-def compare_family(ids: list, roots: list, forms: list[bytes], sims: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links that join different roots; of two roots one link is enough."""
-    words = [f.split() for f in forms]
-    lengths = np.array([len(w) for w in words])
+def first_words(form: bytes, similarity: float, commonness: dict[bytes, int]) -> list[int]:
+    """Hashes of a line's rarest words (the k-th time of a word is a word of its own), one more than edits can touch.
+
+    Of two similar lines, the rarest word in common is among these of both, whatever the order that makes
+    words rare: before it stand only words that the other line lacks.
+    """
+    placed = sorted((commonness.get(w, 0), w, k) for w, k in each_time(form))
+    most = int((1 - similarity) * len(placed) + 1e-9)
+    return [xxhash.xxh3_64_intdigest(w, k) - 2**63 for _, w, k in placed[: most + 1]]
+
+
+def common_words(texts: DataFrame) -> dict[bytes, int]:
+    """A rank for the COMMON most frequent words, the commonest last. It only orders words, so a part of the lines tells enough."""
+    word = F.explode(F.split(F.col("form").cast("string"), " ")).alias("word")
+    counted = texts.where(F.pmod(F.col("id"), F.lit(RANKED_OF)) == 0).select(word).groupBy("word").count()
+    rows = counted.orderBy(F.desc("count"), "word").limit(COMMON).collect()
+    return {r.word.encode(): len(rows) - k for k, r in enumerate(rows)}
+
+
+def pairs_within(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of places within each run of places, at most about PAIRS at once."""
+    # Each place meets those behind it in its run; long rows of partners are handed out in parts.
+    behind = np.repeat(sizes, sizes) - 1 - (np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes))
+    place = np.arange(sizes.sum()) - np.repeat(sizes.cumsum() - sizes, sizes) + np.repeat(starts, sizes)
+    place, behind = place[behind > 0], behind[behind > 0]
+    ends = behind.cumsum()
+    at = 0
+    while at < len(place):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PAIRS, "right")))
+        n = behind[at:to]
+        a = np.repeat(place[at:to], n)
+        yield a, a + 1 + np.arange(n.sum()) - np.repeat(n.cumsum() - n, n)
+        at = to
+
+
+def compare_family(
+    ids: list, roots: list, forms: list[bytes], sims: np.ndarray, similarity: float, tokens: list | None = None
+) -> list[tuple[int, int]]:
+    """Links that join different roots, of lines with a token (else one of their first words) in common; of two roots one link is enough."""
+    if tokens is None:
+        tokens = [first_words(f, similarity, {}) for f in forms]
+    lengths = np.array([f.count(b" ") + 1 for f in forms])
     most = ((1 - similarity) * lengths + 1e-9).astype(np.int64)
-    # Words in common, counted by a few hundred hashes of words: never too few.
-    bags = np.array([np.bincount([hash(x) % BAG for x in w], minlength=BAG) for w in words]).astype(np.uint16)
     sims = np.ascontiguousarray(sims, np.int64).view(np.uint64)  # of signed numbers, bits are counted without the sign
     order, at = np.unique(np.array(roots), return_inverse=True)
     joined = np.arange(len(order))  # the current root of each root
-    largest = np.bincount(at).argmax()
-    links = []
-    # Members of small roots are compared with all; those of the largest root not with each other.
-    for k in np.flatnonzero(at != largest):
-        near = np.flatnonzero(joined[at] != joined[at[k]])
-        near = near[np.bitwise_count(sims[near] ^ sims[k]).sum(axis=1) <= MOST_DIFFERENT]
-        # Words that two lines do not have in common take an edit each.
-        common = np.minimum(bags[near], bags[k]).sum(axis=1, dtype=np.int64)
-        for other in near[np.maximum(lengths[near], lengths[k]) - common <= np.maximum(most[near], most[k])]:
-            if joined[at[other]] != joined[at[k]] and similar(forms[k], forms[other], similarity):
-                links.append((int(ids[k]), int(ids[other])))
-                joined[joined == joined[at[other]]] = joined[at[k]]
+    owner = np.repeat(np.arange(len(ids)), [len(t) for t in tokens])
+    token = np.concatenate([np.asarray(t, np.int64) for t in tokens])
+    # Members of a token by length: partners that are too long for one are left out with all behind them.
+    by = np.lexsort((owner, lengths[owner], token))
+    token, owner = token[by], owner[by]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    sizes = np.diff(np.r_[starts, len(token)])
+    several = sizes > 1
+    links, bags = [], {}
+
+    def in_common(x: int, y: int) -> int:
+        for k in (x, y):
+            if k not in bags:
+                bags[k] = frozenset(each_time(forms[k]))
+        return len(bags[x] & bags[y])
+
+    for a, b in pairs_within(sizes[several], starts[several]):
+        one, two = owner[a], owner[b]
+        fits = (joined[at[one]] != joined[at[two]]) & (lengths[two] - lengths[one] <= most[two])
+        one, two = one[fits], two[fits]
+        differ = np.zeros(len(one), np.int64)
+        for k in range(sims.shape[1]):
+            differ += np.bitwise_count(sims[one, k] ^ sims[two, k])
+        near = differ <= MOST_DIFFERENT
+        for x, y in np.unique(np.stack([one[near], two[near]], axis=1), axis=0).tolist():
+            # Words that two lines do not have in common take an edit each. The second line is the longer.
+            if joined[at[x]] == joined[at[y]] or lengths[y] - in_common(x, y) > most[y]:
+                continue
+            if similar(forms[x], forms[y], similarity):
+                links.append((int(ids[x]), int(ids[y])))
+                joined[joined == joined[at[y]]] = joined[at[x]]
     return links
 
 
-def family_links(families: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
-    """(center, id, root) and (id, form, SimHashes) -> links (a, b) between roots. Large families are compared block by block."""
-    sizes = families.groupBy("center").agg(F.ceil(F.count(F.lit(1)) / FAMILY_BLOCK).cast("int").alias("blocks"))
+def family_squares(families: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
+    """(center, id, root) and (id, form, SimHashes) -> the rows that are compared within (center, part, one, two).
+
+    Only lines that share one of their rarest words are compared. A large family is dealt out by these
+    words: a line goes to at most as many parts as it has such words, however large the family.
+    A part that one word makes large all the same is compared block by block.
+    """
+    ranks = common_words(forms)
+
+    @F.arrow_udf("array<long>")
+    def rarest(batch: pa.Array) -> pa.Array:
+        return pa.array([first_words(f, similarity, ranks) for f in batch.to_pylist()], pa.list_(pa.int64()))
+
+    # Most lines belong to no family: they stay where they are.
+    wanted = flagged(forms, F.col("id"), membership(families.select("id")), "_maybe").where("_maybe").drop("_maybe")
+    tokens = saved(wanted.select("id", rarest("form").alias("rarest")), "tokens")
+    n = F.count(F.lit(1))
+    parts = families.groupBy("center").agg(
+        F.when(n <= FAMILY_BLOCK, 1).otherwise(F.ceil(n * PARTS / FAMILY_BLOCK)).cast("long").alias("parts")
+    )
+    dealt = saved(
+        families.join(saved(parts, "sizes"), "center").join(tokens, "id")
+        .withColumn("part", F.explode(F.array_distinct(F.transform("rarest", lambda t: F.pmod(t, F.col("parts"))))))
+        .withColumn("tokens", F.filter("rarest", lambda t: F.pmod(t, F.col("parts")) == F.col("part")))
+        .select("center", "part", "id", "root", "tokens"),
+        "dealt",
+    )
+    sizes = dealt.groupBy("center", "part").agg(
+        F.ceil(n / FAMILY_BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")
+    )
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = (
-        families.join(saved(sizes, "sizes"), "center").withColumn("own", own)
+    return (
+        dealt.join(saved(sizes.where("low < high").drop("low", "high"), "sizes"), ["center", "part"]).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("center", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "root")
-        .join(forms, "id")
+        .select("center", "part", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "root", "tokens")
+        .join(wanted, "id")
     )
 
+
+def family_links(families: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
+    """(center, id, root) and (id, form, SimHashes) -> links (a, b) between roots."""
+
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.drop_duplicates("id").sort_values("id")
         found = compare_family(
-            group["id"].tolist(), group["root"].tolist(), [bytes(f) for f in group["form"]], group[SIMS].to_numpy(), similarity
+            group["id"].tolist(), group["root"].tolist(), [bytes(f) for f in group["form"]], group[SIMS].to_numpy(),
+            similarity, group["tokens"].tolist(),
         )
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return dealt.groupBy("center", "one", "two").applyInPandas(run, "a long, b long")
+    squares = family_squares(families, forms, similarity)
+    return squares.groupBy("center", "part", "one", "two").applyInPandas(run, "a long, b long")
 
 
 def links(docs: DataFrame, forms: DataFrame, words: int, similarity: float) -> DataFrame:

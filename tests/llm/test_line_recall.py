@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
+
 from harvestlens.llm import lines
 from tests.llm.cases import groups
 
@@ -52,3 +54,21 @@ def test_families_are_linked_as_all_pairs_are():
     wanted = groups(ids, lambda a, b: lines.similar(forms[a], forms[b], 0.8))
     assert groups(ids, lambda a, b: (a, b) in got or (b, a) in got) == wanted
     assert 0 < len(got) < len(forms)
+
+
+def test_a_family_is_compared_by_rare_words_and_not_by_its_square(spark, monkeypatch):
+    monkeypatch.setattr(lines, "FAMILY_BLOCK", 16)
+    made = np.random.default_rng(5)
+    # All lines share two words; each other word is in a few lines. Each third line is a copy with one other word.
+    forms = [" ".join(["we", "ship", *made.choice(4000, 10).astype(str)]).encode() for _ in range(200)]
+    forms += [f.rsplit(b" ", 1)[0] + b" changed" for f in forms[::3]]
+    sims = lines.simhashes(forms).tolist()
+    table = spark.createDataFrame(
+        [(k, 12, *s, f) for k, (s, f) in enumerate(zip(sims, forms, strict=True))],
+        "id long, length int, " + "".join(f"{s} long, " for s in lines.SIMS) + "form binary",
+    )
+    family = spark.createDataFrame([(0, k, k) for k in range(len(forms))], "center long, id long, root long")
+    got = {tuple(sorted(r)) for r in lines.family_links(family, table.drop("length"), 0.8).collect()}
+    assert got == {(3 * k, 200 + k) for k in range(67)}
+    rarest = 3
+    assert lines.family_squares(family, table.drop("length"), 0.8).count() <= 2 * rarest * len(forms)
