@@ -12,10 +12,11 @@ before each, and rows are sorted within their range only.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from harvestlens.llm.common import mapped, numbered, numbered_rows, saved
+from harvestlens.llm.common import numbered, saved
 
 #: No source, and so no document, is taken more often.
 MOST_EPOCHS = 3
@@ -23,27 +24,29 @@ MOST_EPOCHS = 3
 RANGE_ROWS = 20_000
 
 
-def measured(docs: DataFrame, number: Column) -> DataFrame:
-    """doc_id, source, th, number, size (words) and weight: the share of letters, digits, marks of sentences and blanks in the text."""
+def measured(docs: DataFrame, *others: Column) -> DataFrame:
+    """doc_id, source, th, the other columns, size (words), weight and key.
 
+    The weight is the share of letters, digits, marks of sentences and blanks in the text.
+    """
     odd = bytes(b for b in range(33, 127) if not (chr(b).isalnum() or chr(b) in ".,;:?'\"-()"))
 
-    def rows(batch: dict) -> dict:
+    @F.arrow_udf("size long, weight double")
+    def weighed(texts: pa.Array) -> pa.Array:
         size, weight = [], []
-        for text in batch["text"]:
+        for text in texts:
             text = text.as_py() or b""
             size.append(len(text.split()))
             weight.append(max(0.05, len(text.translate(None, odd)) / len(text)) if text else 1.0)
-        return {c: batch[c] for c in ("doc_id", "source", "th", "number")} | {"size": size, "weight": weight}
+        return pa.StructArray.from_arrays([pa.array(size, pa.int64()), pa.array(weight, pa.float64())], ["size", "weight"])
 
-    return mapped(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("th"),
-            number, F.col("text").cast("binary").alias("text"),
-        ),
-        rows,
-        "doc_id long, source string, th long, number long, size long, weight double",
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("th"),
+        *others, weighed(F.col("text").cast("binary")).alias("_measure"),
     )
+    unit = (F.pmod(F.xxhash64("doc_id", "th", F.lit("mix")), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
+    rows = rows.select(*[c for c in rows.columns if c != "_measure"], "_measure.size", "_measure.weight")
+    return rows.withColumn("key", -F.log(unit) / F.col("weight"))
 
 
 def targets(sizes: DataFrame, most: float = MOST_EPOCHS) -> DataFrame:
@@ -77,10 +80,17 @@ def mixed(
     without words fall where their key does. Rows equal in doc_id and text have equal
     keys; which of them is taken once more is arbitrary, how many are is not, unless ``number`` names a column that numbers the rows. An empty table gives an empty table.
     """
-    unit = (F.pmod(F.xxhash64("doc_id", "th", F.lit("mix")), F.lit(2**52)).cast("double") + 0.5) / 2.0**52
-    rows = saved(
-        measured(docs, (F.col(number) if number else F.lit(0)).cast("long").alias("number")).withColumn("key", -F.log(unit) / F.col("weight")), "measured"
+    rows = saved(measured(docs, (F.col(number) if number else F.lit(0)).cast("long").alias("number")), "measured")
+    return chosen(rows, shares, most).select(
+        "doc_id", "source", "th", "number", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
     )
+
+
+def chosen(rows: DataFrame, shares: tuple[int, ...], most: int) -> DataFrame:
+    """Measured rows with their source's source_size, target and epochs, and their own copies: epochs or one more.
+
+    In the order of key, doc_id, th and number, those of a source with one more come first.
+    """
     sizes = saved(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_rows")), "sizes")
     order = numbered(sizes.withColumn("_null", F.col("source").isNull()), ["_null", "source"], "_at")
     share = F.get(F.array(*[F.lit(float(s)) for s in shares]), F.pmod("_at", F.lit(len(shares))).cast("int"))
@@ -110,14 +120,25 @@ def mixed(
     middle = F.col("before") + F.col("_to") - F.col("size") / 2
     copies = F.col("epochs") + F.when((F.col("epochs") < most) & (middle <= F.col("left")) & (F.col("left") > 0), 1).otherwise(0)
     return filled.select(
-        "doc_id", "source", "th", "number", "size", "source_size", "target", copies.cast("int").alias("copies")
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+        "doc_id", "source", "th", "number", "key", "size", "source_size", "target", "epochs", copies.cast("int").alias("copies")
+    )
 
 
 def mix(docs: DataFrame, shares: tuple[int, ...] = (1, 2, 3), most: int = MOST_EPOCHS) -> DataFrame:
     """The documents in the mix, each row as often as it is taken, with all their columns, whatever their names."""
-    rows, restored = numbered_rows(docs)
-    asked = rows.select(*[F.col("row")[c].alias(c) for c in ("doc_id", "source", "text")], "number")
-    taken = saved(mixed(asked, shares, most, "number").where("copies > 0").select("number", "copies"), "taken")
-    again = F.explode(F.expr("sequence(1, copies)")).alias("again")
-    return restored(rows.join(taken, "number").select("row", again))
+    # A written number names a row for sure: rows may be equal, and doc_id may be missing or repeated.
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = saved(measured(docs, F.monotonically_increasing_id().alias("number"), row), "rows")
+    place = F.struct("key", "doc_id", "th", "number")
+    found = chosen(rows.drop("row"), shares, most)
+    # Where a source's order is cut says it all, so that no text is moved.
+    cuts = saved(
+        found.groupBy(F.col("source").alias("of")).agg(
+            F.max("epochs").alias("epochs"), F.max(F.when(F.col("copies") > F.col("epochs"), place)).alias("last")
+        ),
+        "cuts",
+    )
+    once_more = F.when(place <= F.col("last"), 1).otherwise(0)
+    taken = rows.join(cuts, rows.source.eqNullSafe(cuts.of)).select("row", (F.col("epochs") + once_more).alias("copies"))
+    again = taken.where("copies > 0").select("row", F.explode(F.expr("sequence(1, copies)")).alias("again"))
+    return again.select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -274,4 +274,8 @@ def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     owned = found.join(rows.select("number", F.col("row")["doc_id"].cast("long").alias("doc_id")), "number")
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "number")
     first = owned.groupBy("component_id").agg(F.min(order).alias("first")).select("first.number")
-    return restored(rows.join(saved(first, "first"), "number", "left_semi"))
+    gone = saved(found.select("number").join(saved(first, "first"), "number", "left_anti"), "gone")
+    # Texts that certainly stay are not moved.
+    rows = flagged(rows, F.xxhash64("number"), membership(gone.select(F.xxhash64("number"))), "_maybe")
+    stay = rows.where("not _maybe").select("row")
+    return restored(stay.union(rows.where("_maybe").join(gone, "number", "left_anti").select("row")))

@@ -313,3 +313,19 @@ def test_edited_sha_is_of_the_text(spark):
 
     r = sketches.edited_fingerprints(messy(spark)).select("edited", F.sha2("edited", 256).alias("s")).first()
     assert r.s == hashlib.sha256(r.edited.encode()).hexdigest()
+
+
+def test_a_mix_moves_no_texts(spark):
+    docs = spark.createDataFrame(
+        [(k, "a b c " * (k % 7 + 1), "abc"[k % 3], k % 2) for k in range(4000)], "doc_id long, text string, source string, key int"
+    )
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "12k")
+    try:
+        mix = mixing.mix(docs)
+        plan = mix._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r.doc_id for r in mix.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    assert got == sorted(r.doc_id for r in mixing.mixed(docs).collect() for _ in range(r.copies))
