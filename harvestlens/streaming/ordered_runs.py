@@ -19,7 +19,7 @@ from harvestlens.operators.runs import DEFAULT_MAX_STEPS, EXECUTED, TERMINAL, st
 from harvestlens.streaming.run_state import UPDATE, ending_reason
 
 _FOLD = "n bigint, calls bigint, errors bigint, ending string, reason string, turn_limit bigint, at bigint"
-_TURN = "kind string, ok boolean, reason string"
+_WAITING = "at bigint, tie {tie}, kind string, ok boolean, reason string"
 
 
 def _plain(value):
@@ -39,7 +39,8 @@ class OrderedFold(StatefulProcessor):
     The buffer never holds more turns than the run may still take: a turn behind that
     many earlier ones cannot take effect, whatever else arrives. A run that has ended
     keeps one small row, so that its later turns are known as such, and a run without
-    a new turn for the retention time keeps nothing.
+    a new turn for the retention time keeps nothing. The buffer is read and written as
+    one list: what a run asks of the state store does not grow with its turns.
     """
 
     def __init__(self, tie: str, retention: timedelta):
@@ -49,15 +50,23 @@ class OrderedFold(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self._handle = handle
         self._fold = handle.getValueState("fold", _FOLD)
-        self._waiting = handle.getMapState("waiting", f"at bigint, tie {self._tie}", _TURN)
+        self._waiting = handle.getListState("waiting", _WAITING.format(tie=self._tie))
 
     def _folded(self):
-        return tuple(self._fold.get()) if self._fold.exists() else (0, 0, 0, None, None, 0, 0)
+        fold = self._fold.get()
+        return (0, 0, 0, None, None, 0, 0) if fold is None else tuple(fold)
+
+    def _held(self) -> dict:
+        return {(at, tie): tuple(turn) for at, tie, *turn in self._waiting.get()}
+
+    def _write(self, turns: list[tuple]) -> None:
+        if turns:
+            self._waiting.put(turns)
+        else:
+            self._waiting.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         n, calls, errors, ending, reason, limit, at = self._folded()
-        held = {tuple(k) for k in self._waiting.keys()}
-        first_held = min(held, default=None)
         new = {}
         for batch in rows:
             for micros, tie, kind, ok, text, most in zip(
@@ -72,12 +81,12 @@ class OrderedFold(StatefulProcessor):
                 new = {k: new[k] for k in sorted(new)[: limit - n]}
         if not new:
             return
-        kept = sorted(held | set(new))[: max(limit - n, 0)]
-        for place in held.difference(kept):
-            self._waiting.removeKey(place)
-        for place in kept:
-            if place in new and place not in held:
-                self._waiting.updateValue(place, new[place])
+        held = self._held()
+        first_held = min(held, default=None)
+        turns = new | held
+        kept = sorted(turns)[: max(limit - n, 0)]
+        if len(kept) != len(held) or any(place not in held for place in kept):
+            self._write([(*place, *turns[place]) for place in kept])
         self._fold.update((n, calls, errors, ending, reason, limit, at))
         if kept and kept[0] != first_held:
             self._handle.registerTimer(_millis(kept[0][0]))
@@ -87,11 +96,11 @@ class OrderedFold(StatefulProcessor):
         now = timerValues.getCurrentWatermarkInMs()
         n, calls, errors, ending, reason, limit, at = self._folded()
         start = n
-        waiting = sorted(tuple(k) for k in self._waiting.keys())
+        held = self._held()
+        waiting = sorted(held)
         ready = [place for place in waiting if place[0] <= now * 1000]
         for place in ready:
-            kind, ok, text = self._waiting.getValue(place)
-            self._waiting.removeKey(place)
+            kind, ok, text = held[place]
             n += 1
             at = place[0]
             calls += kind in EXECUTED
@@ -100,9 +109,9 @@ class OrderedFold(StatefulProcessor):
                 ending, reason = kind, text
                 break
         done = ending is not None or n >= limit
-        if done:
-            self._waiting.clear()
         rest = [] if done else waiting[len(ready):]
+        if len(rest) < len(held):
+            self._write([(*place, *held[place]) for place in rest])
         if rest:
             self._handle.registerTimer(max(_millis(rest[0][0]), now + 1))
         if n == start:

@@ -3,12 +3,13 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 
 from harvestlens.operators import runs
 from harvestlens.streaming import run_state as streamed
 from harvestlens.streaming import sinks
-from harvestlens.streaming.ordered_runs import stream_ordered_run_state
+from harvestlens.streaming.ordered_runs import OrderedFold, stream_ordered_run_state
 
 TURN = "run_id long, ts timestamp, event_id long, kind string, success boolean, max_steps int, reason string"
 START = datetime(2024, 1, 1)
@@ -76,3 +77,79 @@ def test_finished_runs_leave_no_state(spark, tmp_path, retention, left):
     assert state.count() == left
     waiting = spark.read.format("statestore").option("stateVarName", "waiting").load(f"{tmp_path}/cp")
     assert waiting.count() == 0
+
+
+class CountedState:
+    """A processor's handle and all of its states; counts what is asked of them."""
+
+    def __init__(self):
+        self.calls, self.stored, self.timers = 0, {}, []
+
+    def of(self, name, schema):
+        return CountedVariable(self, name)
+
+    getValueState = getListState = getMapState = of
+
+    def registerTimer(self, at):
+        self.calls += 1
+        self.timers.append(at)
+
+
+class CountedVariable:
+    def __init__(self, state, name):
+        self.state, self.name = state, name
+
+    def get(self):
+        self.state.calls += 1
+        return self.state.stored.get(self.name, None if self.name == "fold" else [])
+
+    def put(self, value):
+        self.state.calls += 1
+        self.state.stored[self.name] = value
+
+    update = put
+
+    def clear(self):
+        self.state.calls += 1
+        self.state.stored.pop(self.name, None)
+
+    # As in a map of turns.
+    def exists(self):
+        self.state.calls += 1
+        return self.name in self.state.stored
+
+    def keys(self):
+        self.state.calls += 1
+        return list(self.state.stored.get(self.name, {}))
+
+    def getValue(self, key):
+        self.state.calls += 1
+        return self.state.stored[self.name][key]
+
+    def updateValue(self, key, value):
+        self.state.calls += 1
+        self.state.stored.setdefault(self.name, {})[key] = value
+
+    def removeKey(self, key):
+        self.state.calls += 1
+        del self.state.stored[self.name][key]
+
+
+class Watermark:
+    def getCurrentWatermarkInMs(self):
+        return 10**9
+
+
+def test_calls_of_the_state_store_do_not_grow_with_a_runs_turns():
+    def run(n):
+        state, fold = CountedState(), OrderedFold("bigint", timedelta(days=1))
+        fold.init(state)
+        turns = pd.DataFrame(
+            {"micros": range(n), "tie": range(n), "kind": "call", "ok": True, "reason": None, "turn_limit": 1000}
+        )
+        list(fold.handleInputRows((1,), iter([turns]), None))
+        (update,) = fold.handleExpiredTimer((1,), Watermark(), None)
+        assert update["n_turns"].tolist() == [n] and not state.stored.get("waiting")
+        return state.calls
+
+    assert run(300) == run(3)
