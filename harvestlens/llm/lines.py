@@ -10,9 +10,12 @@ many for blocks of bits that tell lines apart. So a line's signature is made of
 are SimHashes themselves, one for every run of two to four neighbouring words (longer runs
 for longer lines). By the pigeonhole principle, edits can touch only so many of them: lines
 that are similar have equal blocks, on which they are joined. Of a line with more than BLOCKS
-blocks those with the least hashes are taken, the same ones in similar lines. Candidates are
-dropped where the SimHashes of the whole lines, 256 bits, differ in more than MOST_DIFFERENT,
-and the others are verified by their edit distance.
+blocks those with the least hashes are taken, the same ones in similar lines. Every form has a
+bag as well: the parity of its words' numbers in 256 parts of their hashes, which an edit
+changes in two bits at most. Candidates are dropped where the bags differ in more than the
+edits allow (lines of more than LONG words are told apart by their SimHashes at once), then where the SimHashes of the whole lines, 256 bits, differ in more than
+MOST_DIFFERENT, and the others are verified by their edit distance. Only lines with a
+candidate by their bags are fetched.
 
 Up to 26 words no line at the similarity is without a common block. Beyond, two lines at the
 very threshold share a quarter of their blocks: that no one of 24 agrees has a chance of one
@@ -23,7 +26,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cache, reduce
 from itertools import islice
 
 import numpy as np
@@ -42,6 +45,8 @@ SIMILARITY = 0.8
 BLOCKS = 24
 #: Words of 64 bits of a whole line's SimHash, and bits in which those of similar lines may differ.
 SIGNATURE, MOST_DIFFERENT = 4, 84
+#: Numbers of 64 bits of a line's bag, which is as large as its SimHash, and words beyond which a line has that instead.
+BAG, LONG = SIGNATURE, 256
 #: Words of a block by the words of the line (least, most). Ranges overlap by what similar lines may differ in length.
 RUNS = ((3, 8, 24), (4, 20, 2**31))
 #: Lines up to this length have blocks of two words, told apart by the length of the shorter line.
@@ -149,6 +154,48 @@ def simhashes(forms: list[bytes]) -> np.ndarray:
     return found
 
 
+def bags(forms: list[bytes]) -> np.ndarray:
+    """The bag of each non-empty form, BAG numbers: whether an odd number of its words falls in each of the parts.
+
+    A line of more than LONG words, whose bag would be full, has its SimHash instead.
+    """
+    flat, counts = word_hashes(forms)
+    part = np.repeat(np.arange(len(forms)), counts) * (64 * BAG) + (flat >> np.uint64(56)).astype(np.int64)
+    odd = np.bincount(part, minlength=len(forms) * 64 * BAG).astype(np.uint8) & 1
+    found = np.packbits(odd.reshape(len(forms), -1), axis=1).view(np.int64)
+    if len(long := np.flatnonzero(counts > LONG)):
+        found[long] = simhashes([forms[k] for k in long])
+    return found
+
+
+def bags_fit(one: np.ndarray, two: np.ndarray, bag: np.ndarray, length: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether the lines at places ``one`` and ``two`` may be similar by their lengths and bags."""
+    longer, shorter = np.maximum(length[one], length[two]), np.minimum(length[one], length[two])
+    # An edit changes two bits; those that make up for the lengths change one.
+    edits = ((1 - similarity) * longer + 1e-9).astype(np.int64)
+    most = np.where(shorter > LONG, MOST_DIFFERENT, np.where(longer > LONG, 64 * BAG, 2 * edits - (longer - shorter)))
+    differ = np.bitwise_count(bag[one, 0] ^ bag[two, 0]).astype(np.int64)
+    for k in range(1, BAG):
+        differ += np.bitwise_count(bag[one, k] ^ bag[two, k])
+    return (differ <= most) & (longer - shorter <= edits)
+
+
+@cache
+def blocks_needed(n: int, similarity: float) -> np.ndarray:
+    """By the words of a line: of its blocks of n words, how many of the least hashes one of a similar line is among, BLOCKS at most.
+
+    Before the least block that both have stand only blocks that the edits touch: n for each edit, but one
+    less where the longer line has a word more.
+    """
+    needed = np.full(256, BLOCKS)
+    for words in range(len(needed) - 1):
+        longer, most = words, 0
+        while longer - words <= (edits := int((1 - similarity) * longer + 1e-9)) and most < BLOCKS:
+            most, longer = max(most, n * edits - (longer - words) + 1), longer + 1
+        needed[words] = min(most, BLOCKS)
+    return needed
+
+
 def run_simhashes(flat: np.ndarray, n: int) -> np.ndarray:
     """SimHash of every n neighbouring words: the bits that most of their hashes have."""
     w = [flat[k : len(flat) - n + 1 + k] for k in range(n)]
@@ -159,7 +206,7 @@ def run_simhashes(flat: np.ndarray, n: int) -> np.ndarray:
     return w[0] & w[1] & (w[2] | w[3]) | w[2] & w[3] & (w[0] | w[1])
 
 
-def block_keys(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def block_keys(forms: list[bytes], similarity: float = SIMILARITY) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The number of the line and the key of the blocks of each form, and the words of each form."""
     flat, counts = word_hashes(forms)
     line = np.repeat(np.arange(len(forms), dtype=np.uint64), counts)
@@ -176,7 +223,8 @@ def block_keys(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         both = both[np.r_[True, both[1:] != both[:-1]]]
         owner, place = both >> np.uint64(KEY_BITS), np.arange(len(both))
         new = np.r_[True, owner[1:] != owner[:-1]]
-        found.append(both[place - np.maximum.accumulate(np.where(new, place, 0)) < BLOCKS])
+        needed = blocks_needed(n, similarity)[np.minimum(counts, 255)][owner.astype(np.int64)]
+        found.append(both[place - np.maximum.accumulate(np.where(new, place, 0)) < needed])
 
     for shorter in (0, 1):
         add(2, (length - shorter >= 4) & (length - shorter <= SHORT), length - shorter)
@@ -189,7 +237,8 @@ def block_keys(forms: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def shared_blocks(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """(key, id, center, n): the forms (id: the low half of their hash) that have a block in common with another of fitting length.
 
-    Keys travel packed, in buckets, with their length rounded. A bucket is a bounded part of all keys.
+    Of two forms alone there is one row, that of the other than the center. Keys travel packed, in buckets,
+    with their length rounded. A bucket is a bounded part of all keys.
     """
     buckets = buckets_of(words)
     gap = int(np.log(1 / similarity) / np.log(STEP)) + 2
@@ -211,7 +260,7 @@ def shared_blocks(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             )
 
         def blocks(forms: dict[bytes, bytes]) -> int:
-            line, key, counts = block_keys(list(forms.values()))
+            line, key, counts = block_keys(list(forms.values()), similarity)
             ids = np.frombuffer(b"".join(forms), np.int64).reshape(-1, 2)[:, 1]
             rounded = np.minimum(np.log(counts) / np.log(STEP), 255).astype(np.uint8)
             held.append((key, ids[line], rounded[line]))
@@ -259,7 +308,7 @@ def shared_blocks(docs: DataFrame, words: int, similarity: float) -> DataFrame:
         center, n = np.minimum.reduceat(one, at)[number], np.bincount(number)[number]
         bucket = np.uint64(group["bucket"].iloc[0])
         named = mixed((key.astype(np.uint64) << np.uint64(8) | length[at][number].astype(np.uint64)) * MIX + bucket).view(np.int64)
-        more = n > 1
+        more = (n > 2) | (n == 2) & (one != center)
         return pd.DataFrame({"key": named[more], "id": one[more], "center": center[more], "n": n[more]})
 
     packed = docs.selectExpr("cast(text as binary) text").mapInArrow(run, "bucket int, keys binary, ids binary, lengths binary")
@@ -271,6 +320,7 @@ def buckets_of(words: int) -> int:
 
 
 SIMS = [f"s{k}" for k in range(SIGNATURE)]
+BAGS = [f"b{k}" for k in range(BAG)]
 
 
 def close(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float) -> Column:
@@ -280,12 +330,12 @@ def close(a: Callable[[str], Column], b: Callable[[str], Column], similarity: fl
 
 
 def close_pairs(members: DataFrame, buckets: int, similarity: float) -> DataFrame:
-    """(key, id, length, SimHashes) -> the close pairs (a, b) within keys of at most FEW members."""
+    """(key, id, length, bags) -> the pairs (a, b) within keys of at most FEW members that may be similar."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["key", "id"])
         key, one, length = (group[c].to_numpy() for c in ("key", "id", "length"))
-        sims = group[SIMS].to_numpy().view(np.uint64)
+        bag = bag_of(group)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
         found = [np.zeros((0, 2), np.int64)]
@@ -294,9 +344,7 @@ def close_pairs(members: DataFrame, buckets: int, similarity: float) -> DataFram
             of, step = starts[sizes == n], max(1, PAIRS // len(i))
             for k in range(0, len(of), step):
                 a, b = ((of[k : k + step, None] + x).ravel() for x in (i, j))
-                fits = np.minimum(length[a], length[b]) >= similarity * np.maximum(length[a], length[b]) - 1e-9
-                a, b = a[fits], b[fits]
-                near = np.bitwise_count(sims[a] ^ sims[b]).sum(axis=1) <= MOST_DIFFERENT
+                near = bags_fit(a, b, bag, length, similarity)
                 found.append(np.unique(np.stack([one[a[near]], one[b[near]]], axis=1), axis=0))
         return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
 
@@ -304,26 +352,83 @@ def close_pairs(members: DataFrame, buckets: int, similarity: float) -> DataFram
     return members.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, "a long, b long")
 
 
-OCCURRENCES = "id0 long, th long, line int, hi long, lo long, length int"
+def bags_close(a: Callable[[str], Column], b: Callable[[str], Column], similarity: float) -> Column:
+    """As bags_fit(), of columns."""
+    longer, apart = F.greatest(a("length"), b("length")), F.abs(a("length") - b("length"))
+    edits = F.floor((1 - similarity) * longer + 1e-9)
+    most = F.when(longer - apart > LONG, MOST_DIFFERENT).when(longer > LONG, 64 * BAG).otherwise(2 * edits - apart)
+    return (apart <= edits) & (reduce(Column.__add__, [F.bit_count(a(c).bitwiseXOR(b(c))) for c in BAGS]) <= most)
+
+
+def bag_of(group: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(group[BAGS].to_numpy()).view(np.uint64)
+
+
+def with_partner(root: np.ndarray, length: np.ndarray, bag: np.ndarray, similarity: float) -> np.ndarray:
+    """Of each line, whether one of another root may be similar to it by its length and bag."""
+    order = np.argsort(length, kind="stable")
+    root, length, bag = root[order], length[order], bag[order]
+    found = np.zeros(len(root), bool)
+    for at in range(0, len(root), 64):
+        # Partners are sought among lines that are as long or longer, but not too long.
+        to = int(np.searchsorted(length, length[min(at + 63, len(root) - 1)] / similarity + 1, "right"))
+        one, two = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + 64, len(root))), np.arange(at, to), indexing="ij"))
+        other = root[one] != root[two]
+        one, two = one[other], two[other]
+        near = bags_fit(one, two, bag, length, similarity)
+        found[one[near]] = found[two[near]] = True
+    back = np.empty(len(order), bool)
+    back[order] = found
+    return back
+
+
+def open_families(families: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The rows of (center, id, root) that may have a link: of families up to FAMILY_BLOCK, those with a partner by their bags."""
+    sizes = families.groupBy("center").agg(F.count(F.lit(1)).alias("n"))
+    sized = saved(families.join(sizes, "center"), "sized")
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        found = with_partner(group["root"].to_numpy(), group["length"].to_numpy(), bag_of(group), similarity)
+        return group.loc[found, ["center", "id", "root"]]
+
+    few = sized.where(F.col("n") <= FAMILY_BLOCK).drop("n")
+    able = flagged(sketches, F.col("id"), membership(few.select("id")), "_maybe").where("_maybe").drop("_maybe")
+    few = few.join(able, "id")
+    met = few.groupBy("center").applyInPandas(run, "center long, id long, root long")
+    return saved(met.union(sized.where(F.col("n") > FAMILY_BLOCK).drop("n")), "open")
+
+
+OCCURRENCES = "id0 long, th long, line int, hi long, lo long, length int, " + ", ".join(f"{c} long" for c in BAGS)
+#: Bytes of lines whose bags are made at once.
+BYTES_AT_ONCE = 2**20
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
-    """Every line with a word: its place, a 128-bit hash of the normal form and its number of words."""
+    """Every line with a word: its place, a 128-bit hash of the normal form, its number of words and its bag."""
 
     def rows(batch: dict) -> dict:
         columns: list[list] = [[] for _ in range(6)]
+        made, waiting, size = [np.zeros((0, BAG), np.int64)], [], 0
         for id0, th, text in zip(batch["id0"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
             forms = [(k, form) for k, form in enumerate(normalised(text.as_py() or b"")) if form]
             if not forms:
                 continue
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b" ".join(f)) for _, f in forms), np.int64).reshape(-1, 2)
+            joined = [b" ".join(f) for _, f in forms]
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, joined)), np.int64).reshape(-1, 2)
             columns[0] += [id0] * len(forms)
             columns[1] += [th] * len(forms)
             columns[2] += [k for k, _ in forms]
             columns[3] += digests[:, 0].tolist()
             columns[4] += digests[:, 1].tolist()
             columns[5] += [len(f) for _, f in forms]
-        return dict(zip([c.split()[0] for c in OCCURRENCES.split(", ")], columns, strict=True))
+            waiting += joined
+            size += sum(map(len, joined))
+            if size > BYTES_AT_ONCE:
+                made.append(bags(waiting))
+                waiting, size = [], 0
+        if waiting:
+            made.append(bags(waiting))
+        return dict(zip([c.split()[0] for c in OCCURRENCES.split(", ")], [*columns, *np.concatenate(made).T], strict=True))
 
     return mapped(keyed(docs).selectExpr("id0", "th", "cast(text as binary) text"), rows, OCCURRENCES)
 
@@ -450,7 +555,7 @@ def compare_family(
 def family_squares(families: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
     """(center, id, root) and (id, form, SimHashes) -> the rows that are compared within (center, part, one, two).
 
-    Only lines that share one of their rarest words are compared. A large family is dealt out by these
+    Lines without a partner there, by their bags, are left out before any text is moved. Only lines that share one of their rarest words are compared. A large family is dealt out by these
     words: a line goes to at most as many parts as it has such words, however large the family.
     A part that one word makes large all the same is compared block by block.
     """
@@ -460,9 +565,19 @@ def family_squares(families: DataFrame, forms: DataFrame, similarity: float) ->
     def rarest(batch: pa.Array) -> pa.Array:
         return pa.array([first_words(f, similarity, ranks) for f in batch.to_pylist()], pa.list_(pa.int64()))
 
+    @F.arrow_udf("array<long>")
+    def bag(batch: pa.Array) -> pa.Array:
+        found = bags(batch.to_pylist()) if len(batch) else np.zeros((0, BAG), np.int64)
+        return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BAG).cast(pa.list_(pa.int64()))
+
+    def partners(group: pd.DataFrame) -> pd.DataFrame:
+        found = with_partner(group["root"].to_numpy(), group["length"].to_numpy(), bag_of(group), similarity)
+        return group.loc[found, ["center", "part", "one", "two", "id", "root", "tokens"]]
+
     # Most lines belong to no family: they stay where they are.
     wanted = flagged(forms, F.col("id"), membership(families.select("id")), "_maybe").where("_maybe").drop("_maybe")
-    tokens = saved(wanted.select("id", rarest("form").alias("rarest")), "tokens")
+    tokens = wanted.select("id", rarest("form").alias("rarest"), F.size(F.split(F.col("form").cast("string"), " ")).alias("length"), bag("form").alias("bag"))
+    tokens = saved(tokens.select("id", "rarest", "length", *[F.col("bag")[k].alias(b) for k, b in enumerate(BAGS)]), "tokens")
     n = F.count(F.lit(1))
     parts = families.groupBy("center").agg(
         F.when(n <= FAMILY_BLOCK, 1).otherwise(F.ceil(n * PARTS / FAMILY_BLOCK)).cast("long").alias("parts")
@@ -471,19 +586,23 @@ def family_squares(families: DataFrame, forms: DataFrame, similarity: float) ->
         families.join(saved(parts, "sizes"), "center").join(tokens, "id")
         .withColumn("part", F.explode(F.array_distinct(F.transform("rarest", lambda t: F.pmod(t, F.col("parts"))))))
         .withColumn("tokens", F.filter("rarest", lambda t: F.pmod(t, F.col("parts")) == F.col("part")))
-        .select("center", "part", "id", "root", "tokens"),
+        .select("center", "part", "id", "root", "tokens", "length", *BAGS),
         "dealt",
     )
     sizes = dealt.groupBy("center", "part").agg(
         F.ceil(n / FAMILY_BLOCK).cast("int").alias("blocks"), F.min("root").alias("low"), F.max("root").alias("high")
     )
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    return (
+    squares = (
         dealt.join(saved(sizes.where("low < high").drop("low", "high"), "sizes"), ["center", "part"]).withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("center", "part", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"), "id", "root", "tokens")
-        .join(wanted, "id")
+        .withColumns({"one": F.least("own", "other"), "two": F.greatest("own", "other")})
+        .select("center", "part", "one", "two", "id", "root", "tokens", "length", *BAGS)
     )
+    met = squares.groupBy("center", "part", "one", "two").applyInPandas(
+        partners, "center long, part long, one int, two int, id long, root long, tokens array<long>"
+    )
+    return saved(met, "met").join(wanted, "id")
 
 
 def family_links(families: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
@@ -508,32 +627,41 @@ def links(docs: DataFrame, forms: DataFrame, words: int, similarity: float) -> D
     smallest one. Members of those that are not connected by then are compared as families.
     """
     shared = shared_blocks(docs, words, similarity)
-    wanted = forms.join(shared.select("id").distinct(), "id").select("id", "first.id0", "first.th", "first.line")
+    sketches = forms.select("id", "length", *BAGS)
 
     @F.arrow_udf("array<long>")
     def signature(batch: pa.Array) -> pa.Array:
         found = simhashes(batch.to_pylist()) if len(batch) else np.zeros((0, SIGNATURE), np.int64)
         return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), SIGNATURE).cast(pa.list_(pa.int64()))
 
-    texts = forms_of(docs, wanted).where(F.length("form") > 0).withColumn("s", signature("form"))
-    length = F.size(F.split(F.col("form").cast("string"), " "))
-    texts = saved(texts.select("id", length.alias("length"), *[F.col("s")[k].alias(s) for k, s in enumerate(SIMS)], "form"), "texts")
+    def texts(ids: DataFrame) -> DataFrame:
+        """(id, length, SimHashes, form) of the ids."""
+        numbers = saved(ids.distinct(), "ids")
+        few = flagged(forms, F.col("id"), membership(numbers), "_maybe").where("_maybe")
+        wanted = few.join(numbers, "id").select("id", "first.id0", "first.th", "first.line")
+        found = forms_of(docs, wanted).where(F.length("form") > 0).withColumn("s", signature("form"))
+        length = F.size(F.split(F.col("form").cast("string"), " "))
+        return saved(found.select("id", length.alias("length"), *[F.col("s")[k].alias(s) for k, s in enumerate(SIMS)], "form"), "texts")
+
+    def side(table: DataFrame, letter: str) -> DataFrame:
+        return table.select(*[F.col(c).alias(letter if c == "id" else f"{letter}_{c}") for c in table.columns])
 
-    def side(letter: str, *names: str) -> DataFrame:
-        return texts.select(F.col("id").alias(letter), *[F.col(c).alias(f"{letter}_{c}") for c in names])
+    def of(letter: str) -> Callable[[str], Column]:
+        return lambda name: F.col(f"{letter}_{name}")
 
-    small = shared.where(F.col("n") <= FEW).select("key", "id").join(texts.drop("form"), "id")
-    stars = shared.where((F.col("n") > FEW) & (F.col("id") != F.col("center")))
+    small = shared.where((F.col("n") > 2) & (F.col("n") <= FEW)).select("key", "id").join(sketches, "id")
+    stars = shared.where(((F.col("n") > FEW) | (F.col("n") == 2)) & (F.col("id") != F.col("center")))
     stars = stars.select(F.col("center").alias("a"), F.col("id").alias("b")).distinct()
-    stars = stars.join(side("a", "length", *SIMS), "a").join(side("b", "length", *SIMS), "b")
-    stars = stars.where(close(lambda c: F.col(f"a_{c}"), lambda c: F.col(f"b_{c}"), similarity)).select("a", "b")
+    stars = stars.join(side(sketches, "a"), "a").join(side(sketches, "b"), "b")
+    stars = stars.where(bags_close(of("a"), of("b"), similarity)).select("a", "b")
     near = saved(close_pairs(small, buckets_of(words), similarity).union(stars).distinct(), "near")
 
     @F.arrow_udf("boolean")
     def same(one: pa.Array, two: pa.Array) -> pa.Array:
         return pa.array([similar(a.as_py(), b.as_py(), similarity) for a, b in zip(one, two, strict=True)], pa.bool_())
 
-    pairs = near.join(side("a", "form"), "a").join(side("b", "form"), "b")
+    paired = texts(near.select(F.col("a").alias("id")).union(near.select("b")))
+    pairs = near.join(side(paired, "a"), "a").join(side(paired, "b"), "b").where(close(of("a"), of("b"), similarity))
     found = saved(pairs.where(same("a_form", "b_form")).select("a", "b"), "links")
 
     roots = saved(components(found), "roots")
@@ -544,7 +672,9 @@ def links(docs: DataFrame, forms: DataFrame, words: int, similarity: float) -> D
     )
     still = members.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     many = saved(members.join(still, "key").select("center", "id", "root").distinct(), "families")
-    return found.union(saved(family_links(many, texts.drop("length"), similarity), "links"))
+    many = open_families(many, sketches, similarity)
+    more = saved(family_links(many, texts(many.select("id")).drop("length"), similarity), "links")
+    return roots.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)
 
 
 def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -553,18 +683,17 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     place = F.struct("id0", "th", "line")
     # Half of the hash names a form from here on.
     forms = saved(
-        seen.groupBy("hi", "lo").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", F.col("lo")),
+        seen.groupBy("hi", "lo").agg(
+            F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), *[F.first(c).alias(c) for c in ("length", *BAGS)]
+        ).withColumn("id", F.col("lo")),
         "forms",
     )
     words = seen.agg(F.sum("length")).first()[0] or 0
     roots = saved(components(links(docs, forms, words, similarity)), "roots")
-    grouped = forms.join(roots, forms.id == roots.node, "left")
+    grouped = forms.join(roots, forms.id == roots.node, "left").where("root is not null or n > 1")
+    grouped = saved(grouped.select("hi", "lo", "first", "root"), "grouped")
     firsts = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("group_first"))
-    keepers = saved(
-        grouped.where("root is not null or n > 1").join(firsts, "root", "left")
-        .select("hi", "lo", F.coalesce("group_first", "first").alias("keeper")),
-        "keepers",
-    )
+    keepers = grouped.join(firsts, "root", "left").select("hi", "lo", F.coalesce("group_first", "first").alias("keeper"))
     return seen.join(keepers, ["hi", "lo"]).where(place != F.col("keeper")).select("id0", "th", "line")
 
 

@@ -72,3 +72,49 @@ def test_a_family_is_compared_by_rare_words_and_not_by_its_square(spark, monkeyp
     assert got == {(3 * k, 200 + k) for k in range(67)}
     rarest = 3
     assert lines.family_squares(family, table.drop("length"), 0.8).count() <= 2 * rarest * len(forms)
+
+
+def test_bags_keep_all_similar_lines_and_drop_most_others():
+    rng = random.Random(3)
+    vocabulary = [f"w{k}" for k in range(3000)]
+    forms = []
+    for n in [4, 5, 8, 9, 12, 19, 24, 25, 30, 57, 100, 180] * 20:
+        base = rng.choices(vocabulary, [1 / (k + 20) for k in range(3000)], k=n)
+        forms += [" ".join(w).encode() for w in (base, edited(rng, base, n // 5), rng.choices(vocabulary, k=n))]
+    bag, length = lines.bags(forms).view(np.uint64), np.array([f.count(b" ") + 1 for f in forms])
+    one, two = (x.ravel() for x in np.triu_indices(len(forms), 1))
+    fits = lines.bags_fit(one, two, bag, length, 0.8)
+    same = np.array([lines.similar(forms[a], forms[b], 0.8) for a, b in zip(one, two, strict=True)])
+    assert same.sum() > 100 and not (same & ~fits).any()
+    assert fits.sum() < 3 * same.sum()
+    partner = lines.with_partner(np.arange(len(forms)), length, bag, 0.8)
+    assert set(np.flatnonzero(partner)) == set(one[fits]) | set(two[fits])
+
+
+def test_similar_lines_have_one_of_the_blocks_that_are_needed():
+    rng = random.Random(4)
+    for n in list(range(5, 27)) * 40:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        forms = [" ".join(w).encode() for w in (base, edited(rng, base, n // 5))]
+        if lines.similar(*forms, 0.8):
+            line, key, _ = lines.block_keys(forms)
+            assert set(key[line == 0]) & set(key[line == 1]), n
+    few = lines.block_keys([b"a b c d e f g h i"])[1]
+    assert len(few) == 6
+
+
+def test_texts_of_lines_without_a_candidate_are_not_fetched(spark, monkeypatch):
+    made = np.random.default_rng(8)
+    # All lines share a passage, so all share blocks; one is nearly a copy of another.
+    texts = ["we ship it all today " + " ".join(made.choice(10**6, 20).astype(str)) for _ in range(80)]
+    texts.append(texts[0] + " more")
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    fetched, before = [], lines.forms_of
+
+    def counted(docs, wanted):
+        fetched.append(wanted.count())
+        return before(docs, wanted)
+
+    monkeypatch.setattr(lines, "forms_of", counted)
+    assert [r.id0 for r in lines.removed_lines(docs).collect()] == [80]
+    assert sum(fetched) <= 4
