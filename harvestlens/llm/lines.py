@@ -55,6 +55,8 @@ SHORT = 7
 BUCKET, GATHERED = 2**20, 2**18
 #: Bits of a block's key, and lines whose blocks are sorted at once: both share a number of 64 bits.
 KEY_BITS, AT_ONCE = 50, 2**14
+#: Bytes of lines whose bags or SimHashes are made at once, and those that a line counts for at least.
+BYTES_AT_ONCE, LEAST_BYTES = 2**20, 128
 #: Lengths travel as powers of this.
 STEP = 1.05
 #: Members of a block up to which its pairs are made one by one, by the SimHashes alone; pairs made at once.
@@ -168,6 +170,18 @@ def bags(forms: list[bytes]) -> np.ndarray:
     return found
 
 
+def by_parts(made: Callable[[list[bytes]], np.ndarray], forms: list[bytes]) -> np.ndarray:
+    """The numbers that ``made`` finds for each form, for BYTES_AT_ONCE of forms at a time: its arrays, and the powers kept, stay small."""
+    found, part, size = [np.zeros((0, SIGNATURE), np.int64)], [], 0
+    for form in forms:
+        part.append(form)
+        size += max(len(form), LEAST_BYTES)
+        if size > BYTES_AT_ONCE:
+            found.append(made(part))
+            part, size = [], 0
+    return np.concatenate([*found, made(part)] if part else found)
+
+
 def bags_fit(one: np.ndarray, two: np.ndarray, bag: np.ndarray, length: np.ndarray, similarity: float) -> np.ndarray:
     """Whether the lines at places ``one`` and ``two`` may be similar by their lengths and bags."""
     longer, shorter = np.maximum(length[one], length[two]), np.minimum(length[one], length[two])
@@ -399,8 +413,6 @@ def open_families(families: DataFrame, sketches: DataFrame, similarity: float) -
 
 
 OCCURRENCES = "id0 long, th long, line int, hi long, lo long, length int, " + ", ".join(f"{c} long" for c in BAGS)
-#: Bytes of lines whose bags are made at once.
-BYTES_AT_ONCE = 2**20
 
 
 def occurrences(docs: DataFrame) -> DataFrame:
@@ -422,12 +434,11 @@ def occurrences(docs: DataFrame) -> DataFrame:
             columns[4] += digests[:, 1].tolist()
             columns[5] += [len(f) for _, f in forms]
             waiting += joined
-            size += sum(map(len, joined))
+            size += sum(max(len(f), LEAST_BYTES) for f in joined)
             if size > BYTES_AT_ONCE:
-                made.append(bags(waiting))
+                made.append(by_parts(bags, waiting))
                 waiting, size = [], 0
-        if waiting:
-            made.append(bags(waiting))
+        made.append(by_parts(bags, waiting))
         return dict(zip([c.split()[0] for c in OCCURRENCES.split(", ")], [*columns, *np.concatenate(made).T], strict=True))
 
     return mapped(keyed(docs).selectExpr("id0", "th", "cast(text as binary) text"), rows, OCCURRENCES)
@@ -567,7 +578,7 @@ def family_squares(families: DataFrame, forms: DataFrame, similarity: float) ->
 
     @F.arrow_udf("array<long>")
     def bag(batch: pa.Array) -> pa.Array:
-        found = bags(batch.to_pylist()) if len(batch) else np.zeros((0, BAG), np.int64)
+        found = by_parts(bags, batch.to_pylist())
         return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BAG).cast(pa.list_(pa.int64()))
 
     def partners(group: pd.DataFrame) -> pd.DataFrame:
@@ -631,7 +642,7 @@ def links(docs: DataFrame, forms: DataFrame, words: int, similarity: float) -> D
 
     @F.arrow_udf("array<long>")
     def signature(batch: pa.Array) -> pa.Array:
-        found = simhashes(batch.to_pylist()) if len(batch) else np.zeros((0, SIGNATURE), np.int64)
+        found = by_parts(simhashes, batch.to_pylist())
         return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), SIGNATURE).cast(pa.list_(pa.int64()))
 
     def texts(ids: DataFrame) -> DataFrame:

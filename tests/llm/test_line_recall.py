@@ -118,3 +118,17 @@ def test_texts_of_lines_without_a_candidate_are_not_fetched(spark, monkeypatch):
     monkeypatch.setattr(lines, "forms_of", counted)
     assert [r.id0 for r in lines.removed_lines(docs).collect()] == [80]
     assert sum(fetched) <= 4
+
+
+def test_signatures_of_many_lines_are_made_in_parts(monkeypatch):
+    monkeypatch.setattr(lines, "BYTES_AT_ONCE", 1000)
+    forms = [b"line %d of some words" % k for k in range(50)]
+    sizes = []
+
+    def made(part):
+        sizes.append(len(part))
+        return lines.bags(part)
+
+    assert (lines.by_parts(made, forms) == lines.bags(forms)).all()
+    assert sum(sizes) == 50 and max(sizes) <= 8
+    assert lines.by_parts(made, []).shape == (0, lines.BAG)
