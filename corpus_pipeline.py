@@ -7,22 +7,36 @@ their input; ``n_chars`` follows the text where a stage changes it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from harvestlens.llm import lines, mixing, neardup, packing, quality
 from harvestlens.llm.common import saved
-from harvestlens.session import table
+from harvestlens.session import small_batches, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def stage(run: Stage) -> Stage:
+    """A stage whose rows travel in small batches, also when its result is written: executors keep what memory they once took."""
+
+    @wraps(run)
+    def started(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        small_batches(spark)
+        return run(spark, docs, sf_dir)
+
+    return started
+
+
+@stage
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality.good_documents(docs)
 
 
+@stage
 def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Near copies of lines go; a document goes if no word is left of what it had."""
     done = lines.deduplicated(docs)
@@ -32,16 +46,19 @@ def unique_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return done.where(~F.coalesce(emptied, F.lit(False))).select(*docs.columns)
 
 
+@stage
 def unique_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies (five-word shingles, similarity 0.8) one document stays."""
     return neardup.one_of_each(docs)
 
 
+@stage
 def weighted_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: a document stays as often as it is taken."""
     return mixing.mix(docs)
 
 
+@stage
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' pieces, packed into sequences."""
     import public_tokenizers
@@ -64,6 +81,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), name)
+    for name, do in STAGES:
+        docs = saved(do(spark, docs, sf_dir), name)
     return docs

@@ -29,7 +29,7 @@ LONGS = MINIMA * BITS // 64
 #: The estimate may fall short of the threshold by this much: over six standard deviations at 0.8.
 MARGIN = 0.25
 #: Words whose hash is remembered in a task; then the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 MIX, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 SEEDS = np.random.default_rng(20).integers(0, 2**63, (2, MINIMA), dtype=np.uint64) * np.uint64(2) + np.uint64(1)

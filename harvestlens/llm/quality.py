@@ -28,7 +28,7 @@ SAMPLE = 8_000
 #: Places of the hashed features. The first is the repetition of the word before.
 DIMENSIONS = 4096
 #: Words whose shape is remembered in a task; then the memory is emptied.
-REMEMBERED = 400_000
+REMEMBERED = 100_000
 
 SHAPES = bytes(
     65 if 65 <= b <= 90 else 97 if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b for b in range(256)
@@ -194,8 +194,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     limit = int(most * min(1.0, sample / max(1.0, counts.sum())))
     chosen = docs.where(F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(most)) < limit)
 
+    state: list[Shapes] = []
+
     def hashed(batch: dict) -> dict:
-        shapes, out = Shapes(), {"places": [], "values": [], "label": []}
+        shapes = state[0] if state else state.append(Shapes()) or state[0]
+        out: dict[str, list] = {"places": [], "values": [], "label": []}
         for text in batch["text"]:
             text, words, repeats = parts(text.as_py())
             places, values = features(words, repeats, shapes)
@@ -221,9 +224,12 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
 def score(text: Column, model: Model) -> Column:
     """The scorer as a column: chance of good, from the whole text."""
 
+    state: list[Shapes] = []
+
     @F.arrow_udf("double")
     def run(texts: pa.Array) -> pa.Array:
-        shapes = Shapes()
+        # A task remembers the shapes from batch to batch.
+        shapes = state[0] if state else state.append(Shapes()) or state[0]
         return pa.array([model.score(t.as_py(), shapes) for t in texts], pa.float64())
 
     return run(text.cast("binary"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import __spark_entry__ as entry
 import corpus_pipeline
@@ -72,3 +73,14 @@ def test_all_operators_are_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
     assert "pipeline" in entry.queries()
+
+
+def test_stages_send_texts_to_python_in_small_batches(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.nbytes], pa.int64())})
+
+    docs = spark.range(0, 3000, 1, 1).selectExpr("repeat('x', 10000) text")
+    made = corpus_pipeline.stage(lambda spark, docs, sf_dir: docs.mapInArrow(sizes, "n long"))(spark, docs, "")
+    found = [r.n for r in made.collect()]
+    assert sum(found) >= 30_000_000 and max(found) < 5_000_000
