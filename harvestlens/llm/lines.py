@@ -449,28 +449,22 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(id, form) of the wanted (id, id0, th, line): lines are moved, and only those that may be wanted."""
+    """(id, length, SimHashes, form) of the wanted (id, id0, th, line): only lines that may be wanted are moved or reach Python."""
     places = saved(wanted, "wanted")
     place = F.xxhash64("id0", "th", "line")
+    split = F.posexplode(F.split("text", "\n")).alias("line", "raw")
+    lines = flagged(keyed(docs.select("doc_id", "text")).select("id0", "th", split), place, membership(places.select(place)), "_maybe")
+    # Rows equal in doc_id and text have the same places.
+    found = lines.where("_maybe").join(places, ["id0", "th", "line"]).dropDuplicates(["id0", "th", "line"])
 
     def rows(batch: dict) -> dict:
-        columns: list[list] = [[] for _ in range(5)]
-        for id0, th, text in zip(batch["id0"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
-            forms = [(k, b" ".join(w)) for k, w in enumerate(normalised(text.as_py() or b"")) if len(w) > 3]
-            columns[0] += [id0] * len(forms)
-            columns[1] += [th] * len(forms)
-            columns[2] += [k for k, _ in forms]
-            # The low half of a form's hash names it, as in occurrences().
-            columns[3] += [int.from_bytes(xxhash.xxh3_128_digest(f)[8:], "little", signed=True) for _, f in forms]
-            columns[4] += [f for _, f in forms]
-        return dict(zip(("id0", "th", "line", "id", "form"), columns, strict=True))
-
-    lines = mapped(
-        keyed(docs.select("doc_id", "text")).selectExpr("id0", "th", "cast(text as binary) text"), rows,
-        "id0 long, th long, line int, id long, form binary",
-    )
-    found = flagged(lines, place, membership(places.select(place)), "_maybe").where("_maybe").select("id", "form")
-    return found.join(places.select("id"), "id", "left_semi").dropDuplicates(["id"])
+        words = [normalised(raw.as_py())[0] for raw in batch["raw"]]
+        forms = [b" ".join(w) for w in words]
+        made = by_parts(simhashes, forms).T
+        return {"id": batch["id"], "length": [len(w) for w in words], **dict(zip(SIMS, made, strict=True)), "form": forms}
+
+    schema = "id long, length int, " + ", ".join(f"{s} long" for s in SIMS) + ", form binary"
+    return mapped(found.selectExpr("id", "cast(raw as binary) raw"), rows, schema)
 
 
 def each_time(form: bytes) -> list[tuple[bytes, int]]:
@@ -640,19 +634,12 @@ def links(docs: DataFrame, forms: DataFrame, words: int, similarity: float) -> D
     shared = shared_blocks(docs, words, similarity)
     sketches = forms.select("id", "length", *BAGS)
 
-    @F.arrow_udf("array<long>")
-    def signature(batch: pa.Array) -> pa.Array:
-        found = by_parts(simhashes, batch.to_pylist())
-        return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), SIGNATURE).cast(pa.list_(pa.int64()))
-
     def texts(ids: DataFrame) -> DataFrame:
         """(id, length, SimHashes, form) of the ids."""
         numbers = saved(ids.distinct(), "ids")
         few = flagged(forms, F.col("id"), membership(numbers), "_maybe").where("_maybe")
         wanted = few.join(numbers, "id").select("id", "first.id0", "first.th", "first.line")
-        found = forms_of(docs, wanted).where(F.length("form") > 0).withColumn("s", signature("form"))
-        length = F.size(F.split(F.col("form").cast("string"), " "))
-        return saved(found.select("id", length.alias("length"), *[F.col("s")[k].alias(s) for k, s in enumerate(SIMS)], "form"), "texts")
+        return saved(forms_of(docs, wanted), "texts")
 
     def side(table: DataFrame, letter: str) -> DataFrame:
         return table.select(*[F.col(c).alias(letter if c == "id" else f"{letter}_{c}") for c in table.columns])
@@ -728,8 +715,13 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     cut = rows.where("maybe").join(gone, ["id0", "th"], "left").select("row", "gone")
     old = F.col("row")[f"c{columns.index('text')}"]
     split = F.split(old, "\n")
-    stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("gone")))
-    text = F.when(F.col("gone").isNull(), old).otherwise(F.array_join(F.transform(stay, lambda i: F.get(split, i)), "\n"))
+
+    def joined(parts: Column) -> Column:
+        stay = F.array_sort(F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("gone")))
+        return F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+
+    # As an argument the lines are split once for a text; within the inner function they would be for each line.
+    text = F.when(F.col("gone").isNull(), old).otherwise(F.get(F.transform(F.array(split), joined), F.lit(0)))
     return same.union(cut).select(
         *[(text if c == "text" else F.col("row")[f"c{k}"]).alias(c) for k, c in enumerate(columns)],
         F.coalesce(F.size("gone"), F.lit(0)).alias("n_removed"),

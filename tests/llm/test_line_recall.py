@@ -132,3 +132,21 @@ def test_signatures_of_many_lines_are_made_in_parts(monkeypatch):
     assert (lines.by_parts(made, forms) == lines.bags(forms)).all()
     assert sum(sizes) == 50 and max(sizes) <= 8
     assert lines.by_parts(made, []).shape == (0, lines.BAG)
+
+
+def test_forms_of_wanted_lines_are_found_by_place(spark):
+    text = "One, two THREE four\n\nfive six - seven eight\r\n"
+    docs = spark.createDataFrame([(1, text), (1, text), (None, "a b c d"), (2, None)], "doc_id long, text string")
+    wanted = lines.keyed(docs).where("id0 = 1").selectExpr("7L id", "id0", "th", "2 line").distinct()
+    (got,) = lines.forms_of(docs, wanted).collect()
+    assert (got.id, got.length, bytes(got.form)) == (7, 4, b"five six seven eight")
+    assert [got[s] for s in lines.SIMS] == lines.simhashes([b"five six seven eight"])[0].tolist()
+
+
+def test_a_text_is_split_once_whatever_lines_it_loses(spark):
+    copy = "seen before in all texts"
+    docs = spark.createDataFrame([(1, copy), (2, f"{copy}\n1.\n\nSeen before, in all texts!\n2.\n")], "doc_id long, text string")
+    done = lines.deduplicated(docs)
+    # A split within the inner function would be made for each line that stays.
+    assert "get(split(" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((r.doc_id, r.text, r.n_removed) for r in done.collect()) == [(1, copy, 0), (2, "1.\n\n2.\n", 2)]
