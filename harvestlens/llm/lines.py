@@ -27,7 +27,8 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache, reduce
-from itertools import islice
+from itertools import accumulate, islice
+from operator import add, ne
 
 import numpy as np
 import pandas as pd
@@ -56,18 +57,20 @@ BUCKET, GATHERED = 2**20, 2**18
 #: Bits of a block's key, and lines whose blocks are sorted at once: both share a number of 64 bits.
 KEY_BITS, AT_ONCE = 50, 2**14
 #: Bytes of lines whose bags or SimHashes are made at once, and those that a line counts for at least.
-BYTES_AT_ONCE, LEAST_BYTES = 2**20, 128
+BYTES_AT_ONCE, LEAST_BYTES = 2**18, 128
 #: Lengths travel as powers of this.
 STEP = 1.05
 #: Members of a block up to which its pairs are made one by one, by the SimHashes alone; pairs made at once.
 FEW, PAIRS = 64, 2**20
 #: Members of a family that are compared with as many others in one task step.
 FAMILY_BLOCK = 4096
+#: Lines that lines are compared with at once, which keeps the numbers within a processor's cache.
+WIDE = 2048
 #: Parts of a large family, for every FAMILY_BLOCK of its members.
 PARTS = 4
 #: Words that are ranked by their frequency, which one of RANKED_OF lines tells.
 COMMON, RANKED_OF = 2**14, 64
-KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "-/_|" else c for c in range(256))
+KEEP = bytes(c + 32 if 65 <= c <= 90 else 32 if chr(c) in "-/_|\t\v\f\r" else c for c in range(256))
 #: The bits of a byte as eight counters.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
 #: Hash values of bytes, and the base of the polynomials that make words of them.
@@ -76,9 +79,17 @@ BASE = 0x9E3779B97F4A7C15
 DROP = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "-/_|")
 
 
+def forms_in(text: bytes) -> list[bytes]:
+    """Each line of a text in normal form; empty for lines without a letter or digit."""
+    text = text.translate(KEEP, DROP)
+    while b"  " in text:
+        text = text.replace(b"  ", b" ")
+    return [line.strip(b" ") for line in text.split(b"\n")]
+
+
 def normalised(text: bytes) -> list[list[bytes]]:
     """The words of each line of a text in normal form; none for lines without a letter or digit."""
-    return [line.split() for line in text.translate(KEEP, DROP).split(b"\n")]
+    return [form.split() for form in forms_in(text)]
 
 
 def edit_distance(a: list, b: list) -> int:
@@ -106,6 +117,14 @@ def similar(a: bytes, b: bytes, similarity: float) -> bool:
     most = int((1 - similarity) * max(len(one), len(two)) + 1e-9)
     if abs(len(one) - len(two)) > most:
         return False
+    # Edits suffice that change words in place, up to some place counted from the start and then from the end.
+    starts, ends = list(map(ne, one, two)), list(map(ne, reversed(one), reversed(two)))
+    in_place = map(add, accumulate(starts, initial=0), reversed(list(accumulate(ends, initial=0))))
+    if min(in_place) + abs(len(one) - len(two)) <= most:
+        return True
+    # Words that both begin or end with take none.
+    start, end = starts.index(True), ends.index(True)
+    one, two = one[start : len(one) - end], two[start : len(two) - end]
     # Words that the lines do not have in common take an edit each, whatever their order.
     common = sum((Counter(one) & Counter(two)).values())
     return max(len(one), len(two)) - common <= most and edit_distance(one, two) <= most
@@ -284,8 +303,8 @@ def shared_blocks(docs: DataFrame, words: int, similarity: float) -> DataFrame:
             for start in range(0, batch.num_rows, 256):
                 forms: dict[bytes, bytes] = {}
                 for text in batch.column(0).slice(start, 256):
-                    for w in normalised(text.as_py() or b""):
-                        if len(w) > 3 and (d := xxhash.xxh3_128_digest(form := b" ".join(w))) not in seen:
+                    for form in forms_in(text.as_py() or b""):
+                        if form.count(b" ") > 2 and (d := xxhash.xxh3_128_digest(form)) not in seen:
                             forms[d] = form
                             seen.add(d)
                     if len(forms) > AT_ONCE // 2:
@@ -352,15 +371,19 @@ def close_pairs(members: DataFrame, buckets: int, similarity: float) -> DataFram
         bag = bag_of(group)
         starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
         sizes = np.diff(np.r_[starts, len(key)])
-        found = [np.zeros((0, 2), np.int64)]
+        found = [(one[:0], one[:0])]
         for n in np.unique(sizes[sizes > 1]):
             i, j = np.triu_indices(n, 1)
             of, step = starts[sizes == n], max(1, PAIRS // len(i))
             for k in range(0, len(of), step):
                 a, b = ((of[k : k + step, None] + x).ravel() for x in (i, j))
                 near = bags_fit(a, b, bag, length, similarity)
-                found.append(np.unique(np.stack([one[a[near]], one[b[near]]], axis=1), axis=0))
-        return pd.DataFrame(np.unique(np.concatenate(found), axis=0), columns=["a", "b"])
+                found.append((one[a[near]], one[b[near]]))
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((b, a))
+        a, b = a[order], b[order]
+        new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)]
+        return pd.DataFrame({"a": a[new], "b": b[new]})
 
     bucket = F.pmod(F.xxhash64("key"), F.lit(buckets))
     return members.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(run, "a long, b long")
@@ -381,16 +404,35 @@ def bag_of(group: pd.DataFrame) -> np.ndarray:
 def with_partner(root: np.ndarray, length: np.ndarray, bag: np.ndarray, similarity: float) -> np.ndarray:
     """Of each line, whether one of another root may be similar to it by its length and bag."""
     order = np.argsort(length, kind="stable")
-    root, length, bag = root[order], length[order], bag[order]
+    root, length, bag = root[order], length[order].astype(np.int64), bag[order]
+    words = np.ascontiguousarray(bag.T)
+    # What bags_fit() allows: a share of the longer line and one of the shorter.
+    edits = ((1 - similarity) * length + 1e-9).astype(np.int64)
+    longer = np.where(length > LONG, 64 * BAG, 2 * edits - length).astype(np.int16)
+    shorter = np.minimum(length, LONG).astype(np.int16)
     found = np.zeros(len(root), bool)
     for at in range(0, len(root), 64):
         # Partners are sought among lines that are as long or longer, but not too long.
-        to = int(np.searchsorted(length, length[min(at + 63, len(root) - 1)] / similarity + 1, "right"))
-        one, two = (x.ravel() for x in np.meshgrid(np.arange(at, min(at + 64, len(root))), np.arange(at, to), indexing="ij"))
-        other = root[one] != root[two]
-        one, two = one[other], two[other]
-        near = bags_fit(one, two, bag, length, similarity)
-        found[one[near]] = found[two[near]] = True
+        end = min(at + 64, len(root))
+        to = int(np.searchsorted(length, length[end - 1] / similarity + 1, "right"))
+        for start in range(at, to, WIDE):
+            others = slice(start, min(start + WIDE, to))
+            differ = np.zeros((end - at, others.stop - start), np.int16)
+            most = shorter[at:end, None] + longer[others]
+            if length[end - 1] > LONG:
+                most[length[at:end] > LONG] = MOST_DIFFERENT
+            for w in words:
+                differ += np.bitwise_count(w[at:end, None] ^ w[others])
+                near = differ <= most
+                # Once few are left, they are tested one by one.
+                if np.count_nonzero(near) * 32 < near.size:
+                    break
+            one, two = np.nonzero(near)
+            one, two = one + at, two + start
+            other = root[one] != root[two]
+            one, two = one[other], two[other]
+            near = bags_fit(one, two, bag, length, similarity)
+            found[one[near]] = found[two[near]] = True
     back = np.empty(len(order), bool)
     back[order] = found
     return back
@@ -419,27 +461,23 @@ def occurrences(docs: DataFrame) -> DataFrame:
     """Every line with a word: its place, a 128-bit hash of the normal form, its number of words and its bag."""
 
     def rows(batch: dict) -> dict:
-        columns: list[list] = [[] for _ in range(6)]
-        made, waiting, size = [np.zeros((0, BAG), np.int64)], [], 0
-        for id0, th, text in zip(batch["id0"].to_pylist(), batch["th"].to_pylist(), batch["text"], strict=True):
-            forms = [(k, form) for k, form in enumerate(normalised(text.as_py() or b"")) if form]
-            if not forms:
-                continue
-            joined = [b" ".join(f) for _, f in forms]
-            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, joined)), np.int64).reshape(-1, 2)
-            columns[0] += [id0] * len(forms)
-            columns[1] += [th] * len(forms)
-            columns[2] += [k for k, _ in forms]
-            columns[3] += digests[:, 0].tolist()
-            columns[4] += digests[:, 1].tolist()
-            columns[5] += [len(f) for _, f in forms]
-            waiting += joined
-            size += sum(max(len(f), LEAST_BYTES) for f in joined)
-            if size > BYTES_AT_ONCE:
+        found, digests, lengths, made = [], [], [], [np.zeros((0, BAG), np.int64)]
+        waiting, size = [], 0
+        for k, text in enumerate(batch["text"]):
+            forms = forms_in(text.as_py() or b"")
+            found += [(k, line) for line, form in enumerate(forms) if form]
+            waiting += filter(None, forms)
+            size += sum(max(len(f), LEAST_BYTES) for f in forms if f)
+            if size > BYTES_AT_ONCE or k == len(batch["text"]) - 1:
+                digests += map(xxhash.xxh3_128_digest, waiting)
+                lengths += [f.count(b" ") + 1 for f in waiting]
                 made.append(by_parts(bags, waiting))
                 waiting, size = [], 0
-        made.append(by_parts(bags, waiting))
-        return dict(zip([c.split()[0] for c in OCCURRENCES.split(", ")], [*columns, *np.concatenate(made).T], strict=True))
+        text, line = np.array(found, np.int64).reshape(-1, 2).T
+        hi, lo = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).T
+        ids = [batch[c].to_numpy(zero_copy_only=False)[text] for c in ("id0", "th")]
+        columns = [*ids, line.astype(np.int32), hi, lo, np.array(lengths, np.int32), *np.concatenate(made).T]
+        return dict(zip([c.split()[0] for c in OCCURRENCES.split(", ")], columns, strict=True))
 
     return mapped(keyed(docs).selectExpr("id0", "th", "cast(text as binary) text"), rows, OCCURRENCES)
 
@@ -453,15 +491,17 @@ def forms_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     places = saved(wanted, "wanted")
     place = F.xxhash64("id0", "th", "line")
     split = F.posexplode(F.split("text", "\n")).alias("line", "raw")
-    lines = flagged(keyed(docs.select("doc_id", "text")).select("id0", "th", split), place, membership(places.select(place)), "_maybe")
+    # Only texts that may have a wanted line are split.
+    text = F.xxhash64("id0", "th")
+    texts = flagged(keyed(docs.select("doc_id", "text")), text, membership(places.select(text)), "_maybe").where("_maybe")
+    lines = flagged(texts.select("id0", "th", split), place, membership(places.select(place)), "_maybe")
     # Rows equal in doc_id and text have the same places.
     found = lines.where("_maybe").join(places, ["id0", "th", "line"]).dropDuplicates(["id0", "th", "line"])
 
     def rows(batch: dict) -> dict:
-        words = [normalised(raw.as_py())[0] for raw in batch["raw"]]
-        forms = [b" ".join(w) for w in words]
+        forms = [forms_in(raw.as_py())[0] for raw in batch["raw"]]
         made = by_parts(simhashes, forms).T
-        return {"id": batch["id"], "length": [len(w) for w in words], **dict(zip(SIMS, made, strict=True)), "form": forms}
+        return {"id": batch["id"], "length": [f.count(b" ") + 1 for f in forms], **dict(zip(SIMS, made, strict=True)), "form": forms}
 
     schema = "id long, length int, " + ", ".join(f"{s} long" for s in SIMS) + ", form binary"
     return mapped(found.selectExpr("id", "cast(raw as binary) raw"), rows, schema)
@@ -512,6 +552,33 @@ def pairs_within(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.nda
         at = to
 
 
+def members_of(tokens: list, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The lines of all tokens, those of a token in a row by length, and where the tokens of several lines start and how many they have."""
+    owner = np.repeat(np.arange(len(tokens)), [len(t) for t in tokens])
+    token = np.concatenate([np.asarray(t, np.int64) for t in tokens])
+    by = np.lexsort((owner, lengths[owner], token))
+    token, owner = token[by], owner[by]
+    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
+    sizes = np.diff(np.r_[starts, len(token)])
+    return owner, starts[sizes > 1], sizes[sizes > 1]
+
+
+def with_partner_by_word(root: np.ndarray, length: np.ndarray, bag: np.ndarray, tokens: list, similarity: float) -> np.ndarray:
+    """As with_partner(), among lines with a token in common."""
+    owner, starts, sizes = members_of(tokens, length)
+    found, few = np.zeros(len(root), bool), sizes <= FEW
+    for a, b in pairs_within(sizes[few], starts[few]):
+        one, two = owner[a], owner[b]
+        other = root[one] != root[two]
+        one, two = one[other], two[other]
+        near = bags_fit(one, two, bag, length, similarity)
+        found[one[near]] = found[two[near]] = True
+    for start, size in zip(starts[~few], sizes[~few], strict=True):
+        lines = owner[start : start + size]
+        found[lines[with_partner(root[lines], length[lines], bag[lines], similarity)]] = True
+    return found
+
+
 def compare_family(
     ids: list, roots: list, forms: list[bytes], sims: np.ndarray, similarity: float, tokens: list | None = None
 ) -> list[tuple[int, int]]:
@@ -523,14 +590,7 @@ def compare_family(
     sims = np.ascontiguousarray(sims, np.int64).view(np.uint64)  # of signed numbers, bits are counted without the sign
     order, at = np.unique(np.array(roots), return_inverse=True)
     joined = np.arange(len(order))  # the current root of each root
-    owner = np.repeat(np.arange(len(ids)), [len(t) for t in tokens])
-    token = np.concatenate([np.asarray(t, np.int64) for t in tokens])
-    # Members of a token by length: partners that are too long for one are left out with all behind them.
-    by = np.lexsort((owner, lengths[owner], token))
-    token, owner = token[by], owner[by]
-    starts = np.flatnonzero(np.r_[True, token[1:] != token[:-1]])
-    sizes = np.diff(np.r_[starts, len(token)])
-    several = sizes > 1
+    owner, starts, sizes = members_of(tokens, lengths)
     links, bags = [], {}
 
     def in_common(x: int, y: int) -> int:
@@ -539,7 +599,7 @@ def compare_family(
                 bags[k] = frozenset(each_time(forms[k]))
         return len(bags[x] & bags[y])
 
-    for a, b in pairs_within(sizes[several], starts[several]):
+    for a, b in pairs_within(sizes, starts):
         one, two = owner[a], owner[b]
         fits = (joined[at[one]] != joined[at[two]]) & (lengths[two] - lengths[one] <= most[two])
         one, two = one[fits], two[fits]
@@ -547,7 +607,8 @@ def compare_family(
         for k in range(sims.shape[1]):
             differ += np.bitwise_count(sims[one, k] ^ sims[two, k])
         near = differ <= MOST_DIFFERENT
-        for x, y in np.unique(np.stack([one[near], two[near]], axis=1), axis=0).tolist():
+        pairs = np.unique(one[near] * len(ids) + two[near])
+        for x, y in zip((pairs // len(ids)).tolist(), (pairs % len(ids)).tolist(), strict=True):
             # Words that two lines do not have in common take an edit each. The second line is the longer.
             if joined[at[x]] == joined[at[y]] or lengths[y] - in_common(x, y) > most[y]:
                 continue
@@ -560,8 +621,8 @@ def compare_family(
 def family_squares(families: DataFrame, forms: DataFrame, similarity: float) -> DataFrame:
     """(center, id, root) and (id, form, SimHashes) -> the rows that are compared within (center, part, one, two).
 
-    Lines without a partner there, by their bags, are left out before any text is moved. Only lines that share one of their rarest words are compared. A large family is dealt out by these
-    words: a line goes to at most as many parts as it has such words, however large the family.
+    Only lines that share one of their rarest words are compared; those without such a partner there, by
+    their bags, are left out before any text is moved. A large family is dealt out by these words: a line goes to at most as many parts as it has such words, however large the family.
     A part that one word makes large all the same is compared block by block.
     """
     ranks = common_words(forms)
@@ -576,7 +637,7 @@ def family_squares(families: DataFrame, forms: DataFrame, similarity: float) ->
         return pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BAG).cast(pa.list_(pa.int64()))
 
     def partners(group: pd.DataFrame) -> pd.DataFrame:
-        found = with_partner(group["root"].to_numpy(), group["length"].to_numpy(), bag_of(group), similarity)
+        found = with_partner_by_word(group["root"].to_numpy(), group["length"].to_numpy(), bag_of(group), group["tokens"].tolist(), similarity)
         return group.loc[found, ["center", "part", "one", "two", "id", "root", "tokens"]]
 
     # Most lines belong to no family: they stay where they are.
@@ -688,11 +749,14 @@ def removed_lines(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     )
     words = seen.agg(F.sum("length")).first()[0] or 0
     roots = saved(components(links(docs, forms, words, similarity)), "roots")
-    grouped = forms.join(roots, forms.id == roots.node, "left").where("root is not null or n > 1")
+    # Most forms have no copy: they and their lines stay where they are.
+    copied = flagged(forms, F.col("id"), membership(roots.select("node")), "_maybe").where("_maybe or n > 1")
+    grouped = copied.join(roots, copied.id == roots.node, "left").where("root is not null or n > 1")
     grouped = saved(grouped.select("hi", "lo", "first", "root"), "grouped")
     firsts = grouped.where("root is not null").groupBy("root").agg(F.min("first").alias("group_first"))
     keepers = grouped.join(firsts, "root", "left").select("hi", "lo", F.coalesce("group_first", "first").alias("keeper"))
-    return seen.join(keepers, ["hi", "lo"]).where(place != F.col("keeper")).select("id0", "th", "line")
+    copies = flagged(seen, F.col("lo"), membership(grouped.select("lo")), "_maybe").where("_maybe")
+    return copies.join(keepers, ["hi", "lo"]).where(place != F.col("keeper")).select("id0", "th", "line")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
@@ -705,7 +769,8 @@ def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """
     columns = [c for c in docs.columns if c != "n_removed"]
     gone = saved(
-        removed_lines(docs, similarity).distinct().groupBy("id0", "th").agg(F.collect_list("line").alias("gone")), "gone"
+        removed_lines(docs, similarity).repartition("id0", "th").distinct().groupBy("id0", "th").agg(F.collect_list("line").alias("gone")),
+        "gone",
     )
     # The caller's columns wait in one struct: no name of theirs can clash.
     whole = F.struct(*[docs[c].alias(f"c{k}") for k, c in enumerate(columns)]).alias("row")

@@ -150,3 +150,50 @@ def test_a_text_is_split_once_whatever_lines_it_loses(spark):
     # A split within the inner function would be made for each line that stays.
     assert "-1)[lambda" not in done._jdf.queryExecution().optimizedPlan().toString()
     assert sorted((r.doc_id, r.text, r.n_removed) for r in done.collect()) == [(1, copy, 0), (2, "1.\n\n2.\n", 2)]
+
+
+def test_only_lines_that_share_a_rare_word_are_partners_in_a_family():
+    made = np.random.default_rng(9)
+    # All lines are close by their bags, as each has 60 of the same 64 words; few share a token.
+    forms = [" ".join(made.permutation(64)[:60].astype(str)).encode() for _ in range(150)]
+    bag, length = lines.bags(forms).view(np.uint64), np.full(150, 60)
+    tokens, root = [[k // 2, 1000 + k] for k in range(150)], np.arange(150) // 4
+    assert lines.with_partner(root, length, bag, 0.8).all()
+    assert not lines.with_partner_by_word(root, length, bag, tokens, 0.8).any()
+    tokens[3], tokens[9] = [1, 7777], [4, 7777]
+    assert np.flatnonzero(lines.with_partner_by_word(root, length, bag, tokens, 0.8)).tolist() == [3, 9]
+    # So it is where a token has many lines.
+    common = [[5], [6]] * 75
+    for k in range(0, 150, 5):
+        forms[k] = b"others have none of these words in common with this line %d" % k
+    bag, length = lines.bags(forms).view(np.uint64), np.array([f.count(b" ") + 1 for f in forms])
+    one, two = (x.ravel() for x in np.triu_indices(150, 1))
+    fits = lines.bags_fit(one, two, bag, length, 0.8) & (root[one] != root[two]) & (one % 2 == two % 2)
+    got = np.flatnonzero(lines.with_partner_by_word(root, length, bag, common, 0.8))
+    assert set(got) == set(one[fits]) | set(two[fits])
+
+
+def test_partners_are_those_of_all_pairs_whatever_their_lengths(monkeypatch):
+    rng = random.Random(12)
+    forms = []
+    for n in [5, 9, 40, 200, 250, 256, 257, 260, 300, 400] * 8:
+        base = [f"w{rng.randrange(3000)}" for _ in range(n)]
+        forms += [" ".join(base).encode(), " ".join(edited(rng, base, n // 5)).encode()]
+    bag, length = lines.bags(forms).view(np.uint64), np.array([f.count(b" ") + 1 for f in forms])
+    root = np.arange(len(forms)) // 3
+    one, two = (x.ravel() for x in np.triu_indices(len(forms), 1))
+    fits = lines.bags_fit(one, two, bag, length, 0.8) & (root[one] != root[two])
+    monkeypatch.setattr(lines, "WIDE", 30)
+    assert set(np.flatnonzero(lines.with_partner(root, length, bag, 0.8))) == set(one[fits]) | set(two[fits])
+
+
+def test_forms_have_single_blanks_and_similar_lines_are_those_by_distance():
+    rng = random.Random(13)
+    for _ in range(2000):
+        text = bytes(rng.choice(b"aB .,-_|/\t\n\r\x0b\x0c\x00\x1c\x85\xc3\xa9  ") for _ in range(rng.randrange(40)))
+        words = [line.split() for line in text.translate(lines.KEEP, lines.DROP).split(b"\n")]
+        assert lines.forms_in(text) == [b" ".join(w) for w in words]
+        one = rng.choices("abcdefghij", k=rng.randrange(1, 25))
+        two = edited(rng, one, rng.randrange(min(7, len(one)))) or ["x"]
+        near = lines.edit_distance(one, two) <= int(0.2 * max(len(one), len(two)) + 1e-9)
+        assert lines.similar(" ".join(one).encode(), " ".join(two).encode(), 0.8) == near
